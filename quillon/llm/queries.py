@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .packing import pack
 from .simhash import simhash_near_dedup
 from .warc import warc_roundtrip
 
@@ -14,6 +15,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: File of the tokenizer that packing counts tokens with; the vocabulary itself is no part of this repository.
+WORD_TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
     return f
@@ -53,3 +64,8 @@ SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN agai
        CASE WHEN again THEN first_id END AS refers_to
 FROM q
 """
+
+
+@_query
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"), tokenizer_file(WORD_TOKENIZER))
