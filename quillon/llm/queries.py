@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .langid import identify_languages
 from .packing import pack
 from .simhash import simhash_near_dedup
 from .warc import warc_roundtrip
@@ -69,3 +70,8 @@ FROM q
 @_query
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), tokenizer_file(WORD_TOKENIZER))
+
+
+@_query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_read(spark, sf_dir, "documents"))
