@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_dedup
 from .langid import identify_languages
 from .packing import pack
+from .quality import classify_quality
 from .simhash import simhash_near_dedup
 from .warc import warc_roundtrip
 
@@ -75,3 +76,8 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_read(spark, sf_dir, "documents"))
+
+
+@_query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
