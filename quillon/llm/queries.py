@@ -11,6 +11,7 @@ from .langid import identify_languages
 from .packing import pack
 from .quality import classify_quality
 from .simhash import simhash_near_dedup
+from .toxicity import classify_toxicity
 from .warc import warc_roundtrip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +82,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+@_query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
