@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_dedup
 from .langid import identify_languages
 from .packing import pack
+from .pii import find_pii
 from .quality import classify_quality
 from .simhash import simhash_near_dedup
 from .toxicity import classify_toxicity
@@ -87,3 +88,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+@_query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_read(spark, sf_dir, "documents"))
