@@ -26,7 +26,7 @@ SEQUENCE = 4096
 DIMS, BITS = 3, 10
 #: Words a worker process keeps encoded; then it starts anew. Bounds its memory to some 150 MB.
 CACHE_WORDS = 600_000
-#: Documents whose keys set the ranges, about.
+#: Documents whose keys and sizes set the ranges, about; a hundred for each range at least.
 SAMPLE_DOCS = 3000
 _END_ID = 2
 _BUCKETS = 4096
@@ -211,9 +211,10 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, *, id_col: str =
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = F.shiftrightunsigned(F.xxhash64("doc_id", F.length("text")), 32)
     coded = docs.withColumn("spread", spread).mapInArrow(encode, "doc_id long, key long, ids binary")
-    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    sample = sorted(r[0] for r in docs.sample(share, seed=8).withColumn("spread", spread).mapInArrow(encode, "doc_id long, key long, ids binary").select("key").collect()) or [0]
-    bounds = [int(sample[len(sample) * i // n]) for i in range(1, n)]
+    share = min(1.0, max(SAMPLE_DOCS, 100 * n) / max(1, docs.count()))
+    sample = docs.sample(share, seed=8).withColumn("spread", spread).mapInArrow(encode, "doc_id long, key long, ids binary").select("key", F.octet_length("ids").alias("size")).orderBy("key").toPandas()
+    weight = sample["size"].cumsum().to_numpy()
+    bounds = [int(sample["key"][np.searchsorted(weight, weight[-1] * i / n)]) for i in range(1, n)] if len(sample) else []
     place = F.lit(bounds).cast("array<long>") if bounds else None
     where = F.size(F.filter(place, lambda b: b <= F.col("key"))) if bounds else F.lit(0)
     coded = coded.withColumn("__at", where.cast("int")).repartitionById(n, "__at").sortWithinPartitions("key", "doc_id")
