@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest_neighbours
 from .exact_dedup import exact_dedup
 from .langid import identify_languages
 from .packing import pack
@@ -93,3 +94,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_read(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_read(spark, sf_dir, "embeddings"))
