@@ -144,3 +144,10 @@ def exact_dedup(docs: DataFrame, history: Column | None = None, *, id_col: str =
     out = skew_join(docs.select("doc_id", "digest"), classes, "digest", "n")
     keep = F.when(F.col("keep_id") != no_id, F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def keep_winners(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of identical texts the one of the largest id."""
+    kept = exact_dedup(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col("__sha"))
+    return docs.join(kept, same, "left_semi")

@@ -199,3 +199,22 @@ def identify_languages(docs: DataFrame, held_out: Column | None = None, *, id_co
 
     schema = "doc_id long, held_out boolean, lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
     return docs.select("doc_id", "held_out", "text").mapInArrow(scan, schema)
+
+
+def keep_identified(docs: DataFrame, least_share: float = 0.4, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", model: Model | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language: not ``und``, and of at least ``least_share`` of the letters.
+
+    Learns from all rows that have a language; if none has, every text with a letter is kept.
+    """
+    known = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"))
+    model = model or fit(known)
+    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    if not model.langs:
+        return docs.where(letter)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            found = label(batch.column(text_col).to_pylist(), model)
+            yield batch.filter(pa.array([x[0] != UNKNOWN and x[1] >= least_share for x in found]))
+
+    return docs.mapInArrow(scan, docs.schema)

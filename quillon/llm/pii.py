@@ -127,6 +127,60 @@ def discover(rows: DataFrame, *, least_seeds: int = LEAST_SEEDS, rounds: int = R
     return confident.where(F.col("c") >= confidence).join(seeds, ["kind", "instance"], "left_anti").select("kind", "instance")
 
 
+def _mark(docs: DataFrame) -> DataFrame:
+    """``docs`` (with a text that is not null) and, per kind, its base spans and its candidates c_<kind> outside them."""
+    text, none = F.col("text"), F.array().cast(_SPAN)
+    found = docs.select("*", *(base_spans(text, k).alias(k) for k in KINDS), *(F.when(text.rlike(SHAPES[k]), _found(text, SHAPES[k])).otherwise(none).alias(f"c_{k}") for k in KINDS))
+    free = [F.filter(f"c_{k}", lambda s: ~F.exists(F.concat(*KINDS), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))).alias(f"c_{k}") for k in KINDS]
+    return found.select(*docs.columns, *KINDS, *free)
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    """``text`` with every span (of kind, start, end) replaced by its [KIND]; of overlapping spans the first names the whole."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = text.substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    return F.aggregate(F.array_sort(spans), start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+
+
+def mask_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **options: float) -> DataFrame:
+    """The rows of ``docs``, all columns, with base and discovered spans replaced by [EMAIL], [IP], [CARD] or [PHONE].
+
+    ``length_col``, if there, becomes the new length. Null texts stay null.
+    """
+    at = docs.columns.index(text_col)
+    plain = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(docs.columns)), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    marked = _mark(plain)
+    hit = F.lit(False)
+    for k in KINDS:
+        hit = hit | (F.size(f"c_{k}") > 0)
+    some = hit
+    for k in KINDS:
+        some = some | (F.size(k) > 0)
+    seen = F.concat(*(_occurrences(k, c, c == k) for k in KINDS for c in (k, f"c_{k}")))
+    new = discover(marked.where(some).select(F.explode(seen).alias("s")).select("s.*"), **options)
+    span = "array<struct<start:int,kind:string,end:int>>"
+    plainly = lambda k, c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end")))
+    base = F.concat(*(plainly(k, k) for k in KINDS)).cast(span)
+    if new is None:
+        out = marked.withColumn("every", base)
+    else:
+        # the few texts that hold candidates; a text is known by its hash, equal ones have equal spans
+        few = marked.where(hit).withColumn("key", F.sha2("text", 256))
+        cand = few.select("key", F.explode(F.concat(*(_of_kind(k, f"c_{k}") for k in KINDS))).alias("x")).select("key", "x.kind", "x.s", F.col("x.s.text").alias("instance"))
+        own = cand.join(new, ["kind", "instance"], "left_semi").groupBy("key").agg(F.collect_set(F.struct(F.col("s.start").alias("start"), F.col("kind"), F.col("s.end").alias("end"))).alias("more"))
+        few = few.join(own, "key", "left").withColumn("every", F.concat(base, F.coalesce("more", F.array().cast(span))))
+        out = marked.where(~hit).withColumn("every", base).unionByName(few.drop("key", "more"))
+    text = F.when(F.col(f"k{at}").isNull(), F.col(f"k{at}")).otherwise(F.when(F.size("every") == 0, F.col("text")).otherwise(_masked(F.col("text"), F.col("every"))))
+    out = out.withColumn("masked", text)
+    pick_ = lambda i, c: F.col("masked") if i == at else F.length("masked").cast(docs.schema[c].dataType) if c == length_col else F.col(f"k{i}")
+    return out.select(*(pick_(i, c).alias(c) for i, c in enumerate(docs.columns)))
+
+
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
@@ -135,10 +189,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     empty texts have none (base_sha256 is that of the empty text). Repeated ids are repeated rows.
     """
     docs = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    marked = docs.select("doc_id", "text", *(base_spans(F.col("text"), k).alias(k) for k in KINDS), *(F.when(F.col("text").rlike(SHAPES[k]), _found(F.col("text"), SHAPES[k])).otherwise(F.array().cast(_SPAN)).alias(f"c_{k}") for k in KINDS))
-    # a candidate that a base span covers is no candidate
-    free = [F.filter(f"c_{k}", lambda s: ~F.exists(F.concat(*KINDS), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))).alias(f"c_{k}") for k in KINDS]
-    marked = marked.select("doc_id", "text", *KINDS, *free)
+    marked = _mark(docs)
     # only texts with something to show go on with their contexts
     some = F.lit(False)
     for k in KINDS:

@@ -99,3 +99,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(_read(spark, sf_dir, "embeddings"))
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -215,3 +215,9 @@ def simhash_near_dedup(docs: DataFrame, radius: int = RADIUS, *, id_col: str = "
     out = skew_join(marked, classes, "code", "n")
     named = F.when(F.col("component") < 2**63 - 2**41, F.col("component"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), named.alias("component_id"))
+
+
+def keep_representatives(docs: DataFrame, radius: int = RADIUS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that represent their component: those of its smallest id."""
+    kept = simhash_near_dedup(docs, radius, id_col=id_col, text_col=text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
