@@ -12,6 +12,7 @@ from .langid import identify_languages
 from .packing import pack
 from .pii import find_pii
 from .quality import classify_quality
+from .sampled_pieces import segmentation_digest
 from .simhash import simhash_near_dedup
 from .toxicity import classify_toxicity
 from .warc import warc_roundtrip
@@ -22,6 +23,8 @@ ORACLES: dict[str, str] = {}
 
 #: File of the tokenizer that packing counts tokens with; the vocabulary itself is no part of this repository.
 WORD_TOKENIZER = "word_bpe_49k.json"
+#: File of the SentencePiece model that sampled segmentations are drawn from.
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def tokenizer_file(name: str) -> str:
@@ -101,6 +104,11 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(_read(spark, sf_dir, "embeddings"))
 
 
+@_query
+def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation_digest(_read(spark, sf_dir, "documents"), tokenizer_file(PIECE_MODEL))
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
