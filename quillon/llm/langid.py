@@ -201,8 +201,8 @@ def identify_languages(docs: DataFrame, held_out: Column | None = None, *, id_co
     return docs.select("doc_id", "held_out", "text").mapInArrow(scan, schema)
 
 
-def keep_identified(docs: DataFrame, least_share: float = 0.4, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", model: Model | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language: not ``und``, and of at least ``least_share`` of the letters.
+def keep_identified(docs: DataFrame, least_share: float = 0.0, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", model: Model | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language: not ``und``, with at least ``least_share`` of the letters.
 
     Learns from all rows that have a language; if none has, every text with a letter is kept.
     """
