@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 #: The labels of phrase files, in order.
 SENTIMENTS = ["negative", "neutral", "positive"]
 RECORD = "client_name STRING, record_date STRING, risk_profile STRING, objectives ARRAY<STRING>, recommendations ARRAY<STRUCT<product: STRING, action: STRING, amount: DOUBLE>>, fees STRUCT<advice_fee: DOUBLE, ongoing_fee_pct: DOUBLE>, review_months INT, flags ARRAY<STRING>"
-EXAMPLE = f"example_id STRING, split STRING, slice STRING, note STRING, gold STRUCT<{RECORD.replace(' STRING', ': STRING').replace(' ARRAY', ': ARRAY').replace(' STRUCT', ': STRUCT').replace(' INT', ': INT')}>"
+EXAMPLE = f"example_id STRING, split STRING, slice STRING, note STRING, gold STRUCT<{RECORD}>"
 SAMPLE = "example_id STRING, model STRING, sample_index INT, text STRING, prompt_tokens INT, completion_tokens INT, latency_ms DOUBLE"
 PAIR = "example_id STRING, slice STRING, prompt STRING, chosen STRING, rejected STRING, chosen_reward DOUBLE, rejected_reward DOUBLE"
 LOG = "step BIGINT, loss DOUBLE, lr DOUBLE, grad_norm DOUBLE, tokens BIGINT"
