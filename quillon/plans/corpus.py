@@ -183,7 +183,7 @@ def number_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", T.spell_number(F.col("p_partkey") * 37 % 1_000_000).alias("words"), T.dollars(F.round("p_retailprice", 2)).alias("price"), T.basis_points(F.col("p_size") / 100).alias("points"), T.ordinal(F.col("p_size")).alias("nth"))
 
 
-@query("SELECT doc_id, lower(trim(regexp_replace(substr(text, 1, 200), '[ \\n\\t]+', ' ', 'g'))) AS folded FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, replace(lower(trim(regexp_replace(substr(text, 1, 200), '[ \\n\\t]+', ' ', 'g'))), 'ß', 'ss') AS folded FROM documents WHERE lang = 'en'")
 def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Case-folded, white space collapsed: the comparison key of text fields, over the heads of English documents."""
     return read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.normalise_text(F.substring("text", 1, 200)).alias("folded"))

@@ -175,3 +175,25 @@ def test_streaming_batches(spark, tmp_path):
     q.stop()
     got = {r["request_id"]: r["batch"] for r in spark.table("batched").collect()}
     assert got[0] == got[1] == 0 and got[2] == got[3] == 1
+
+
+def test_runner(spark, tmp_path):
+    from quillon.plans.runner import MissingUpstream, run
+
+    calls = []
+    stages = {"a": ([], lambda s, d, c: calls.append("a") or s.range(c["n"])), "b": (["a"], lambda s, d, c: calls.append("b") or d["a"].where("id > 0"))}
+    config = {"run_dir": f"file://{tmp_path}/run", "n": 3}
+    with pytest.raises(MissingUpstream):
+        run(spark, stages, config, only=["b"])
+    assert [(r.stage, r.ran, r.rows) for r in run(spark, stages, config)] == [("a", True, 3), ("b", True, 2)]
+    assert [r.ran for r in run(spark, stages, config | {"run_dir": config["run_dir"]})] == [False, False]
+    assert [r.rows for r in run(spark, stages, config | {"n": 4})] == [4, 3]
+    assert calls == ["a", "b", "a", "b"]
+
+
+def test_generator_is_reproducible(spark):
+    from quillon.operators.generator import generate
+
+    a = generate(spark, {"train": 30, "test": 6}).collect()
+    assert sorted(a) == sorted(generate(spark, {"train": 30, "test": 6}).repartition(3).collect())
+    assert len({r["note"] for r in a}) == 36 and {r["example_id"] for r in generate(spark, {"train": 30}, seed=2).collect()} < {r["example_id"] for r in a}
