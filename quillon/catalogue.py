@@ -28,6 +28,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A plain scan in as many partitions as there are cores at least.
+
+    A small file of one row group cannot be split, and Python work on it would run in one task. Tables with
+    more splits than cores come back as they are, so large ones are never shuffled here.
+    """
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+
+
 @query("""
 SELECT lang, count(*) AS n, sum(quality) AS good, quantile_cont(n_chars, 0.25) AS p25,
        quantile_cont(n_chars, 0.5) AS p50, quantile_cont(n_chars, 0.75) AS p75

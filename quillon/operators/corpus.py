@@ -54,9 +54,9 @@ def word_frequencies(rows: DataFrame, text: str, pattern: str = PRETOKENS) -> Da
 
 
 def byte_ids(word: Column) -> Column:
-    """The bytes of a word as numbers."""
-    h = F.hex(word.cast("binary"))
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(h) / 2, F.lit(1)).cast("int")), lambda i: F.conv(F.substring(h, 1, 1 << 20).substr(i * 2 - 1, F.lit(2)), 16, 10).cast("int"))
+    """The bytes of a word as numbers: read as Latin-1, every byte is one character of the same number."""
+    chars = F.filter(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: c != "")
+    return F.transform(chars, F.ascii)
 
 
 def pair_counts(words: DataFrame) -> DataFrame:
