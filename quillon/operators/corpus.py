@@ -65,6 +65,14 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return words.where(F.size("ids") > 1).select(pairs.alias("p"), "n").groupBy(F.col("p")["0"].alias("left"), F.col("p")["1"].alias("right")).agg(F.sum("n").alias("n"))
 
 
+def byte_pair_counts(words: DataFrame) -> DataFrame:
+    """pair_counts over the bytes of ``words`` (word, n), without arrays: all of it stays in generated code."""
+    chars = words.select(F.decode(F.col("word").cast("binary"), "ISO-8859-1").alias("w"), "n").where(F.length("w") > 1)
+    at = chars.select("w", "n", F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("i"))
+    one = lambda k: F.ascii(F.col("w").substr(F.col("i") + k, F.lit(1)))
+    return at.groupBy(one(0).alias("left"), one(1).alias("right")).agg(F.sum("n").alias("n"))
+
+
 def first_appearance(rows: DataFrame, text: str, order: str) -> DataFrame:
     """Of rows with equal text only the first by ``order``."""
     return rows.withColumn("__at", F.row_number().over(Window.partitionBy(text).orderBy(order))).where("__at = 1").drop("__at")

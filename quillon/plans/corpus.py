@@ -87,7 +87,7 @@ SELECT p.l AS "left", p.r AS "right", CAST(sum(n) AS BIGINT) AS n FROM p GROUP B
 def byte_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adjacent byte pairs of ASCII words, weighted by word frequency: the statistic behind each merge."""
     words = corpus.word_frequencies(read(spark, sf_dir, "documents"), "text", "[A-Za-z]+")
-    return corpus.pair_counts(words.select(corpus.byte_ids(F.col("word")).alias("ids"), "n"))
+    return corpus.byte_pair_counts(words)
 
 
 @query()
