@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.catalogue import spread
+
 from .ann import nearest_neighbours
 from .exact_dedup import exact_dedup
 from .langid import identify_languages
@@ -42,6 +44,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """For operators that run Python: a table of fewer splits than cores is spread over them, larger ones stay as they are."""
+    return spread(_read(spark, sf_dir, name))
+
+
 @_query
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
@@ -56,7 +63,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 @_query
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_near_dedup(_read(spark, sf_dir, "documents"))
+    return simhash_near_dedup(_spread(spark, sf_dir, "documents"))
 
 
 @_query
@@ -76,22 +83,22 @@ FROM q
 
 @_query
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_read(spark, sf_dir, "documents"), tokenizer_file(WORD_TOKENIZER))
+    return pack(_spread(spark, sf_dir, "documents"), tokenizer_file(WORD_TOKENIZER))
 
 
 @_query
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify_languages(_read(spark, sf_dir, "documents"))
+    return identify_languages(_spread(spark, sf_dir, "documents"))
 
 
 @_query
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return classify_quality(_spread(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 @_query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return classify_toxicity(_spread(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 @_query
@@ -106,7 +113,7 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segmentation_digest(_read(spark, sf_dir, "documents"), tokenizer_file(PIECE_MODEL))
+    return segmentation_digest(_spread(spark, sf_dir, "documents"), tokenizer_file(PIECE_MODEL))
 
 
 @_query
