@@ -1,5 +1,6 @@
 """Queries over whole inputs: what an earlier cut left out is in the result."""
 
+import hashlib
 import unicodedata
 
 from quillon import catalogue, plans  # noqa: F401
@@ -11,3 +12,37 @@ def test_normalised_text_whole(spark, tmp_path):
     found = {r["doc_id"]: r["folded"] for r in catalogue.QUERIES["normalised_text_whole"](spark, str(tmp_path)).collect()}
     assert found == {i: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold() for i, _, t in texts}
     assert found[1].endswith("wort ende") and found[1].startswith("strasse fin wort") and found[3] == "viii σασ"
+
+
+def test_chat_queries_take_whole_messages(spark, tmp_path):
+    def idx(word):
+        return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 1000
+
+    words = [w for w in (f"w{i}" for i in range(5000)) if idx(w) % 20 != 3 and idx(w) % 30 not in (0, 2)]
+    stop, end = next(f"s{i}" for i in range(5000) if idx(f"s{i}") % 20 == 3), next(f"e{i}" for i in range(5000) if idx(f"e{i}") % 30 == 2 and idx(f"e{i}") % 20 != 3)
+    first = [*words[:45], stop, *words[45:60]]
+    second = [*words[:45], end, *words[60:70]]
+    texts = {1: first, 2: second, 3: [words[0]], 4: [], 5: None}
+    rows = [(4, t, "user", None if w is None else " ".join(w)) for t, w in texts.items()]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def by_turn(name, column):
+        return {r["turn"]: r[column] for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()}
+
+    ids = {t: [idx(x) for x in w or []] for t, w in texts.items()}
+    assert by_turn("prefix_length_whole", "shared") == {1: 45, 2: 1, 3: 0, 4: 0}
+    assert by_turn("trim_at_stop_whole", "kept") == ids | {1: ids[1][:45]}
+    assert by_turn("completion_length_whole", "answer_len") == {1: 61, 2: 46, 3: 1, 4: 0, 5: 0}
+    padded = by_turn("pad_and_mask_whole", "padded")
+    width = {t: len(p) for t, p in padded.items()}
+    assert width == {1: 64, 2: 56, 3: 56, 4: 56, 5: 56}  # sorted by length, batches of four: turns 4, 5, 3, 2 and 1
+    assert padded == {t: x + [0] * (width[t] - len(x)) for t, x in ids.items()}
+    labels = by_turn("label_mask_whole", "labels")
+    prompt = {t: len(ids[t]) * ((t + 4) % 4) // 4 for t in ids}
+    assert labels == {t: [-100] * prompt[t] + x[prompt[t] :] + [-100] * (width[t] - len(x)) for t, x in ids.items()}
+    batches = catalogue.QUERIES["length_sorted_batches_whole"](spark, str(tmp_path)).collect()
+    lengths = {t: len(x) for t, x in ids.items()}
+    assert {(r["batch"], r["n"], r["longest"], r["padding"]) for r in batches} == {(0, 4, 56, 4 * 56 - sum(lengths[t] for t in (2, 3, 4, 5))), (1, 1, 61, 3)}
+    assert [(r["step"], r["batches"], r["n"]) for r in catalogue.QUERIES["accumulation_groups_whole"](spark, str(tmp_path)).collect()] == [(0, 2, 5)]
+    status = {r["status"]: (r["n"], r["tokens"]) for r in catalogue.QUERIES["truncate_or_drop_whole"](spark, str(tmp_path)).collect()}
+    assert status == {"kept": (3, 1), "truncated": (1, 16), "dropped": (1, 0)}
