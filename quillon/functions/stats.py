@@ -6,8 +6,13 @@ import math
 from dataclasses import dataclass
 from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+#: Discordant pairs up to which the exact test runs on integers.
+EXACT_PAIRS = 100_000
 
 
 def z_for(confidence: float) -> float:
@@ -18,12 +23,34 @@ def z_for(confidence: float) -> float:
 
 
 def mcnemar_exact_p(lost: int, gained: int) -> float:
-    """Two-sided exact binomial p-value of discordant counts; 1 without any."""
+    """Two-sided exact binomial p-value of discordant counts; 1 without any.
+
+    Up to EXACT_PAIRS by integers and one rounding division. Beyond, the terms are summed from the largest one,
+    whose logarithm comes from Stirling's series and so loses no digits to differences of huge numbers.
+    """
     n, low = lost + gained, min(lost, gained)
+    if low < 0:
+        raise ValueError("discordant counts are not negative")
     if not n:
         return 1.0
-    tail = sum(math.comb(n, i) for i in range(low + 1))
-    return min(1.0, 2 * tail / 2**n) if n < 1000 else min(1.0, float(2 * tail * 10**18 // 2**n) / 1e18)
+    if n <= EXACT_PAIRS:
+        term = tail = 1
+        for i in range(1, low + 1):
+            term = term * (n - i + 1) // i
+            tail += term
+        return min(1.0, 2 * tail / (1 << n))
+    if low < EXACT_PAIRS // 4:  # below 2^-1074 by far: n * (1 - entropy(1/4)) is over 18,000 bits
+        return 0.0
+    rest = lambda k: 1 / (12 * k) - 1 / (360 * k**3)  # noqa: E731  (of ln k! after Stirling's formula)
+    off = (n - 2 * low) / n
+    far = n / 2 * ((1 - off) * math.log1p(-off) + (1 + off) * math.log1p(off)) if off < 1 else math.inf
+    term = math.exp(rest(n) - rest(low) - rest(n - low) - far) * math.sqrt(n / (2 * math.pi * low * (n - low)))
+    tail, i = term, low
+    while i and term > tail * 1e-18:
+        term *= i / (n - i + 1)
+        tail += term
+        i -= 1
+    return min(1.0, 2 * tail)
 
 
 def mcnemar_corrected_p(lost: int, gained: int, exact_below: int = 25) -> float:
@@ -34,14 +61,15 @@ def mcnemar_corrected_p(lost: int, gained: int, exact_below: int = 25) -> float:
     return math.erfc(math.sqrt((abs(lost - gained) - 1) ** 2 / n / 2))
 
 
+@F.pandas_udf(DoubleType())
+def _exact_p(lost: pd.Series, gained: pd.Series) -> pd.Series:
+    return pd.Series([mcnemar_exact_p(int(b), int(c)) for b, c in zip(lost, gained, strict=True)], dtype="float64")
+
+
 def mcnemar_exact(lost: Column, gained: Column) -> Column:
-    """mcnemar_exact_p in SQL, by the ratio of neighbouring binomial terms; for at most some 1,000 pairs."""
-    n, low = lost + gained, F.least(lost, gained)
-    first = F.struct(F.pow(F.lit(0.5), n).alias("t"), F.pow(F.lit(0.5), n).alias("s"))
-    step = lambda a, i: F.struct((a["t"] * (n - i + 1) / i).alias("t"), (a["s"] + a["t"] * (n - i + 1) / i).alias("s"))
-    terms = F.when(low > 0, F.sequence(F.lit(1).cast("long"), F.greatest(low, F.lit(1)).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    tail = F.aggregate(terms, first, step, lambda a: a["s"])
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+    """mcnemar_exact_p of each (aggregated) row; a null count is none."""
+    count = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))
+    return _exact_p(count(lost), count(gained))
 
 
 def wilson(successes: Column, n: Column, z: float) -> tuple[Column, Column]:

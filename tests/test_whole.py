@@ -3,7 +3,12 @@
 import hashlib
 import unicodedata
 
+import pytest
+from pyspark.sql import functions as F
+
 from quillon import catalogue, plans  # noqa: F401
+from quillon.functions import stats as S
+from quillon.operators import paired
 
 
 def test_normalised_text_whole(spark, tmp_path):
@@ -46,3 +51,25 @@ def test_chat_queries_take_whole_messages(spark, tmp_path):
     assert [(r["step"], r["batches"], r["n"]) for r in catalogue.QUERIES["accumulation_groups_whole"](spark, str(tmp_path)).collect()] == [(0, 2, 5)]
     status = {r["status"]: (r["n"], r["tokens"]) for r in catalogue.QUERIES["truncate_or_drop_whole"](spark, str(tmp_path)).collect()}
     assert status == {"kept": (3, 1), "truncated": (1, 16), "dropped": (1, 0)}
+
+
+def test_exact_test_of_many_pairs(spark):
+    def exact(lost, gained):
+        n, term, tail = lost + gained, 1, 1
+        for i in range(1, min(lost, gained) + 1):
+            term = term * (n - i + 1) // i
+            tail += term
+        return min(1.0, 2 * tail / (1 << n))
+
+    counts = [(1000, 1000), (930, 1070), (500, 1000), (0, 600), (50_000, 50_000), (49_700, 50_300), (0, 2000), (0, 0)]
+    rows = spark.createDataFrame(counts, "lost long, gained long")
+    found = {(r["lost"], r["gained"]): r["p"] for r in rows.select("lost", "gained", S.mcnemar_exact(F.col("lost"), F.col("gained")).alias("p")).collect()}
+    assert found == {c: pytest.approx(exact(*c), rel=1e-12) for c in counts}
+    assert found[1000, 1000] == 1 and 0 < found[500, 1000] < 1e-30
+    beyond = [(50_500, 50_500), (50_300, 50_900), (49_000, 52_000)]
+    assert [S.mcnemar_exact_p(*c) for c in beyond] == [pytest.approx(exact(*c), rel=1e-9) for c in beyond]
+
+
+def test_gate_of_many_pairs_is_not_always_significant(spark):
+    summary = spark.createDataFrame([(9000, 0.99, 1.0, 0, 0, 0.001, 2000, 2050)], "n long, json_rate double, schema_rate double, slices_down int, fields_down int, low double, lost long, gained long")
+    assert paired.decide(summary, S.Floors()).first()["decision"] == "HOLD"
