@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -81,16 +82,75 @@ class Bpe:
         return Bpe([tuple(p) for p in held["merges"]], held["pattern"], held["special_tokens"])
 
 
+class _Tail:
+    """Pair counts of the words that the driver does not hold, between a lower and an upper bound.
+
+    ``exact`` runs a pass over them. A merge after it only moves the bounds of the pairs it touches.
+    """
+
+    def __init__(self, words: DataFrame | None) -> None:
+        self.words, self.low, self.high = words, {}, {}
+
+    def exact(self, merges: list[Pair]) -> None:
+        rows = _pairs_of(self.words, merges).toPandas()
+        self.low = dict(zip(zip(rows["left"].tolist(), rows["right"].tolist(), strict=True), rows["n"].tolist(), strict=True))
+        self.high = dict(self.low)
+
+    def merged(self, pair: Pair, new: int) -> None:
+        (a, b), most = pair, self.high.pop(pair, 0)
+        self.low.pop(pair, None)
+        if not most:
+            return
+        for p, n in list(self.high.items()) + [(pair, most)] * (a == b):
+            if p != pair and (a in p or b in p):
+                self.low[p] = max(0, self.low[p] - 2 * most)  # each merge ends two of the other pairs at most
+            # what stood before a or after b now stands beside the new id
+            ends = [(p[0], new)] * (p[1] == a) + [(new, p[1])] * (p[0] == b) + [(new, new)] * (p == (b, a))
+            for q in ends:
+                self.low[q], self.high[q] = 0, min(n, most)
+
+
+def _pairs_of(words: DataFrame, merges: list[Pair]) -> DataFrame:
+    """(left, right, n): counts of the adjacent ids of ``words`` (word, n) after ``merges``."""
+    model = Bpe(list(merges), special=[])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter[Pair] = Counter()
+        for batch in batches:
+            for word, n in zip(batch["word"], batch["n"].tolist(), strict=True):
+                ids = model._word(word)
+                for p in zip(ids, ids[1:], strict=False):
+                    counts[p] += n
+            model.cache.clear()
+        yield pd.DataFrame([(*p, n) for p, n in counts.items()], columns=["left", "right", "n"])
+
+    return words.mapInPandas(run, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
+
+
+def _best(counts: Counter[Pair], tail: _Tail) -> Pair | None:
+    """The pair with the highest count (ties: smaller ids), or None if the tail's bounds leave it open."""
+    total = lambda p, bound: counts.get(p, 0) + bound.get(p, 0)
+    pairs = counts.keys() | tail.high.keys()
+    best = min(pairs, key=lambda p: (-total(p, tail.low), p))
+    sure = (-total(best, tail.low), best)
+    return best if sure[0] and all(p == best or sure < (-total(p, tail.high), p) for p in tail.high) else None
+
+
 def train(rows: DataFrame, text: str, vocab_size: int, most_words: int = 200_000, special: tuple[str, ...] = ("<|endoftext|>",), pattern: str = PRETOKENS) -> Bpe:
     """Merges by falling pair count (ties: smaller ids) until ``vocab_size`` or no pair is left.
 
-    Spark counts the words; the merges are found on the driver over the ``most_words`` commonest distinct
-    ones, which bounds its memory. Each merge touches only the words that hold its pair.
+    Spark counts the words. The driver holds the ``most_words`` commonest distinct ones, which bounds its memory;
+    each merge touches only those that hold its pair. The others stay a Spark table, whose pairs are counted anew
+    when the bounds on their counts no longer tell which pair is next. All words count; ``most_words`` changes no merge.
     """
     if vocab_size < 256 + len(special):
         raise ValueError("the vocabulary holds the bytes and the special tokens at least")
-    counted = word_frequencies(rows, text, pattern).orderBy(F.desc("n"), "word").limit(most_words).toPandas()
-    words, n = [list(w.encode()) for w in counted["word"]], counted["n"].tolist()
+    counted = word_frequencies(rows, text, pattern).persist()
+    head = counted.orderBy(F.desc("n"), "word").limit(most_words).toPandas()
+    last = head.iloc[-1] if len(head) and len(head) == most_words else None
+    rest = None if last is None else counted.where((F.col("n") < int(last["n"])) | ((F.col("n") == int(last["n"])) & (F.col("word") > last["word"])))
+    tail = _Tail(rest)
+    words, n = [list(w.encode()) for w in head["word"]], head["n"].tolist()
     counts: Counter[Pair] = Counter()
     where: dict[Pair, set[int]] = defaultdict(set)
     for i, ids in enumerate(words):
@@ -98,10 +158,16 @@ def train(rows: DataFrame, text: str, vocab_size: int, most_words: int = 200_000
             counts[p] += n[i]
             where[p].add(i)
     merges: list[Pair] = []
-    while len(merges) < vocab_size - 256 - len(special) and counts:
-        best = min(counts, key=lambda p: (-counts[p], p))
+    if tail.words is not None:
+        tail.exact(merges)
+    while len(merges) < vocab_size - 256 - len(special) and (counts or tail.high):
+        best = _best(counts, tail)
+        if best is None:
+            tail.exact(merges)
+            continue
         new = 256 + len(merges)
         merges.append(best)
+        tail.merged(best, new)
         for i in list(where[best]):
             for p in zip(words[i], words[i][1:], strict=False):
                 counts[p] -= n[i]
@@ -112,6 +178,7 @@ def train(rows: DataFrame, text: str, vocab_size: int, most_words: int = 200_000
             for p in zip(words[i], words[i][1:], strict=False):
                 counts[p] += n[i]
                 where[p].add(i)
+    counted.unpersist()
     return Bpe(merges, pattern, list(special))
 
 

@@ -92,8 +92,8 @@ def byte_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bpe_train_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merges (rank, left, right, new_id) learned from the benchmark texts."""
-    model = bpe.train(read(spark, sf_dir, "benchmark"), "text", 320)
+    """Merges (rank, left, right, new_id) learned from all words of the documents."""
+    model = bpe.train(read(spark, sf_dir, "documents"), "text", 320)
     return spark.createDataFrame([(i, a, b, 256 + i) for i, (a, b) in enumerate(model.merges)], "rank int, left int, right int, new_id int")
 
 

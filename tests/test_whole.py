@@ -1,14 +1,19 @@
 """Queries over whole inputs: what an earlier cut left out is in the result."""
 
 import hashlib
+import itertools
+import random
+import re
 import unicodedata
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillon import catalogue, plans  # noqa: F401
 from quillon.functions import stats as S
-from quillon.operators import paired
+from quillon.operators import bpe, paired
+from quillon.operators.corpus import PRETOKENS
 
 
 def test_normalised_text_whole(spark, tmp_path):
@@ -73,3 +78,36 @@ def test_exact_test_of_many_pairs(spark):
 def test_gate_of_many_pairs_is_not_always_significant(spark):
     summary = spark.createDataFrame([(9000, 0.99, 1.0, 0, 0, 0.001, 2000, 2050)], "n long, json_rate double, schema_rate double, slices_down int, fields_down int, low double, lost long, gained long")
     assert paired.decide(summary, S.Floors()).first()["decision"] == "HOLD"
+
+
+def _merges(texts, size):
+    """As the reference trains: all words, all pairs counted anew for each merge."""
+    n = Counter(w for t in texts for w in re.findall(PRETOKENS, t))
+    ids, merges = {w: list(w.encode()) for w in n}, []
+    while len(merges) < size - 257:
+        counts = Counter()
+        for w, x in ids.items():
+            for p in itertools.pairwise(x):
+                counts[p] += n[w]
+        if not counts:
+            break
+        merges.append(min(counts, key=lambda p: (-counts[p], p)))
+        ids = {w: bpe.merge(x, merges[-1], 255 + len(merges)) for w, x in ids.items()}
+    return merges
+
+
+def test_bpe_training_counts_words_beyond_those_held(spark):
+    drawn = random.Random(5)
+    common = "aa ab " * 30
+    texts = [common + " ".join("".join(drawn.choice("aabbcé") for _ in range(drawn.randint(1, 9))) for _ in range(60)) for _ in range(6)] + ["aaaaaaa bababa zqzq zqzq", "aaab" * 9]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [bpe.train(rows, "text", 300, most_words=k).merges for k in (1, 5, 60, 200_000)] == [_merges(texts, 300)] * 4
+    few = spark.createDataFrame([("ab ab ab cd xcd ycd zcd",)], "text string")  # the commonest word alone would give a, b
+    assert bpe.train(few, "text", 258, most_words=1).merges == [(99, 100)] == _merges(["ab ab ab cd xcd ycd zcd"], 258)
+    ended = bpe.train(few, "text", 400, most_words=2).merges
+    assert ended == _merges(["ab ab ab cd xcd ycd zcd"], 400) and len(ended) < 400 - 257
+
+
+def test_bpe_query_trains_over_documents(spark, tmp_path):
+    spark.createDataFrame([("zq zq zq",)], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r["left"], r["right"]) for r in catalogue.QUERIES["bpe_train_merges"](spark, str(tmp_path)).collect()][:1] == [(ord("z"), ord("q"))]
