@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot if it holds more than this share of all rows; so there are fewer than 1 / HOT_SHARE hot keys.
@@ -15,35 +18,64 @@ HOT_SHARE = 1 / 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; unset (tests), a local one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Unset, a local one where all runs in one process; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Paths of this process below shared folders, still there.
+_MADE: dict[str, SparkSession] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
+    _MADE[path] = spark
+    return path
+
+
+def forget(*paths: str) -> None:
+    """Delete intermediate tables; none given: all that this process has made. Results that still read them become unreadable."""
+    for path in paths or list(_MADE):
+        spark = _MADE.pop(path, None)
+        if spark is not None and spark.sparkContext._jsc is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _leave() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone by now
+        forget()
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of ``df``: write it as Parquet to the shared folder and read it back."""
+    """Cut the lineage of ``df``: write it as Parquet to the shared folder and read it back. The table stays until ``forget`` or the end of the process."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def column(df: DataFrame, name: str) -> str:
-    """``name`` quoted, after a check that it stands there exactly once (names may clash by case)."""
-    if df.columns.count(name) != 1:
+def place(df: DataFrame, name: str) -> int:
+    """Where column ``name`` stands; by its exact name, or else by the only one that differs in case."""
+    found = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if len(found) != 1:
         raise ValueError(f"need exactly one column {name!r}, have {df.columns}")
-    return f"`{name}`"
+    return found[0]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ..: whatever they were called, no name clashes."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns (new name = old name); extra columns of the input fall away here."""
-    return df.select(*(F.col(column(df, old)).alias(new) for new, old in columns.items()))
+    """Only the named columns (new name = old name); extra columns of the input fall away here, whatever their names."""
+    return numbered(df).select(*(F.col(f"c{place(df, old)}").alias(new) for new, old in columns.items()))
 
 
 def skew_join(rows: DataFrame, classes: DataFrame, key: str, weight: str) -> DataFrame:
@@ -58,7 +90,8 @@ def skew_join(rows: DataFrame, classes: DataFrame, key: str, weight: str) -> Dat
     hot = hot.select(F.col(key), *(F.col(c).alias(f"__hot_{c}") for c in rest))
     spread = rows.join(F.broadcast(hot), key, "left")
     is_hot = F.col(f"__hot_{weight}").isNotNull()
-    own = F.concat(F.lit("~"), F.xxhash64(*(F.col(c) for c in rows.columns)).cast("string"))
+    # identical hot rows part by their place in the task that read them: where a row goes changes no result
+    own = F.concat(F.lit("~"), F.monotonically_increasing_id().cast("string"))
     spread = spread.withColumn("__key", F.when(is_hot, own).otherwise(F.col(key).cast("string")))
     cold = classes.select(F.col(key).cast("string").alias("__key"), *(F.col(c).alias(f"__cold_{c}") for c in rest))
     joined = spread.join(cold, "__key", "left")
@@ -89,7 +122,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -
     pre-aggregated, and the lineage is cut after every round.
     """
     now = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
-    now = table(now, name)
+    path = shared_path(now.sparkSession, name)
+    now.write.parquet(path)
+    now = now.sparkSession.read.schema(now.schema).parquet(path)
     mark = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -98,10 +133,30 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = table(small, name)
+        before, path = path, shared_path(now.sparkSession, name)
+        small.write.parquet(path)
+        now = now.sparkSession.read.schema(small.schema).parquet(path)
+        forget(before)
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(new) == mark:
             break
         mark = tuple(new)
     members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def keep_once(docs: DataFrame, kept: DataFrame, at: int, digest: Column, *, name: str) -> DataFrame:
+    """The rows of ``docs`` (columns numbered) whose id, column ``at``, and ``digest`` stand in ``kept`` (id, digest): one row of each.
+
+    Texts move once, to meet the decision. Rows that repeat both id and digest are rare; only where ``kept``
+    counts some (n > 1) are those few rows reduced to one each, pre-aggregated in every task.
+    """
+    kept = table(kept.groupBy("id", "digest").agg(F.count("*").alias("n")), name)
+    marked = docs.withColumn("digest", digest).withColumn("id", F.col(f"c{at}").cast("long"))
+    same = marked["id"].eqNullSafe(kept["id"]) & (marked["digest"] == kept["digest"])
+    once = marked.join(kept.where("n = 1"), same, "left_semi")
+    if kept.where("n > 1").head(1):
+        more = kept.where("n > 1")
+        same = marked["id"].eqNullSafe(more["id"]) & (marked["digest"] == more["digest"])
+        once = once.unionByName(marked.join(more, same, "left_semi").dropDuplicates(["id", "digest"]))
+    return once.drop("id", "digest")

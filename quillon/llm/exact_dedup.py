@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, skew_join, table
+from .common import keep_once, numbered, pick, place, skew_join, table
 
 #: Keys of a shard, about; its index then takes some 0.4 MB.
 SHARD_KEYS = 8192
@@ -130,7 +130,8 @@ def exact_dedup(docs: DataFrame, history: Column | None = None, *, id_col: str =
     condition on ``doc_id``) names the rows that were there before and make the index; by default half of
     all rows by a hash of the id. The result does not depend on it. Rows without id share the id null:
     they never stay unless the whole group has none. An empty table gives an empty result; columns other
-    than the two named are ignored. A repeated id is a repeated row: each comes back.
+    than the two named are ignored. A repeated id is a repeated row: each comes back. Texts of any length
+    are hashed whole.
     """
     history = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0 if history is None else history
     docs = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
@@ -147,7 +148,13 @@ def exact_dedup(docs: DataFrame, history: Column | None = None, *, id_col: str =
 
 
 def keep_winners(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: of identical texts the one of the largest id."""
-    kept = exact_dedup(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col("__sha"))
-    return docs.join(kept, same, "left_semi")
+    """The rows of ``docs``, all columns, that stay: of identical texts (null counts as empty) one row, of the largest id.
+
+    Of a group without any id one row stays as well; of rows that repeat id and text one, it does not matter
+    which (their other columns may differ). Texts may have any length. Column names may clash in any way.
+    Empty in, empty out.
+    """
+    at, text = place(docs, id_col), place(docs, text_col)
+    rows = numbered(docs)
+    kept = exact_dedup(rows, id_col=f"c{at}", text_col=f"c{text}").where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest"))
+    return keep_once(rows, kept, at, F.sha2(F.coalesce(f"c{text}", F.lit("")), 256), name="dedup-kept").toDF(*docs.columns)

@@ -7,6 +7,7 @@ label are the spans. A document's language is the one that labels most letters.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,11 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import pick, slices
+from .common import numbered, pick, place, slices
 
 #: Fit on about so many labelled rows, spread by a hash of the id.
 FIT_ROWS = 20_000
+#: Share of the labelled rows that a language needs to be learned.
+LEAST_LANG = 0.001
 #: Log-score that a change of language costs; the largest lead of one word.
 SWITCH, WORD_MOST = 8.0, 6.0
 UNKNOWN = "und"
@@ -34,8 +38,9 @@ _FOLD = np.array([b if chr(b).isalpha() and b < 128 or b >= 128 else 32 for b in
 @dataclass
 class Model:
     langs: list[str]
-    #: [buckets, langs] log-scores, centred over the languages.
+    #: [buckets, langs] log-scores, centred over the languages; [buckets] what was taken away.
     scores: np.ndarray
+    common: np.ndarray
     #: [scripts, langs]: may a word of this script be of this language?
     allowed: np.ndarray
 
@@ -51,9 +56,16 @@ class Words:
     script: np.ndarray
 
 
+_MARKS = re.compile("[\u2000-\u303f]")
+
+
+def _only_letters(mark: re.Match) -> str:
+    return mark.group() if mark.group().isalpha() else " "
+
+
 def find_words(texts: list[str | None]) -> Words:
-    """Runs of letters (bytes of any letter; marks beyond ASCII count as letters of the script Symbol)."""
-    parts = [b" " + (t or "").lower().encode(errors="replace") + b" " for t in texts]
+    """Runs of letters. Beyond ASCII only U+2000 to U+303F is looked at mark by mark (quotes, dashes, brackets part words there, letters do not)."""
+    parts = [b" " + _MARKS.sub(_only_letters, (t or "").lower()).encode(errors="replace") + b" " for t in texts]
     data = _FOLD[np.frombuffer(b"".join(parts) or b" ", np.uint8)]
     inside = data != 32
     edge = np.diff(inside.astype(np.int8))
@@ -119,7 +131,11 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, switch: float = SWITCH) -> np.n
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Trigram counts per language of about ``fit_rows`` of the labelled ``rows`` (doc_id, text, lang)."""
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
-    share = min(1.0, fit_rows / max(1, rows.count()))
+    total = rows.count()
+    share = min(1.0, fit_rows / max(1, total))
+    # fewer than 1 / LEAST_LANG languages pass, whatever dirt the column holds
+    learned = [r["lang"] for r in rows.groupBy("lang").count().where(F.col("count") >= LEAST_LANG * total).select("lang").collect()]
+    rows = rows.where(F.col("lang").isin(learned)) if learned else rows.where("false")
     rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +158,8 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     counts[found["bucket"], [langs.index(x) for x in found["lang"]]] = found["n"]
     grams, scripts = counts[:_BUCKETS] + 0.5, counts[_BUCKETS:]
     scores = np.log(grams) - np.log(grams.sum(axis=0)) if langs else grams
-    scores = scores - scores.mean(axis=1, keepdims=True) if langs else scores
-    return Model(langs, scores.astype(np.float32), scripts >= 0.01 * np.maximum(1, scripts.sum(axis=0)))
+    common = scores.mean(axis=1) if langs else np.zeros(_BUCKETS)
+    return Model(langs, (scores - common[:, None]).astype(np.float32), common.astype(np.float32), scripts >= 0.01 * np.maximum(1, scripts.sum(axis=0)))
 
 
 def label(batch: list[str | None], model: Model, spans: bool = False) -> list[tuple[str, float, list]]:
@@ -153,7 +169,7 @@ def label(batch: list[str | None], model: Model, spans: bool = False) -> list[tu
     if not model.langs or not len(words.starts):
         return out
     labels = viterbi(word_scores(words, model), words.doc)
-    letters = (words.ends - words.starts) * (words.script != SCRIPTS.index("Symbol"))
+    letters = words.ends - words.starts
     n = len(model.langs)
     share = np.bincount(words.doc * n + labels, weights=letters, minlength=len(batch) * n).reshape(-1, n)
     total, best = share.sum(axis=1), share.argmax(axis=1)
@@ -182,7 +198,9 @@ def identify_languages(docs: DataFrame, held_out: Column | None = None, *, id_co
     Learns from text and non-null lang of rows that ``held_out`` (by default crc32 of the id mod 4 is 2)
     does not name. lang_pred is ``und`` with score 0 if the text is null, empty or has no letter, or if there
     was nothing to learn from; else the language of most letters, ties to the first by name, with their share
-    as score. An id that is null counts as not held out. Repeated ids are repeated rows; empty in, empty out.
+    as score. An id that is null counts as not held out. Repeated ids are repeated rows; texts of any length
+    are read whole; extra columns are ignored. Languages with less than LEAST_LANG of the labelled rows are
+    not learned. Empty in, empty out.
     """
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2 if held_out is None else held_out
     docs = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"))
@@ -201,20 +219,46 @@ def identify_languages(docs: DataFrame, held_out: Column | None = None, *, id_co
     return docs.select("doc_id", "held_out", "text").mapInArrow(scan, schema)
 
 
-def keep_identified(docs: DataFrame, least_share: float = 0.0, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", model: Model | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language: not ``und``, with at least ``least_share`` of the letters.
+def evidence(texts: list[str | None], model: Model) -> np.ndarray:
+    """Mean log-probability of the letter trigrams of each text under its likeliest language, above that of a random bucket; -inf without letters."""
+    words, n = find_words(texts), len(model.langs)
+    out = np.full((len(texts), n), -np.inf)
+    if not len(words.starts):
+        return out.max(axis=1, initial=-np.inf)
+    inside = words.data != 32
+    doc = np.repeat(words.doc, words.ends - words.starts)
+    grams, letters = _trigrams(words.data)[inside], np.bincount(doc, minlength=len(texts))
+    base = np.bincount(doc, weights=model.common[grams], minlength=len(texts))
+    some = letters > 0
+    for k in range(n):
+        own = base + np.bincount(doc, weights=model.scores[:, k][grams], minlength=len(texts))
+        out[some, k] = own[some] / letters[some] + np.log(_BUCKETS)
+    return out.max(axis=1)
+
 
-    Learns from all rows that have a language; if none has, every text with a letter is kept.
+def keep_identified(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", model: Model | None = None) -> DataFrame:
+    """The rows of ``docs`` whose text has a language, all columns; ``lang_col`` becomes the language found.
+
+    Rejected are texts without a letter, null ones among them, and texts whose letter trigrams are less
+    likely under every learned language than trigrams drawn at random would be: keys, encoded bytes, letter
+    soup. Documents of several languages stay, under that of most letters. Learns from all rows that have a
+    language; if none has, every text with a letter is kept as it is. Repeated rows share their fate. Texts
+    may have any length, column names may clash in any way. Empty in, empty out.
     """
-    known = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"))
-    model = model or fit(known)
-    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    at, text = place(docs, lang_col), f"c{place(docs, text_col)}"
+    rows = numbered(docs)
+    if model is None:
+        model = fit(pick(docs, doc_id=id_col, text=text_col, lang=lang_col).select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string")))
     if not model.langs:
-        return docs.where(letter)
+        return rows.where(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).toDF(*docs.columns)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            found = label(batch.column(text_col).to_pylist(), model)
-            yield batch.filter(pa.array([x[0] != UNKNOWN and x[1] >= least_share for x in found]))
-
-    return docs.mapInArrow(scan, docs.schema)
+        for batch in slices(batches, text):
+            texts = batch.column(text).to_pylist()
+            found = [x[0] for x in label(texts, model)]
+            keep = pa.array((evidence(texts, model) > 0) & (np.array(found, object) != UNKNOWN))
+            cols = [pa.array(found, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names).filter(keep)
+
+    schema = StructType([StructField(f.name, StringType() if i == at else f.dataType) for i, f in enumerate(rows.schema)])
+    return rows.mapInArrow(scan, schema).toDF(*docs.columns)

@@ -26,8 +26,10 @@ SEQUENCE = 4096
 DIMS, BITS = 3, 10
 #: Words a worker process keeps encoded; then it starts anew. Bounds its memory to some 150 MB.
 CACHE_WORDS = 600_000
-#: Documents whose keys and sizes set the ranges, about; a hundred for each range at least.
-SAMPLE_DOCS = 3000
+#: Documents whose keys and sizes set the ranges, about; so many for each range at least.
+SAMPLE_DOCS, SAMPLE_PER_RANGE = 4000, 16
+#: Ranges at least, and bytes of text in a range, about.
+MIN_RANGES, RANGE_BYTES = 64, 128 << 20
 _END_ID = 2
 _BUCKETS = 4096
 
@@ -147,10 +149,10 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, *, id_col: str =
     """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids end with an end id, so empty and null texts have one token. Repeated ids are repeated
-    rows, each packed; rows without id are packed with id null. An empty table gives an empty result.
+    rows, each packed; rows without id are packed with id null. A text of any length is encoded whole and cut
+    into as many pieces as it needs. Extra columns are ignored. An empty table gives an empty result.
     ``tokenizer`` is the path of a tokenizers file of a kind that drops white space.
     """
-    spark = docs.sparkSession
     docs = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +162,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, *, id_col: str =
             ids = own.ids(batch.column("text").to_pylist())
             # equal places on the curve (copies) are told apart by a hash, so that ranges can part them
             keys = (_keys(ids, own.kind, matrix) << 32) | batch.column("spread").to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys), pa.array([x + end for x in ids], pa.binary())], names=["doc_id", "key", "ids"])
+            at = np.searchsorted(bounds, keys, side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys), pa.array(at), pa.array([x + end for x in ids], pa.binary())], names=["doc_id", "key", "at", "ids"])
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -207,15 +210,16 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, *, id_col: str =
         if out:
             yield flush()
 
-    # range bounds from a bounded sample: they only balance the partitions, every document is packed in any case
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = F.shiftrightunsigned(F.xxhash64("doc_id", F.length("text")), 32)
-    coded = docs.withColumn("spread", spread).mapInArrow(encode, "doc_id long, key long, ids binary")
-    share = min(1.0, max(SAMPLE_DOCS, 100 * n) / max(1, docs.count()))
-    sample = docs.sample(share, seed=8).withColumn("spread", spread).mapInArrow(encode, "doc_id long, key long, ids binary").select("key", F.octet_length("ids").alias("size")).orderBy("key").toPandas()
-    weight = sample["size"].cumsum().to_numpy()
-    bounds = [int(sample["key"][np.searchsorted(weight, weight[-1] * i / n)]) for i in range(1, n)] if len(sample) else []
-    place = F.lit(bounds).cast("array<long>") if bounds else None
-    where = F.size(F.filter(place, lambda b: b <= F.col("key"))) if bounds else F.lit(0)
-    coded = coded.withColumn("__at", where.cast("int")).repartitionById(n, "__at").sortWithinPartitions("key", "doc_id")
+    # range bounds from a sample by id: they only balance the partitions, every document is packed in any case
+    docs = docs.withColumn("spread", F.shiftrightunsigned(F.xxhash64("doc_id", F.length("text")), 32))
+    found = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
+    n = partitions or max(MIN_RANGES, -(-(found["size"] or 0) // RANGE_BYTES))
+    share = min(1.0, max(SAMPLE_DOCS, SAMPLE_PER_RANGE * n) / max(1, found["n"]))
+    bounds, coded = np.zeros(0, np.int64), "doc_id long, key long, at int, ids binary"
+    drawn = docs.where(F.shiftrightunsigned(F.xxhash64(F.lit(8), "doc_id", F.length("text")), 32) < int(share * (1 << 32)) + 1)
+    sample = drawn.mapInArrow(encode, coded).select("key", F.octet_length("ids").alias("size")).orderBy("key").toPandas()
+    if len(sample):
+        weight = sample["size"].cumsum().to_numpy()
+        bounds = sample["key"].to_numpy()[np.searchsorted(weight, weight[-1] * np.arange(1, n) / n)]
+    coded = docs.mapInArrow(encode, coded).repartitionById(n, "at").sortWithinPartitions("key", "doc_id")
     return coded.select("doc_id", "ids").mapInArrow(lay, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

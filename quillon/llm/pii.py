@@ -1,18 +1,27 @@
 """Personal data: fixed patterns, and contextual extraction bootstrapped from what they find.
 
 All of it is DataFrame and SQL functions. The base spans are the seeds. The words just before and after a
-seed are its lexical patterns. Candidates are digit or address tokens of a seed's shape that no base span
-covers. Scores then go round the bipartite graph of patterns and instances: a pattern is worth the mean
-confidence of its instances (seeds count 1, instances unknown so far what they have earned), an instance the
-noisy-or of its patterns. Instances above a threshold join the spans of the kind whose shape they have.
+token are its lexical patterns. Candidates are all tokens of several digits, or with a written-out at sign,
+that are left when the base spans are blanked out; they have no kind of their own. Scores then go round the
+bipartite graph of patterns and instances: a pattern is worth, for a kind, the mean confidence of its instances
+(seeds count 1, instances unknown so far what they have earned), an instance the noisy-or of its patterns.
+Instances above a threshold count as found from the next round on, so that they bear patterns of their own; in
+the end they join the spans of the kind that they score highest for.
+
+Every step is linear in the length of a text and in its number of matches: matches and the gaps between them
+are two arrays, places come from a running sum in blocks, and texts are put together again by one join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from quillon.functions.logits import let
+
+from .common import numbered, pick, place, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Java patterns of the base kinds. A match can only begin where a run of its first characters begins, or
@@ -24,34 +33,50 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text must hold for a kind's pattern to match at all.
-_NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Shapes of candidates, as whole tokens: an identifier written another way.
-SHAPES = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\(at\)|\[at\])[A-Za-z0-9-]++(?:(?:\.|\(dot\)|\[dot\])[A-Za-z0-9-]++)++",
-    "ip": r"(?<![\p{L}0-9])[0-9]{1,3}(?:[,_-][0-9]{1,3}){3}(?![\p{L}0-9])",
-    "card": r"(?<![\p{L}0-9])[0-9]{4}(?:[._/][0-9]{4}){3}(?![\p{L}0-9])",
-    "phone": r"(?<![\p{L}0-9])(?:\([0-9]{3}\)|[0-9]{3})[-.][0-9]{3}[-.][0-9]{4}(?![\p{L}0-9])",
-}
-#: A seed's pattern needs so many seeds; rounds of scoring; damping of what unknown instances earn; least confidence.
-LEAST_SEEDS, ROUNDS, DAMPING, CONFIDENCE = 3, 3, 0.5, 0.6
+_NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": "[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9]"}
+#: Candidates: tokens with five digits or more, or with a written-out at sign, from their first letter, digit or bracket on.
+CANDIDATE = r"(?<!\S)(?=(?:[^\s0-9]*+[0-9]){5}|[^\s(\[]*+[(\[]at[)\]])\S++"
+#: The marks around a token that do not belong to its instance.
+_HEAD, _TAIL = r"^[^\p{L}0-9(\[+]++", r"(?<![^\p{L}0-9)\]])[^\p{L}0-9)\]]++$"
+#: Confident instances that a pattern needs; what it must be worth; rounds; damping of what unknown instances earn; least confidence.
+LEAST_SEEDS, WORTH, ROUNDS, DAMPING, CONFIDENCE = 3, 0.5, 4, 0.5, 0.6
+_BLOCK = 256
+
+_SPAN = "array<struct<start:int,end:int,text:string,before:string,after:string>>"
+
+
+def _running(sizes: Column) -> Column:
+    """The sum of all entries before each, block by block: appending to one array for all would be quadratic."""
 
-_SPAN = "array<struct<start:int,end:int,text:string>>"
+    def add(acc: Column, x: Column) -> Column:
+        return F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
 
+    def whole(sizes: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(_BLOCK))
+        blocks = F.transform(starts, lambda b: F.aggregate(F.slice(sizes, b, F.lit(_BLOCK)), none, add))
+        return let(blocks, lambda bs: F.flatten(F.zip_with(bs, F.aggregate(bs, none, lambda acc, x: add(acc, x["at"]))["out"], lambda x, base: F.transform(x["out"], lambda i: i + base))))
 
-def _found(text: Column, pattern: str) -> Column:
-    """All matches as (start, end, text) in code points: the pieces between matches give their places."""
-    rx = F.lit(pattern)
-    words = F.regexp_extract_all(text, rx, F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    return let(sizes, whole)
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["g"])
-        end = start + F.length(pair["w"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["w"].alias("text")))).alias("out"))
 
-    pairs = F.zip_with(words, F.slice(gaps, 1, F.size(words)), lambda w, g: F.struct(w.alias("w"), g.alias("g")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+def _cut(text: Column, pattern: str, then: Callable[[Column, Column], Column]) -> Column:
+    """``then(matches, gaps)``: all matches of ``pattern`` and the gaps around them, one more."""
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda w: let(F.split(text, pattern, -1), lambda g: then(w, g)))
+
+
+def _spans(words: Column, gaps: Column) -> Column:
+    """The matches as structs of start, end (code points), text and the ends of the gaps around."""
+    n = F.size(words)
+    begins = _running(F.zip_with(words, F.slice(gaps, 1, n), lambda w, g: F.length(w) + F.length(g)))
+    matches = F.zip_with(words, begins, lambda w, at: F.struct(w.alias("w"), at.alias("at")))
+    around = F.zip_with(F.slice(gaps, 1, n), F.slice(gaps, 2, n), lambda g, h: F.struct(g.alias("g"), h.alias("h")))
+
+    def span(m: Column, g: Column) -> Column:
+        start = m["at"] + F.length(g["g"])
+        return F.struct(start.alias("start"), (start + F.length(m["w"])).alias("end"), m["w"].alias("text"), F.substring(g["g"], -40, 40).alias("before"), F.substring(g["h"], 1, 40).alias("after"))
+
+    return F.zip_with(matches, around, span)
 
 
 def _luhn(digits: Column) -> Column:
@@ -77,108 +102,100 @@ def _valid(kind: str, span: Column) -> Column:
     return F.lit(True)
 
 
+def _holds(text: Column, kind: str) -> Column:
+    need = _NEEDS[kind]
+    return F.contains(text, F.lit(need)) if len(need) == 1 else text.rlike(need)
+
+
 def base_spans(text: Column, kind: str) -> Column:
     """The base spans of ``kind`` in ``text``: leftmost, not overlapping; failing matches are dropped, not retried."""
-    found = F.filter(_found(text, PATTERNS[kind]), lambda s: _valid(kind, s))
-    need = _NEEDS[kind]
-    holds = F.contains(text, F.lit(need)) if need else text.rlike("[0-9](?:[ -]?[0-9]){15}")
-    return F.when(holds, found).otherwise(F.array().cast(_SPAN))
+    found = _cut(text, PATTERNS[kind], lambda w, g: F.filter(_spans(w, g), lambda s: _valid(kind, s)))
+    return F.when(_holds(text, kind), found.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
-def _written(kind: str, spans: Column) -> Column:
-    return F.transform(spans, lambda s: F.concat(F.lit(f"{kind}:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string")))
+def _replace(text: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
+    """``text`` with every match w replaced by new(w)."""
 
+    def join(words: Column, gaps: Column) -> Column:
+        told = F.transform(words, lambda w: new(w))
+        return F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size(words)), told, lambda g, w: F.concat(g, w)), ""), F.element_at(gaps, -1))
 
-def _contexts(text: Column, span: Column) -> Column:
-    """Lexical patterns of a span: the word before it, the word after it, both, lower-cased and without marks."""
-    near = lambda s: F.lower(F.regexp_replace(s, r"^[^\p{L}]+|[^\p{L}]+$", ""))
-    before = near(F.regexp_extract(text.substr(F.greatest(span["start"] - 39, F.lit(1)), F.least(span["start"], F.lit(40))), r"(\S+)\s*$", 1))
-    after = near(F.regexp_extract(text.substr(span["end"] + 1, F.lit(40)), r"^\s*(\S+)", 1))
-    return F.filter(F.array(F.when(before != "", F.concat(F.lit("<"), before)), F.when(after != "", F.concat(F.lit(">"), after))), lambda p: p.isNotNull())
+    return _cut(text, pattern, join)
 
 
-def _occurrences(kind: str, spans: str, seed: bool) -> Column:
-    return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["text"].alias("instance"), F.lit(seed).alias("seed"), _contexts(F.col("text"), s).alias("patterns")))
+def _blank(text: Column, kind: str, fill: Callable[[Column], Column]) -> Column:
+    """``text`` with the valid matches of ``kind`` replaced by fill(match)."""
+    new = _replace(text, PATTERNS[kind], lambda w: F.when(_valid(kind, F.struct(w.alias("text"))), fill(w)).otherwise(w))
+    return F.when(_holds(text, kind), new).otherwise(text)
 
 
-def _of_kind(kind: str, spans: str) -> Column:
-    return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("s")))
+#: In this order a text is blanked out: what an e-mail address or a telephone number holds is no address of its own.
+_ORDER = ("email", "card", "phone", "ip")
 
 
-def discover(rows: DataFrame, *, least_seeds: int = LEAST_SEEDS, rounds: int = ROUNDS, confidence: float = CONFIDENCE) -> DataFrame | None:
-    """High-confidence instances (kind, instance) from ``rows`` (kind, instance, seed, patterns); None without candidates.
+def _blanked(text: Column, fill: Callable[[str, Column], Column]) -> Column:
+    """``text`` with the valid matches of all kinds replaced by fill(kind, match)."""
 
-    ``rows`` has one row per occurrence. Every round joins the edges, aggregated to distinct
-    (kind, instance, pattern), with the instances' confidences and back; nothing is collected.
-    """
-    edges = rows.select("kind", "instance", "seed", F.explode("patterns").alias("pattern")).groupBy("kind", "instance", "seed", "pattern").agg(F.count("*").alias("n"))
-    edges = table(edges, "pii-edges")
-    if not edges.where("NOT seed").head(1):
-        return None
-    confident = edges.select("kind", "instance", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("c")).distinct()
-    for _ in range(rounds):
-        known = edges.join(confident, ["kind", "instance"])
-        worth = known.groupBy("kind", "pattern").agg((F.sum(F.when(F.col("seed"), 1.0).otherwise(F.col("c") * DAMPING)) / F.count("*")).alias("worth"), F.count_if("seed").alias("seeds"))
-        worth = worth.where(F.col("seeds") >= least_seeds)
-        earned = edges.where("NOT seed").join(worth, ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(1 - F.least("worth", F.lit(0.999)))))).alias("c"))
-        confident = edges.where("seed").select("kind", "instance", F.lit(1.0).alias("c")).distinct().union(earned)
-        confident = table(confident, "pii-confidence")
-    seeds = edges.where("seed").select("kind", "instance").distinct()
-    return confident.where(F.col("c") >= confidence).join(seeds, ["kind", "instance"], "left_anti").select("kind", "instance")
+    def step(kind: str) -> Callable[[Column], Column]:
+        return lambda t: _blank(t, kind, lambda w: fill(kind, w))
+
+    for kind in _ORDER:
+        text = let(text, step(kind))
+    return text
 
 
-def _mark(docs: DataFrame) -> DataFrame:
-    """``docs`` (with a text that is not null) and, per kind, its base spans and its candidates c_<kind> outside them."""
-    text, none = F.col("text"), F.array().cast(_SPAN)
-    found = docs.select("*", *(base_spans(text, k).alias(k) for k in KINDS), *(F.when(text.rlike(SHAPES[k]), _found(text, SHAPES[k])).otherwise(none).alias(f"c_{k}") for k in KINDS))
-    free = [F.filter(f"c_{k}", lambda s: ~F.exists(F.concat(*KINDS), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))).alias(f"c_{k}") for k in KINDS]
-    return found.select(*docs.columns, *KINDS, *free)
+def candidates(text: Column) -> Column:
+    """Spans of the candidates in a text whose base spans are blanked out."""
+    found = _cut(text, CANDIDATE, _spans)
+    return F.when(text.rlike(CANDIDATE), found.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
-def _masked(text: Column, spans: Column) -> Column:
-    """``text`` with every span (of kind, start, end) replaced by its [KIND]; of overlapping spans the first names the whole."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def _contexts(span: Column) -> Column:
+    """Lexical patterns of a span: the word before it, the word after it, both; lower-cased and without marks."""
+    near = lambda s: F.lower(F.regexp_replace(s, r"^[^\p{L}]+|[^\p{L}]+$", ""))
+    before, after = near(F.regexp_extract(span["before"], r"(\S+)\s*$", 1)), near(F.regexp_extract(span["after"], r"^\s*(\S+)", 1))
+    some = lambda ok, *parts: F.when(ok, F.concat(*parts))
+    every = F.array(some(before != "", F.lit("<"), before), some(after != "", F.lit(">"), after), some((before != "") & (after != ""), F.lit("="), before, F.lit(" "), after))
+    return F.filter(every, lambda p: p.isNotNull())
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = text.substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    return F.aggregate(F.array_sort(spans), start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+def _core(word: Column) -> Column:
+    """A candidate without the marks at its end: the name of its instance."""
+    return F.regexp_replace(word, f"{_HEAD}|{_TAIL}", "")
 
 
-def mask_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **options: float) -> DataFrame:
-    """The rows of ``docs``, all columns, with base and discovered spans replaced by [EMAIL], [IP], [CARD] or [PHONE].
+def _occurrences(kind: str | None, spans: str) -> Column:
+    return F.transform(spans, lambda s: F.struct(F.lit(kind).cast("string").alias("kind"), (s["text"] if kind else _core(s["text"])).alias("instance"), _contexts(s).alias("patterns")))
 
-    ``length_col``, if there, becomes the new length. Null texts stay null.
+
+def discover(rows: DataFrame, *, least_seeds: int = LEAST_SEEDS, worth: float = WORTH, rounds: int = ROUNDS, confidence: float = CONFIDENCE) -> DataFrame | None:
+    """High-confidence instances (instance, kind, c) from ``rows`` (kind, instance, patterns); None without candidates.
+
+    ``rows`` has one row per occurrence; kind is null for candidates. Every round joins the edges, aggregated
+    to distinct (kind, instance, pattern), with what is known of the instances and back; nothing is collected.
+    A pattern counts for a kind if ``least_seeds`` instances, seeds or found ones, bear it and it is worth at
+    least ``worth``; an instance is found once its confidence reaches ``confidence`` (ties: first kind by name).
     """
-    at = docs.columns.index(text_col)
-    plain = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(docs.columns)), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marked = _mark(plain)
-    hit = F.lit(False)
-    for k in KINDS:
-        hit = hit | (F.size(f"c_{k}") > 0)
-    some = hit
-    for k in KINDS:
-        some = some | (F.size(k) > 0)
-    seen = F.concat(*(_occurrences(k, c, c == k) for k in KINDS for c in (k, f"c_{k}")))
-    new = discover(marked.where(some).select(F.explode(seen).alias("s")).select("s.*"), **options)
-    span = "array<struct<start:int,kind:string,end:int>>"
-    plainly = lambda k, c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end")))
-    base = F.concat(*(plainly(k, k) for k in KINDS)).cast(span)
-    if new is None:
-        out = marked.withColumn("every", base)
-    else:
-        # the few texts that hold candidates; a text is known by its hash, equal ones have equal spans
-        few = marked.where(hit).withColumn("key", F.sha2("text", 256))
-        cand = few.select("key", F.explode(F.concat(*(_of_kind(k, f"c_{k}") for k in KINDS))).alias("x")).select("key", "x.kind", "x.s", F.col("x.s.text").alias("instance"))
-        own = cand.join(new, ["kind", "instance"], "left_semi").groupBy("key").agg(F.collect_set(F.struct(F.col("s.start").alias("start"), F.col("kind"), F.col("s.end").alias("end"))).alias("more"))
-        few = few.join(own, "key", "left").withColumn("every", F.concat(base, F.coalesce("more", F.array().cast(span))))
-        out = marked.where(~hit).withColumn("every", base).unionByName(few.drop("key", "more"))
-    text = F.when(F.col(f"k{at}").isNull(), F.col(f"k{at}")).otherwise(F.when(F.size("every") == 0, F.col("text")).otherwise(_masked(F.col("text"), F.col("every"))))
-    out = out.withColumn("masked", text)
-    pick_ = lambda i, c: F.col("masked") if i == at else F.length("masked").cast(docs.schema[c].dataType) if c == length_col else F.col(f"k{i}")
-    return out.select(*(pick_(i, c).alias(c) for i, c in enumerate(docs.columns)))
+    edges = table(rows.select("kind", "instance", F.explode("patterns").alias("pattern")).distinct(), "pii-edges")
+    if not edges.where("kind IS NULL").head(1):
+        return None
+    seeds = edges.where("kind IS NOT NULL").select("kind", "instance", "pattern", F.lit(1.0).alias("c"))
+    # an instance that is a seed somewhere is known; elsewhere it is no candidate
+    unknown = table(edges.where("kind IS NULL").drop("kind").join(seeds.select("instance").distinct(), "instance", "left_anti"), "pii-unknown")
+    size = table(edges.groupBy("pattern").agg(F.count_distinct("instance").alias("size")), "pii-patterns")
+    found = None
+    for _ in range(rounds):
+        known = seeds if found is None else seeds.unionByName(unknown.join(found, "instance").select("kind", "instance", "pattern", "c"))
+        sums = known.groupBy("kind", "pattern").agg(F.sum(F.when(F.col("c") >= confidence, F.col("c")).otherwise(F.col("c") * DAMPING)).alias("sum"), F.count_if(F.col("c") >= confidence).alias("sure"))
+        good = sums.where(F.col("sure") >= least_seeds).join(size, "pattern").select("kind", "pattern", F.least(F.col("sum") / F.col("size"), F.lit(0.999)).alias("worth")).where(F.col("worth") >= worth)
+        earned = unknown.join(good, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("worth"))))).alias("c"))
+        best = earned.groupBy("instance").agg(F.max(F.struct("c", (-F.ascii("kind")).alias("first"), "kind")).alias("b"))
+        found = table(best.select("instance", "b.kind", "b.c"), "pii-found")
+    return found.where(F.col("c") >= confidence)
+
+
+def _written(kind: str, spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.concat(F.lit(f"{kind}:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string")))
 
 
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
@@ -186,26 +203,60 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Counts and base_sha256 are of the base spans, ``spans`` also holds discovered ones: kind:start:end,
     comma-joined, by kind as in KINDS and then by start; places are code points, the end exclusive. Null and
-    empty texts have none (base_sha256 is that of the empty text). Repeated ids are repeated rows.
+    empty texts have none (base_sha256 is that of the empty text). Repeated ids are repeated rows. Texts may
+    be of any length and hold any number of matches. Extra columns are ignored. Empty in, empty out.
     """
     docs = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    marked = _mark(docs)
-    # only texts with something to show go on with their contexts
-    some = F.lit(False)
-    for k in KINDS:
-        some = some | (F.size(k) > 0) | (F.size(f"c_{k}") > 0)
-    seen = F.concat(*(_occurrences(k, c, c == k) for k in KINDS for c in (k, f"c_{k}")))
-    slim = table(marked.select("doc_id", *KINDS, *(f"c_{k}" for k in KINDS), F.when(some, seen).otherwise(F.expr("array()")).cast("array<struct<kind:string,instance:string,seed:boolean,patterns:array<string>>>").alias("seen")), "pii-spans")
-    new = discover(slim.select(F.explode("seen").alias("s")).select("s.*"), **options)
-    slim = slim.drop("seen").withColumn("row", F.monotonically_increasing_id())
-    if new is None:
-        more = [F.array().cast(_SPAN)] * len(KINDS)
-    else:
-        cand = slim.select("row", F.explode(F.concat(*(_of_kind(k, f"c_{k}") for k in KINDS))).alias("x"))
-        hits = cand.select("row", "x.kind", "x.s", F.col("x.s.text").alias("instance")).join(new, ["kind", "instance"], "left_semi")
-        own = hits.groupBy("row").agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("s"))).alias(f"m_{k}") for k in KINDS))
-        slim = slim.join(own, "row", "left")
-        more = [F.coalesce(f"m_{k}", F.array().cast(_SPAN)) for k in KINDS]
-    every = F.concat(*(_written(k, F.array_sort(F.concat(k, m))) for k, m in zip(KINDS, more, strict=True)))
+    left = _blanked(F.col("text"), lambda kind, w: F.repeat(F.lit("."), F.length(w)))
+    slim = table(docs.select("doc_id", *(base_spans(F.col("text"), k).alias(k) for k in KINDS), F.when(F.col("text").rlike(CANDIDATE), let(left, candidates)).otherwise(F.array().cast(_SPAN)).alias("other")), "pii-spans")
+    new = discover(_seen(slim), **options)
+    slim = slim.withColumn("row", F.monotonically_increasing_id())
     base = F.concat(*(_written(k, F.col(k)) for k in KINDS))
+    every = base
+    if new is not None:
+        # spans of one text are few or many, but never more than its tokens
+        each = slim.select("row", F.explode("other").alias("s")).select("row", "s", _core(F.col("s.text")).alias("instance")).join(new, "instance")
+        lead = F.col("s.start") + F.length(F.regexp_extract("s.text", _HEAD, 0))
+        own = each.groupBy("row").agg(*(F.collect_list(F.when(F.col("kind") == k, F.struct(lead.alias("start"), (lead + F.length("instance")).alias("end")))).alias(f"m_{k}") for k in KINDS))
+        slim = slim.join(own, "row", "left")
+        plain = lambda k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+        every = F.concat(*(_written(k, F.array_sort(F.concat(plain(k), F.coalesce(f"m_{k}", F.array().cast("array<struct<start:int,end:int>>"))))) for k in KINDS))
     return slim.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(every, ",").alias("spans"))
+
+
+def _seen(slim: DataFrame) -> DataFrame:
+    """The occurrences (kind, instance, patterns) of seeds and candidates."""
+    every = F.concat(*(_occurrences(k, k) for k in KINDS), _occurrences(None, "other"))
+    return slim.select(F.explode(every).alias("s")).select("s.*")
+
+
+def mask_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **options: float) -> DataFrame:
+    """The rows of ``docs``, all columns, with base and discovered spans replaced by [EMAIL], [IP], [CARD] or [PHONE].
+
+    Kinds are masked one after another (e-mail addresses, cards, telephone numbers, then IP addresses), so of
+    spans within each other the outer one names the whole. ``length_col``, if there, becomes the new length.
+    Null texts stay null, empty ones empty, repeated rows stay. Texts may be of any length and hold any number
+    of matches, column names may clash in any way. Empty in, empty out.
+    """
+    at = place(docs, text_col)
+    own = {c.lower() for c in docs.columns}
+    long = place(docs, length_col) if length_col and length_col.lower() in own else None
+    rows = numbered(docs)
+    text = F.coalesce(F.col(f"c{at}"), F.lit(""))
+    left = _blanked(text, lambda kind, w: F.lit(f"[{kind.upper()}]"))
+    # a text is marked once, and written
+    rest = [f"c{i}" for i in range(len(docs.columns)) if i != at]
+    marked = rows.select(*rest, F.col(f"c{at}").isNull().alias("none"), left.alias("masked"), *(base_spans(text, k).alias(k) for k in KINDS))
+    marked = table(marked.withColumn("other", candidates(F.col("masked"))), "pii-marked")
+    new = discover(_seen(marked), **options)
+    if new is not None:
+        # the few texts that hold what was found; a text is known by its hash, equal ones have equal spans
+        some = marked.where(F.size("other") > 0).withColumn("key", F.sha2("masked", 256))
+        hits = some.select("key", F.explode("other").alias("s")).select("key", _core(F.col("s.text")).alias("instance")).distinct().join(new, "instance")
+        told = hits.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("instance", "kind"))).alias("told"))
+        swap = lambda w: F.when(F.element_at("told", _core(w)).isNull(), w).otherwise(F.concat(F.regexp_extract(w, _HEAD, 0), F.lit("["), F.upper(F.element_at("told", _core(w))), F.lit("]"), F.regexp_extract(w, _TAIL, 0)))
+        more = some.join(told, "key", "left").withColumn("masked", F.when(F.col("told").isNull(), F.col("masked")).otherwise(_replace(F.col("masked"), CANDIDATE, swap)))
+        marked = marked.where(F.size("other") == 0).unionByName(more.drop("key", "told"))
+    new_text = F.when(~F.col("none"), F.col("masked"))
+    cols = [new_text if i == at else F.length(new_text).cast(docs.schema[i].dataType) if i == long else F.col(f"c{i}") for i in range(len(docs.columns))]
+    return marked.select(*(c.alias(f"c{i}") for i, c in enumerate(cols))).toDF(*docs.columns)

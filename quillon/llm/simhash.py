@@ -5,7 +5,7 @@ of them is a tree: a node keeps the mask of the bits all its codes share and the
 only the bits its parent has not settled yet. A search adds up differences from the root and drops a whole
 group once they exceed the radius. Every code stands in two trees, as it is and rotated by 32 bits: of two
 codes that differ in at most r bits one half differs in at most r // 2, so each tree also drops groups whose
-leading half has more. Blocks are ranges of the Gray rank of the first 16 bits, balanced by a histogram; a
+leading half has more. Blocks are ranges of the Gray rank of the leading bits, balanced by a histogram; a
 code is sent to the blocks its leading bits allow. A block returns a spanning forest of its links, never
 all pairs.
 """
@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, pick, skew_join, slices, table
+from .common import components, keep_once, numbered, pick, place, skew_join, slices, table
 
 RADIUS = 3
 #: At least so many blocks, and so many codes in a block, about; a crowded range of ranks is dealt out again by hash.
 MIN_BLOCKS, BLOCK_CODES = 64, 16384
+#: Leading bits that routing uses at most; their histogram is what the driver holds.
+MOST_LEAD = 22
 _LEAF, _FAN = 16, 8
 
 
@@ -138,39 +140,41 @@ def _link(rows: pd.DataFrame, radius: int) -> pd.DataFrame:
 def gray_links(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """A spanning set (a, b) of all links of ``codes`` (rep long, code long; codes distinct)."""
     codes = codes.select("rep", "code")
+    total = codes.count()
+    blocks = max(MIN_BLOCKS, -(-total // BLOCK_CODES))
+    # leading bits that cut the blocks: a code is sent to no more blocks than it has such bits, plus its own
+    lead = int(np.clip(np.ceil(np.log2(blocks)) + 4, 16, MOST_LEAD))
 
     def ranks(code: pd.Series) -> np.ndarray:
         c = code.to_numpy(np.int64).view(np.uint64)
-        top = np.stack([(_rotate(c, k) >> np.uint64(48)).astype(np.uint16) for k in (0, 1)])
-        return gray_rank(top, 16)
+        top = np.stack([(_rotate(c, k) >> np.uint64(64 - lead)).astype(np.uint32) for k in (0, 1)])
+        return gray_rank(top, lead)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((2, 1 << 16), np.int64)
+        sums = np.zeros((2, 1 << lead), np.int64)
         for rows in batches:
             for k, r in enumerate(ranks(rows["code"])):
-                sums[k] += np.bincount(r, minlength=1 << 16)
+                sums[k] += np.bincount(r, minlength=1 << lead)
         copy, rank = np.nonzero(sums)
         yield pd.DataFrame({"copy": copy, "rank": rank, "n": sums[copy, rank]})
 
-    # the histogram has at most 2 x 65,536 rows, however many codes there are
-    sums = np.zeros((2, 1 << 16), np.int64)
+    # the histogram has at most 2 x 2**lead rows, however many codes there are
+    sums = np.zeros((2, 1 << lead), np.int64)
     for row in codes.mapInPandas(count, "copy int, rank int, n long").groupBy("copy", "rank").agg(F.sum("n").alias("n")).toPandas().itertuples():
         sums[row.copy, row.rank] = row.n
-    total = int(sums[0].sum())
-    blocks = max(MIN_BLOCKS, -(-total // BLOCK_CODES))
     per = max(1, -(-total // blocks))
     block_of = ((np.cumsum(sums, axis=1) - sums) // per).astype(np.int32)
     sizes = [np.bincount(block_of[k], weights=sums[k]).astype(np.int64) for k in (0, 1)]
     parts = [np.maximum(1, -(-s // max(BLOCK_CODES, 2 * per))) for s in sizes]
-    flips = np.uint16(1) << np.arange(16, dtype=np.uint16)
+    flips = np.uint32(1) << np.arange(lead, dtype=np.uint32)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             code, rep = rows["code"].to_numpy(np.int64).view(np.uint64), rows["rep"].to_numpy(np.int64)
             for k in (0, 1):
                 turned = _rotate(code, k)
-                top = (turned >> np.uint64(48)).astype(np.uint16)
-                rank = gray_rank(np.concatenate([top[:, None], top[:, None] ^ flips], axis=1), 16)
+                top = (turned >> np.uint64(64 - lead)).astype(np.uint32)
+                rank = gray_rank(np.concatenate([top[:, None], top[:, None] ^ flips], axis=1), lead)
                 goal = np.where(sums[k][rank] > 0, block_of[k][rank], -1)  # patterns that no code has are pruned here
                 own = goal[:, :1].copy()
                 goal.sort(axis=1)
@@ -195,29 +199,58 @@ def simhash_near_dedup(docs: DataFrame, radius: int = RADIUS, *, id_col: str = "
     Words are lower-cased (A-Z) and split at ASCII white space; null and empty texts have the fingerprint
     zero and are linked like any other. component_id is the smallest doc_id reachable over links of at most
     ``radius`` differing bits. Rows without id get a component as well, but never name one (unless all its
-    rows lack an id, then null). Repeated ids are repeated rows. An empty table gives an empty result.
+    rows lack an id, then null). Repeated ids are repeated rows, linked by their own texts alone. Texts of any
+    length are read whole. Extra columns are ignored. An empty table gives an empty result.
     """
-    docs = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    docs = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.lit("").alias("digest"))
+    marked = _marked(docs, words)
+    return _named(marked, _classes(marked, radius)).drop("digest", "part")
+
+
+def _marked(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, digest, code) of rows (doc_id, text, digest), as a table."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             codes = fingerprints(batch.column("text").to_pylist(), words).view(">i8")[:, 0].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(codes)], names=["doc_id", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(codes)], names=["doc_id", "digest", "code"])
+
+    return table(docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(scan, "doc_id long, digest string, code long"), "simhash")
 
-    marked = table(docs.mapInArrow(scan, "doc_id long, code long"), "simhash")
+
+def _classes(marked: DataFrame, radius: int) -> DataFrame:
+    """(code, n, component, part) of every distinct code, as a table: the smallest id reachable, and a number of the component itself."""
     # every distinct code is a node; it is named by its smallest id, codes without any id by one out of reach
     codes = marked.groupBy("code").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     last = F.lit(2**63 - 1) - F.pmod(F.xxhash64("code"), F.lit(2**40))
     codes = table(codes.select("code", F.coalesce("rep", last).alias("rep"), "n"), "simhash-codes")
-    found = components(gray_links(codes, radius), name="simhash-cc").select(F.col("node").alias("rep"), "component")
-    classes = codes.join(found, "rep", "left").select("code", "n", F.coalesce("component", "rep").alias("component"))
-    classes = table(classes, "simhash-classes")
+    # an id that stands for several codes would join them: a code is a node by its own number, ids name the result
+    found = components(gray_links(codes.select(F.col("code").alias("rep"), "code"), radius), name="simhash-cc").select(F.col("node").alias("code"), "component")
+    linked = codes.join(found, "code", "left").withColumn("component", F.coalesce("component", "code"))
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    return table(linked.join(least, "component").select("code", "n", F.col("least").alias("component"), F.col("component").alias("part")), "simhash-classes")
+
+
+def _named(marked: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, component_id, digest, part) of every row of ``marked``."""
     out = skew_join(marked, classes, "code", "n")
     named = F.when(F.col("component") < 2**63 - 2**41, F.col("component"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), named.alias("component_id"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), named.alias("component_id"), "digest", "part")
 
 
 def keep_representatives(docs: DataFrame, radius: int = RADIUS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that represent their component: those of its smallest id."""
-    kept = simhash_near_dedup(docs, radius, id_col=id_col, text_col=text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of ``docs``, all columns, that represent their component: one row, of its smallest id.
+
+    A row is known by its id and fingerprint, so a repeated id with texts of different components keeps what
+    represents each. A component without any id keeps one row too; of rows that repeat id and text one stays,
+    it does not matter which. Null, empty and white texts are near-duplicates of each other. Texts may have
+    any length, column names may clash in any way. Empty in, empty out.
+    """
+    at, text = place(docs, id_col), place(docs, text_col)
+    rows = numbered(docs)
+    marked = _marked(rows.select(F.col(f"c{at}").cast("long").alias("doc_id"), F.coalesce(f"c{text}", F.lit("")).alias("text"), F.sha2(F.coalesce(f"c{text}", F.lit("")), 256).alias("digest")), 3)
+    found = _named(marked, _classes(marked, radius))
+    # of several texts of that id the one of the smallest fingerprint, then digest
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "part").agg(F.min(F.struct("fingerprint", "digest")).alias("best"))
+    kept = kept.select(F.col("doc_id").alias("id"), "best.digest")
+    return keep_once(rows, kept, at, F.sha2(F.coalesce(f"c{text}", F.lit("")), 256), name="simhash-kept").toDF(*docs.columns)
