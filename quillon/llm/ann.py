@@ -177,8 +177,8 @@ def _matrix(vectors: pa.Array, dims: int) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
 
-def _search(held: DataFrame, wanted: DataFrame, model: Model, floor: np.ndarray, k: int, dims: int, group: int) -> DataFrame:
-    """(query, rep, low, high, seen) of what the index retrieves for each query and cannot be ruled out; and, with seen > 0 and no such vector, the number of all that it retrieved."""
+def _search(held: DataFrame, wanted: DataFrame, model: Model, floor: np.ndarray, k: int, dims: int, group: int, count: bool = False) -> DataFrame:
+    """(query, rep, low, high) of what the index retrieves for each query and cannot be ruled out; with ``count``, (query, seen): how many each bucket group brings up."""
     m, tail = model.substrings, model.width - model.lead
     near = ball(model.lead, model.reach) if model.lead <= 24 else None
 
@@ -192,7 +192,7 @@ def _search(held: DataFrame, wanted: DataFrame, model: Model, floor: np.ndarray,
                 low = []
                 if asks:
                     # a score that enough vectors reach, even if the index misses some of them
-                    deep = 2 * (k + 1)
+                    deep = (3 * k + 4) // 2
                     own = np.sort(x @ floor.T, axis=1) if len(floor) >= deep else np.full((len(x), deep), -np.inf)
                     low = [own[:, -deep] - 1e-9 * np.abs(x).sum(axis=1) * (np.abs(floor).max() if len(floor) else 0)]
                 for j in range(m):
@@ -202,13 +202,21 @@ def _search(held: DataFrame, wanted: DataFrame, model: Model, floor: np.ndarray,
                     cols += [pa.array(codes[i, j].astype(np.int32)), pa.array(top[i]), pa.array(gone[i]), pa.array(body[i], pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, names=["j", "lead", "id", *["floor"] * len(low), *(n for n, _ in _ROW)])
 
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leads = model.codes(_matrix(batch.column("v"), dims)) >> tail
+            for j in range(m):
+                lead, n = np.unique(leads[:, j], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), j, np.int32)), pa.array(lead.astype(np.int32)), pa.array(n)], names=["j", "lead", "n"])
+
     if near is None:
         raise ValueError("an index of more than 2**24 bucket groups")
     postings = held.mapInArrow(lambda b: emit(b, False), f"j int, lead int, id long, {_ROW_SQL}")
     probes = wanted.mapInArrow(lambda b: emit(b, True), f"j int, lead int, id long, floor double, {_ROW_SQL}")
     if model.lead:
         # crowded bucket groups (near copies of one vector) are dealt out again; the queries go to all their parts
-        crowd = postings.groupBy("j", "lead").count().where(F.col("count") > 2 * group).select("j", "lead", F.ceil(F.col("count") / group).cast("int").alias("parts"))
+        sizes = held.select("v").mapInArrow(tally, "j int, lead int, n long").groupBy("j", "lead").agg(F.sum("n").alias("n"))
+        crowd = sizes.where(F.col("n") > 2 * group).select("j", "lead", F.ceil(F.col("n") / group).cast("int").alias("parts"))
         postings = postings.join(crowd, ["j", "lead"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
         probes = probes.join(crowd, ["j", "lead"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     else:
@@ -218,9 +226,9 @@ def _search(held: DataFrame, wanted: DataFrame, model: Model, floor: np.ndarray,
         return np.frombuffer(b"".join(rows["body"]), "<i2").reshape(-1, dims).astype(np.float32) / np.float32(_TOP)
 
     def search(key: tuple, have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "low": np.zeros(0), "high": np.zeros(0), "seen": np.zeros(0, np.int64)})]
+        out = [pd.DataFrame({"query": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "low": np.zeros(0), "high": np.zeros(0)})]
         if not len(have) or not len(ask):
-            return out[0]
+            return pd.DataFrame({"query": np.zeros(0, np.int64), "seen": np.zeros(0, np.int64)}) if count else out[0]
         x, q, ids, asked = unpack(have), unpack(ask), have["id"].to_numpy(), ask["id"].to_numpy()
         # both sides in units of their largest component; the error is that of rounding to 16 bits and of float sums
         gone_x, gone_q = have["gone"].to_numpy(), ask["gone"].to_numpy()
@@ -228,7 +236,9 @@ def _search(held: DataFrame, wanted: DataFrame, model: Model, floor: np.ndarray,
         top_x, top_q, floor_q = have["top"].to_numpy(), ask["top"].to_numpy(), ask["floor"].to_numpy()
         seen = np.zeros(len(q), np.int64)
         for i, j in _pairs(model, int(key[1]), have["value"].to_numpy(np.int64), ask["value"].to_numpy(np.int64)):
-            seen += np.bincount(i, minlength=len(q))
+            if count:
+                seen += np.bincount(i, minlength=len(q))
+                continue
             for a in range(0, len(i), 1 << 17):
                 i2, j2 = i[a : a + (1 << 17)], j[a : a + (1 << 17)]
                 score = np.einsum("ij,ij->i", x[j2], q[i2]).astype(float)
@@ -237,37 +247,27 @@ def _search(held: DataFrame, wanted: DataFrame, model: Model, floor: np.ndarray,
                 low, high = (score - unsure) * scale, (score + unsure) * scale
                 ok = np.flatnonzero(high >= floor_q[i2])
                 ok = ok[_best(i2[ok], low[ok], high[ok], k)]
-                out.append(pd.DataFrame({"query": asked[i2[ok]], "rep": ids[j2[ok]], "low": low[ok], "high": high[ok], "seen": 0}))
-        out.append(pd.DataFrame({"query": asked, "rep": 0, "low": 0.0, "high": 0.0, "seen": seen})[seen > 0])
-        return pd.concat(out, ignore_index=True)
+                out.append(pd.DataFrame({"query": asked[i2[ok]], "rep": ids[j2[ok]], "low": low[ok], "high": high[ok]}))
+        return pd.DataFrame({"query": asked, "seen": seen}) if count else pd.concat(out, ignore_index=True)
 
     keys = ["j", "lead", "part"]
-    return postings.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(search, "query long, rep long, low double, high double, seen long")
+    return postings.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(search, "query long, seen long" if count else "query long, rep long, low double, high double")
 
 
 def _finalists(found: DataFrame, queries: int, k: int) -> DataFrame:
-    """(query, rep, candidates): per query those that may be among its k + 1 nearest, each once."""
+    """(query, rep): per query those that may be among its k + 1 nearest, each once."""
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        seen = rows.groupby("query")["seen"].sum()
-        rows = rows[rows["seen"] == 0].groupby(["query", "rep"], as_index=False).agg({"low": "min", "high": "max"})
+        rows = rows.groupby(["query", "rep"], as_index=False).agg({"low": "min", "high": "max"})
         rows = rows.iloc[_best(rows["query"].to_numpy(), rows["low"].to_numpy(), rows["high"].to_numpy(), k)]
-        return pd.DataFrame({"query": rows["query"], "rep": rows["rep"].astype("int64"), "candidates": seen.loc[rows["query"]].to_numpy().astype("int64")})
+        return rows[["query", "rep"]]
 
     blocks = max(1, -(-queries // 256))
-    return found.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")).applyInPandas(merge, "query long, rep long, candidates long")
-
+    return found.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")).applyInPandas(merge, "query long, rep long")
 
-def nearest_neighbours(vectors: DataFrame, k: int = 20, query: Column | None = None, *, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = FIT_RECALL, group: int = GROUP) -> DataFrame:
-    """The ``k`` nearest rows found for each row that ``query`` names (by default ids divisible by 20).
 
-    Columns: query_id, rank (from 1), vec_id, score: the inner product in double precision, and candidates: how
-    often the index brought up a vector for the query. Ties go to the smaller vec_id; a row is never its own
-    neighbour. Vectors that are null, zero or hold null or non-finite components take no part, nor do rows
-    without id; of differing lengths only the commonest takes part (ties: the longer). Repeated ids are one row
-    if their vectors are equal, else several. Queries that find fewer than k (and there are more) are searched
-    again with twice the reach. Vectors may have any length. Extra columns are ignored. Empty in, empty out.
-    """
+def _prepare(vectors: DataFrame, query: Column | None, k: int, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(classes of equal vectors: key, v, ids, id; rows that ask: key, vec_id; their classes: key, id, v, n; length of a vector)."""
     query = F.col("vec_id") % 20 == 0 if query is None else query
     rows = pick(vectors, vec_id=id_col, v=vector_col).select(F.col("vec_id").cast("long"), F.col("v").cast("array<double>")).where(F.col("vec_id").isNotNull() & _usable(F.col("v")))
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
@@ -275,27 +275,54 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, query: Column | None = N
     rows = rows.where(F.size("v") == dims).withColumn("v", F.transform("v", lambda c: c + F.lit(0.0)))
     # equal vectors are known by two hashes; classes keep their k + 1 smallest ids, in two steps so that no task sorts a hot class
     rows = rows.withColumn("key", F.concat(F.hex(F.xxhash64("v")), F.lit("-"), F.hex(F.xxhash64(F.lit(7), "v"))))
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(64))
-    small = rows.groupBy("key", "vec_id").agg(F.first("v").alias("v")).withColumn("part", part)
+    small = rows.select("key", "vec_id").distinct().withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     small = small.withColumn("at", F.row_number().over(Window.partitionBy("key", "part").orderBy("vec_id"))).where(F.col("at") <= k + 1)
     small = small.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).where(F.col("at") <= k + 1)
-    classes = table(small.groupBy("key").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("id", F.col("ids")[0]), "ann-classes")
+    small = small.groupBy("key").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    own = rows.groupBy("key").agg(F.first("v").alias("v"))
+    classes = table(small.join(own, "key").withColumn("id", F.col("ids")[0]), "ann-classes")
     asked = table(rows.where(query).select("key", "vec_id").distinct(), "ann-queries")
     queries = table(asked.groupBy("key").agg(F.count("*").alias("n")).join(classes, "key").select("key", "id", "v", "n"), "ann-query-classes")
-    count, many = classes.count(), queries.count()
-    total = classes.agg(F.sum(F.size("ids"))).first()[0] or 0
+    return classes, asked, queries, dims
+
+
+def _learned(classes: DataFrame, queries: int, dims: int, k: int, recall: float, group: int) -> tuple[Model, np.ndarray]:
+    """(index, sample for lower bounds), from a sample of the classes by a hash of their id."""
+    count = classes.count()
     share = min(1.0, min(FIT_VECTORS, FIT_VALUES // dims) / max(1, count))
     sample = classes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v", F.size("ids").alias("n")).toPandas()
     x = np.stack(sample["v"]) if len(sample) else np.zeros((0, dims))
-    model, floor = learn(x, k, count, many, recall, group, sample["n"].to_numpy()), x[:BOUND_VECTORS]
+    return learn(x, k, count, queries, recall, group, sample["n"].to_numpy()), x[:BOUND_VECTORS]
+
+
+def candidate_counts(vectors: DataFrame, k: int = 20, query: Column | None = None, *, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = FIT_RECALL, group: int = GROUP) -> DataFrame:
+    """(query, candidates) of each distinct query vector: how many vectors the index brings up for it, each as often as it does."""
+    classes, _, queries, dims = _prepare(vectors, query, k, id_col, vector_col)
+    model, floor = _learned(classes, queries.count(), dims, k, recall, group)
+    return _search(classes.select("id", "v"), queries.select("id", "v"), model, floor, k, dims, group, count=True).groupBy("query").agg(F.sum("seen").alias("candidates"))
+
+
+def nearest_neighbours(vectors: DataFrame, k: int = 20, query: Column | None = None, *, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = FIT_RECALL, group: int = GROUP) -> DataFrame:
+    """The ``k`` nearest rows found for each row that ``query`` names (by default ids divisible by 20).
+
+    Columns: query_id, rank (from 1), vec_id, score: the inner product in double precision. Ties go to the
+    smaller vec_id; a row is never its own neighbour. Vectors that are null, zero or hold null or non-finite components take no part, nor do rows
+    without id; of differing lengths only the commonest takes part (ties: the longer). Repeated ids are one row
+    if their vectors are equal, else several. Queries that find fewer than k (and there are more) are searched
+    again with twice the reach. Vectors may have any length. Extra columns are ignored. Empty in, empty out.
+    """
+    classes, asked, queries, dims = _prepare(vectors, query, k, id_col, vector_col)
+    many = queries.count()
+    total = classes.agg(F.sum(F.size("ids"))).first()[0] or 0
+    model, floor = _learned(classes, many, dims, k, recall, group)
     held, wanted, lists = classes.select("id", "v"), queries.select("id", "v"), None
     product = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
     while True:
         pairs = _finalists(_search(held, wanted, model, floor, k, dims, group), many, k)
         exact = pairs.join(classes.select(F.col("id").alias("rep"), "v", "ids"), "rep").join(queries.select(F.col("id").alias("query"), F.col("v").alias("qv")), "query")
-        exact = exact.select("query", "candidates", product.alias("score"), F.explode("ids").alias("vec_id"))
+        exact = exact.select("query", product.alias("score"), F.explode("ids").alias("vec_id"))
         best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
-        near = exact.withColumn("at", best).where(F.col("at") <= k + 1).groupBy("query").agg(F.max("candidates").alias("candidates"), F.array_sort(F.collect_list(F.struct("at", "vec_id", "score"))).alias("near"))
+        near = exact.withColumn("at", best).where(F.col("at") <= k + 1).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("at", "vec_id", "score"))).alias("near"))
         near = table(near, "ann-lists")
         full = F.size("near") >= min(k + 1, total)
         lists = near.where(full) if lists is None else lists.unionByName(near.where(full))
@@ -306,8 +333,8 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, query: Column | None = N
             break
         wanted, model = table(wanted, "ann-again"), replace(model, reach=min(model.width, 2 * model.reach + 1))
     # back from classes of equal queries to their rows; hot classes are joined apart
-    named = queries.select("key", F.col("id").alias("query"), "n").join(lists, "query").select("key", "near", "candidates", "n")
+    named = queries.select("key", F.col("id").alias("query"), "n").join(lists, "query").select("key", "near", "n")
     members = skew_join(asked.select("key", F.col("vec_id").alias("query_id")), named, "key", "n").where(F.col("near").isNotNull())
     mine = F.slice(F.filter("near", lambda s: s["vec_id"] != F.col("query_id")), 1, k)
-    out = members.select("query_id", "candidates", F.posexplode(mine).alias("p", "s"))
-    return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("s.vec_id").alias("vec_id"), F.col("s.score").alias("score"), "candidates")
+    out = members.select("query_id", F.posexplode(mine).alias("p", "s"))
+    return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("s.vec_id").alias("vec_id"), F.col("s.score").alias("score"))
