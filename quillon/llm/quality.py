@@ -2,7 +2,10 @@
 
 Every line is good or bad. Features of a line and of its two neighbours feed the field; forward-backward
 gives each line's marginal, and the marginals, weighted by line length, make the document's quality. Only
-documents are labelled, so in fitting every line carries its document's label.
+documents are labelled: a line's own label is latent, and its document's label is evidence of it that is wrong
+for some lines. Fitting takes two stages. Generalised EM over the features of single lines, where the expectation
+given that evidence is the target of every step, tells which lines are good; then the whole field, neighbours and
+changes between good and bad lines included, is fitted to those lines.
 """
 
 from __future__ import annotations
@@ -17,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import pick, slices
 
-#: Fit on about so many labelled documents, and on so many lines of each.
-FIT_ROWS, FIT_LINES = 4000, 256
+#: Fit on about so many labelled documents, and on so many lines of each, drawn as runs spread over the whole document.
+FIT_ROWS, FIT_LINES, RUN_LINES = 4000, 128, 16
+#: Share of the lines of a document that are taken to have its label, before anything is learned.
+TRUST = 0.8
 _KINDS = 8
 _UPPER, _LOWER, _DIGIT, _STOP, _MARK, _SYMBOL, _PIPE, _WIDE = range(_KINDS)
 
@@ -161,26 +166,38 @@ def _log_odds(good: np.ndarray, chars: np.ndarray, doc: np.ndarray, n: int) -> n
     return np.log(mean) - np.log1p(-mean)
 
 
-def fit_crf(x: np.ndarray, chars: np.ndarray, doc: np.ndarray, labels: np.ndarray, rounds: int = 200, ridge: float = 1e-3) -> Model:
-    """Maximum conditional likelihood by Adam; ``labels`` are those of documents 0, 1, .."""
+def fit_crf(x: np.ndarray, chars: np.ndarray, doc: np.ndarray, labels: np.ndarray, chain: np.ndarray | None = None, rounds: int = 200, ridge: float = 1e-3) -> Model:
+    """Latent line labels by generalised EM, then the field, both by Adam steps; ``labels`` are those of documents 0, 1, ..
+
+    ``x`` holds the features of lines and their neighbours; lines of one ``chain`` (by default of one document)
+    follow each other.
+    """
     prior = float(np.clip(labels.mean(), 0.01, 0.99)) if len(labels) else 0.5
     model = Model(np.zeros(3 * FEATURES), np.zeros((2, 2)), 1.0, 0.0, prior)
     if not len(x) or labels.min() == labels.max():
         return Model(model.weights, model.moves, 0.0, float(np.log(prior / (1 - prior))), prior)
-    x, y = with_neighbours(x, doc).astype(np.float64), labels[doc].astype(np.float64)
+    y, chain = labels[doc].astype(float), doc if chain is None else chain
     # rare labels and documents of many lines weigh no more than others
     weight = 1.0 / np.bincount(doc, minlength=len(labels))[doc] / np.where(y == 1, labels.sum(), (1 - labels).sum()) / 2
-    inner = np.flatnonzero(doc[1:] == doc[:-1])
-    seen = np.zeros((len(inner), 2, 2))
-    seen[np.arange(len(inner)), y[inner].astype(int), y[inner + 1].astype(int)] = 1
-    p = np.zeros(x.shape[1] + 4)
+    inner = np.flatnonzero(chain[1:] == chain[:-1])
+    p, told = np.zeros(x.shape[1] + 4), (2 * y - 1) * np.log(TRUST / (1 - TRUST))
     m, v = np.zeros_like(p), np.zeros_like(p)
+    want, seen = None, None
     for t in range(1, rounds + 1):
-        good, pairs, _ = marginals(x @ p[:-4], doc, p[-4:].reshape(2, 2))
-        g = np.append(x.T @ (weight * (y - good)), ((seen - pairs[inner]) * weight[inner, None, None]).sum(axis=0)) - ridge * p
+        if t <= rounds // 2:  # lines on their own
+            unary = x[:, :FEATURES] @ p[:FEATURES].astype(x.dtype)
+            pull = weight * (1 / (1 + np.exp(-unary - told)) - 1 / (1 + np.exp(-unary)))
+            g = np.append(x[:, :FEATURES].T @ pull.astype(x.dtype), np.zeros(len(p) - FEATURES)) - ridge * p
+        else:
+            if want is None:
+                want = 1 / (1 + np.exp(-x[:, :FEATURES] @ p[:FEATURES].astype(x.dtype)))
+                both = np.stack([1 - want, want], axis=1)
+                seen = both[inner][:, :, None] * both[inner + 1][:, None, :]
+            good, pairs, _ = marginals(x @ p[:-4].astype(x.dtype), chain, p[-4:].reshape(2, 2))
+            g = np.append(x.T @ (weight * (want - good)).astype(x.dtype), ((seen - pairs[inner]) * weight[inner, None, None]).sum(axis=0)) - ridge * p
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p + 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    good, _, _ = marginals(x @ p[:-4], doc, p[-4:].reshape(2, 2))
+    good, _, _ = marginals(x @ p[:-4], chain, p[-4:].reshape(2, 2))
     z = _log_odds(good, chars, doc, len(labels))
     z, y = z[~np.isnan(z)], labels[~np.isnan(z)].astype(float)
     a, b = 1.0, 0.0  # calibrate: two parameters by Newton steps, held back a little
@@ -202,25 +219,35 @@ def score(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray
     return 1 / (1 + np.exp(-odds)), good, doc
 
 
+def spread_runs(lines: int, most: int, run: int) -> np.ndarray:
+    """Numbers of at most ``most`` of ``lines`` lines: all, or runs of ``run`` at equal distances from the first line to the last."""
+    if lines <= most:
+        return np.arange(lines)
+    starts = np.linspace(0, lines - run, most // run).astype(int)
+    return (starts[:, None] + np.arange(run)).ravel()
+
+
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, fit_lines: int = FIT_LINES) -> Model:
-    """Fit on about ``fit_rows`` of the labelled ``rows`` (doc_id, text, label) and at most ``fit_lines`` lines of each."""
+    """Fit on about ``fit_rows`` of the labelled ``rows`` (doc_id, text, label) and at most ``fit_lines`` lines of each, from all over it."""
     share = min(1.0, fit_rows / max(1, rows.count()))
     rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text", "label")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             x, chars, doc = line_features(batch.column("text").to_pylist())
+            x = with_neighbours(x, doc)
             at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            own = [slice(a, min(b, a + fit_lines)) for a, b in zip(at[:-1], at[1:], strict=True)]
-            cols = [batch.column("label"), pa.array([x[s].tobytes() for s in own], pa.binary()), pa.array([chars[s].astype(np.int64).tobytes() for s in own], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["label", "x", "chars"])
+            own = [a + spread_runs(b - a, fit_lines, RUN_LINES) for a, b in zip(at[:-1], at[1:], strict=True)]
+            cols = [batch.column("label"), *(pa.array([z[s].tobytes() for s in own], pa.binary()) for z in (x, chars.astype(np.int64), np.arange(len(x))))]
+            yield pa.RecordBatch.from_arrays(cols, names=["label", "x", "chars", "line"])
 
-    found = rows.mapInArrow(measure, "label int, x binary, chars binary").toPandas()
-    xs = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in found["x"]]
-    chars = [np.frombuffer(b, np.int64) for b in found["chars"]]
-    doc = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
-    x = np.concatenate(xs) if xs else np.zeros((0, FEATURES), np.float32)
-    return fit_crf(x, np.concatenate(chars) if chars else np.zeros(0), doc, found["label"].to_numpy(np.int64))
+    found = rows.mapInArrow(measure, "label int, x binary, chars binary, line binary").toPandas()
+    joined = lambda name, kind: np.frombuffer(b"".join(found[name]), kind)
+    x, chars, line = joined("x", np.float32).reshape(-1, 3 * FEATURES), joined("chars", np.int64), joined("line", np.int64)
+    doc = np.repeat(np.arange(len(found)), [len(b) // 8 for b in found["line"]])
+    # a chain ends where the next line of the sample does not follow in the document
+    chain = np.cumsum((np.diff(doc, prepend=-1) != 0) | (np.diff(line, prepend=-2) != 1)) - 1
+    return fit_crf(x, chars, doc, found["label"].to_numpy(np.int64), chain)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", model: Model | None = None) -> DataFrame:
@@ -228,7 +255,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, held_out: Column | None
 
     Labels (0 or 1, null ones ignored) are learned from rows that ``held_out`` (by default crc32 of the id
     mod 3 is 1) does not name. Null, empty and blank texts score the share of good labels. If all labels are
-    equal or there are none, every document scores that share (0.5). Repeated ids are repeated rows.
+    equal or there are none, every document scores that share (0.5). Repeated ids are repeated rows. Texts of
+    any length are scored whole; extra columns are ignored. Empty in, empty out.
     """
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1 if held_out is None else held_out
     docs = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text").withColumn("held_out", F.coalesce(held_out, F.lit(False)))

@@ -2,9 +2,11 @@
 
 Five small transducers (insult, threat, target, negation, reported speech) are composed into one; it reads a
 clause as word classes and scores it as a whole: an insult weighs what its word or stem was learned to weigh,
-more beside a target, less behind a negation or in reported speech; a threat needs a target. Insult words and
-stems come from labelled documents, so any language of the labels is covered; a document's clause scores give
-its probability.
+more behind a target, less behind a negation or in reported speech; a threat needs a target. All word classes
+are learned from labelled documents, so any language of the labels is covered: insults set the label apart by
+themselves; negations and reports stand before insults of harmless documents, just before or further off;
+targets stand before insults of toxic ones; a threat is a word that sets the label apart only where a target
+follows. A document's clause scores give its probability.
 """
 
 from __future__ import annotations
@@ -13,24 +15,23 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import pick, slices, table
 
-#: Fit on about so many labelled documents; entries of the learned lexicon at most; documents an entry needs; least log-odds.
-FIT_ROWS, LEXICON, LEAST_DOCS, LEAST_ODDS = 20_000, 5_000, 4, 2.0
+#: Fit on about so many labelled documents; documents an entry of the lexicon needs; its least log-odds, two standard errors taken off.
+FIT_ROWS, LEAST_DOCS, LEAST_ODDS = 20_000, 4, 1.5
 STEMS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
-#: Words of the grammar's other classes, in English, French, German and Spanish.
-THREATS = ["kill", "hurt", "destroy", "shoot", "stab", "beat", "burn", "hang", "murder", "strangle", "tuer", "frapper", "töten", "umbringen", "matar", "golpear"]
-TARGETS = ["you", "your", "yours", "yourself", "u", "he", "she", "they", "them", "him", "her", "tu", "toi", "vous", "du", "dich", "ihr", "euch", "tú", "usted", "ustedes", "vosotros"]
-NEGATIONS = ["not", "no", "never", "nobody", "isn", "aren", "wasn", "don", "doesn", "won", "cannot", "ne", "jamais", "nicht", "kein", "nie", "nunca", "jamás"]
-REPORTS = ["said", "says", "say", "wrote", "claimed", "called", "quoted", "reported", "told", "dit", "disait", "sagte", "meinte", "schrieb", "dijo", "escribió", "quote"]
+#: Documents in which a word must stand before an insult (or a target) to be given a class; how far its log-odds must lie from those of all words that stand there, and by how many standard errors.
+LEAST_CONTEXTS, LEAST_SHIFT, LEAST_ERRORS = 8, 1.0, 3.0
+#: Words before an insult, or after a threat, that are near it.
+NEAR = 3
 _WORD = re.compile(r"[^\W\d_]+|[\"“”«»]")
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER = range(7)
@@ -81,7 +82,7 @@ class Grammar:
 
 
 GRAMMAR = Grammar(INSULTS, THREATENING, TARGETED, NEGATED, REPORTED)
-_CLASSES = {w: k for k, own in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in own} | dict.fromkeys('"“”«»', QUOTE)
+_QUOTES = frozenset('"“”«»')
 
 
 @dataclass
@@ -90,11 +91,19 @@ class Model:
     stems: dict[str, float]
     coefficients: np.ndarray
     prior: float
+    classes: dict[str, int] = field(default_factory=dict)  # of words that are no insults
+
+    def __post_init__(self) -> None:
+        self.threats = frozenset(w for w, k in self.classes.items() if k == THREAT)
 
     def weight(self, word: str) -> float:
         own = self.words.get(word)
         return own if own is not None else max((self.stems.get(word[:k], 0.0) for k in STEMS if len(word) > k), default=0.0)
 
+    def kind(self, word: str) -> int:
+        """The class of a word that is no insult."""
+        return QUOTE if word in _QUOTES else self.classes.get(word, OTHER)
+
 
 def matched_clauses(text: str, model: Model) -> list[tuple[str, float]]:
     """(clause, score) of every clause that holds an insult or a threat."""
@@ -102,7 +111,7 @@ def matched_clauses(text: str, model: Model) -> list[tuple[str, float]]:
     for clause in _CLAUSE.split(text.lower()):
         words = _WORD.findall(clause)
         weights = [model.weight(w) for w in words]
-        kinds = [INSULT if x > 0 else _CLASSES.get(w, OTHER) for w, x in zip(words, weights, strict=True)]
+        kinds = [INSULT if x > 0 else model.kind(w) for w, x in zip(words, weights, strict=True)]
         if any(weights) or THREAT in kinds:
             out.append((clause, GRAMMAR.score(kinds, weights)))
     return out
@@ -112,7 +121,7 @@ def features(text: str | None, model: Model) -> list[float]:
     """Best clause, all clauses, matches, matches per word; zeros if nothing matches."""
     words = _WORD.findall((text or "").lower())
     distinct = set(words)
-    if not any(w in model.words or w in _THREATS or any(w[:k] in model.stems for k in STEMS if len(w) > k) for w in distinct):
+    if not any(w in model.words or w in model.threats or any(w[:k] in model.stems for k in STEMS if len(w) > k) for w in distinct):
         return [0.0] * 4
     scores = [s for _, s in matched_clauses(text, model) if s > 0]
     if not scores:
@@ -120,9 +129,6 @@ def features(text: str | None, model: Model) -> list[float]:
     return [min(max(scores), 12.0), math.log1p(sum(scores)), math.log1p(len(scores)), min(1.0, sum(scores) / (len(words) + 20))]
 
 
-_THREATS = frozenset(THREATS)
-
-
 def _fit_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float], int, int]:
     """Words and stems that set label 1 apart, with their log-odds, from rows (text, label)."""
 
@@ -130,7 +136,7 @@ def _fit_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float], i
         sums = {0: Counter(), 1: Counter()}
         for batch in slices(batches, "text"):
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                sums[label].update({w for w in _WORD.findall((text or "").lower()) if 2 < len(w) < 40})
+                sums[label].update(set(_WORD.findall((text or "").lower())) - _QUOTES)
                 sums[label][""] += 1
             if sum(map(len, sums.values())) > 500_000:
                 yield from emit(sums)
@@ -152,11 +158,62 @@ def _fit_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float], i
         terms = terms.union(words.where(F.length("word") > k).select(F.substring("word", 1, k), "bad", "good", F.lit(True)))
     terms = terms.groupBy("stem", "word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / F.lit(bad + 1.0)) - F.log((F.col("good") + 0.5) / F.lit(good + 1.0))
-    best = terms.where(F.col("bad") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    found = best.orderBy(F.desc("odds"), "stem", "word").limit(LEXICON).collect()
+    error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+    best = terms.where(F.col("bad") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") - 2 * error >= LEAST_ODDS)
+    # of FIT_ROWS documents at most a bounded number of words passes LEAST_DOCS and LEAST_ODDS: all of them are kept
+    found = best.collect()
     return {r["word"]: r["odds"] for r in found if not r["stem"]}, {r["word"]: r["odds"] for r in found if r["stem"]}, bad, good
 
 
+def contexts(text: str | None, model: Model, targets: frozenset[str] = frozenset()) -> set[tuple[str, str]]:
+    """(role, word) of a text: words near before an insult, words further before one in its clause; given targets, words that one follows nearby."""
+    out = set()
+    for clause in _CLAUSE.split((text or "").lower()):
+        words = [w for w in _WORD.findall(clause) if w not in _QUOTES]
+        insult = [i for i, w in enumerate(words) if model.weight(w) > 0]
+        if insult and not targets:
+            out.update(("near", words[j]) for i in insult for j in range(max(0, i - NEAR), i) if j not in insult)
+            out.update(("far", words[j]) for j in range(max(0, insult[-1] - NEAR)) if j not in insult)
+        if targets:
+            follow = [i for i, w in enumerate(words) if w in targets]
+            out.update(("threat", words[j]) for i in follow for j in range(max(0, i - NEAR), i) if j not in insult and words[j] not in model.classes)
+    return out
+
+
+def _fit_classes(rows: DataFrame, model: Model, bad: int, good: int) -> dict[str, int]:
+    """Classes of words from where they stand, from rows (text, label): each document counts a (role, word) once."""
+
+    def counted(targets: frozenset[str]) -> DataFrame:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text"):
+                found = [(r, w, x) for t, x in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True) for r, w in contexts(t, model, targets)]
+                cols = list(zip(*found, strict=True)) or [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], names=["role", "word", "label"])
+
+        sums = rows.mapInArrow(count, "role string, word string, label int").groupBy("role", "word")
+        return sums.agg(F.sum("label").cast("long").alias("bad"), F.sum(1 - F.col("label")).cast("long").alias("good")).where(F.col("bad") + F.col("good") >= LEAST_CONTEXTS)
+
+    def odds(row: Row, bad: int, good: int) -> float:
+        return math.log((row["bad"] + 0.5) / (row["good"] + 0.5)) - math.log((bad + 0.5) / (good + 0.5))
+
+    # words that stand before an insult in enough documents: bounded by FIT_ROWS / LEAST_CONTEXTS times the words of a clause
+    found = counted(frozenset()).collect()
+    classes: dict[str, int] = {}
+    for role, fewer, more in (("far", REPORT, None), ("near", NEGATION, TARGET)):
+        own = [r for r in found if r["role"] == role]
+        every = sum(r["bad"] for r in own), sum(r["good"] for r in own)
+        for r in sorted(own, key=lambda r: r["word"]):
+            shift = odds(r, *every)
+            if abs(shift) >= max(LEAST_SHIFT, LEAST_ERRORS * math.sqrt(1 / (r["bad"] + 0.5) + 1 / (r["good"] + 0.5))) and (fewer if shift < 0 else more):
+                classes[r["word"]] = fewer if shift < 0 else more
+    model.classes = classes
+    targets = frozenset(w for w, k in classes.items() if k == TARGET)
+    if targets:
+        # beside a target the label's odds stand out; the word alone, whose odds are lower, is no insult
+        classes |= {r["word"]: THREAT for r in counted(targets).collect() if r["role"] == "threat" and r["bad"] >= LEAST_DOCS and odds(r, bad, good) >= LEAST_ODDS}
+    return classes
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
@@ -176,6 +233,8 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     half = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(10)) < 7
     words, stems, bad, good = _fit_lexicon(rows.where(half).select("text", "label"))
     model = Model(words, stems, np.zeros(5), (bad + 0.5) / (bad + good + 1))
+    if words or stems:
+        model = replace(model, classes=_fit_classes(rows.where(half).select("text", "label"), model, bad, good))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -197,7 +256,8 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column | Non
 
     Labels (0 or 1, others ignored) are learned from rows that ``held_out`` (by default crc32 of the id mod 4
     is 2) does not name. Null and empty texts score like any text without a matched clause. Without labels
-    of both kinds every document scores the share of label 1. Repeated ids are repeated rows.
+    of both kinds every document scores the share of label 1. Repeated ids are repeated rows. Texts of any
+    length are read whole; extra columns are ignored. Empty in, empty out.
     """
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2 if held_out is None else held_out
     docs = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text").withColumn("held_out", F.coalesce(held_out, F.lit(False)))

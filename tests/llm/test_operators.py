@@ -196,6 +196,30 @@ def test_marginals_against_all_labellings():
     assert pairs[2].sum() == 0
 
 
+def test_lines_of_mixed_documents(spark):
+    """Labels are those of documents; the field still learns which lines are bad, and that good and bad lines alternate."""
+    rng = random.Random(5)
+    good = lambda: " ".join(rng.choice(WORDS["en"].split()) for _ in range(12)).capitalize() + "."
+    bad = lambda: "BUY!! NOW!! " * 5
+    texts, labels = [], []
+    for i in range(200):
+        most, few = (good, bad) if i % 2 else (bad, good)
+        texts.append("\n".join(few() if j % 5 == 4 else most() for j in range(20)))
+        labels.append((i, i % 2))
+    table = docs(spark, texts).join(spark.createDataFrame(labels, "doc_id long, label int"), "doc_id")
+    model = quality.fit(table)
+    _, lines, doc = quality.score(texts, model)
+    want = np.array([(j % 5 == 4) != bool(i % 2) for i in range(200) for j in range(20)])
+    assert ((lines > 0.5) == want).mean() > 0.95
+    assert model.moves[0, 1] + model.moves[1, 0] > -4  # changes within a document are learned
+
+
+def test_spread_runs():
+    assert quality.spread_runs(5, 8, 4).tolist() == [0, 1, 2, 3, 4]
+    found = quality.spread_runs(1000, 128, 16)
+    assert len(set(found)) == 128 and found[0] == 0 and found[-1] == 999
+
+
 # toxicity
 def test_toxicity(spark):
     rng = random.Random(3)
@@ -207,15 +231,60 @@ def test_toxicity(spark):
     assert toxicity.classify_toxicity(docs(spark), labels.where("false")).count() == len(TEXTS) + 2
 
 
-def test_grammar():
-    model = toxicity.Model({"idiot": 5.0}, {}, np.zeros(5), 0.1)
+def _clause(kinds, weights):
+    """The grammar's rules, each told on its own over the whole clause."""
+    I, H, T, N, R, Q = toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.QUOTE
+    total = 0.0
+    for i, k in enumerate(kinds):
+        before = kinds[:i]
+        if k == T:  # a threat up to three words ago, not used by a target since
+            used = max((j for j in range(i) if kinds[j] == T), default=-1)
+            total += 4.0 * any(kinds[j] == H for j in range(max(used + 1, i - 3), i))
+        if k == I:
+            factor = 0.5 if I in before else 1.0
+            factor *= 1.25 if T in before else 1.0
+            last = max((j for j in range(i) if kinds[j] == I), default=-1)
+            factor *= 0.4 if any(kinds[j] == N for j in range(max(last + 1, i - 3), i)) else 1.0
+            state = 0  # in quotation marks, or behind a word of reporting outside them
+            for b in before:
+                state = {0: {R: 1, Q: 2}, 1: {}, 2: {Q: 0}}[state].get(b, state)
+            total += weights[i] * factor * (1.0, 0.6, 0.8)[state]
+    return total
+
+
+def test_composed_grammar_against_all_clauses():
+    for n in range(1, 6):
+        for kinds in itertools.product(range(7), repeat=n):
+            weights = [1.0 + i for i in range(n)]
+            assert toxicity.GRAMMAR.score(list(kinds), weights) == pytest.approx(_clause(list(kinds), weights)), kinds
+
+
+def test_grammar_of_a_model():
+    classes = {"you": toxicity.TARGET, "not": toxicity.NEGATION, "said": toxicity.REPORT, "crush": toxicity.THREAT}
+    model = toxicity.Model({"idiot": 5.0}, {}, np.zeros(5), 0.1, classes)
     score = lambda t: sum(s for _, s in toxicity.matched_clauses(t, model))
-    plain, target, negated, reported = score("an idiot"), score("you idiot"), score("you are not an idiot"), score('he said you are an idiot')
+    plain, target, negated, reported = score("an idiot"), score("you idiot"), score("you are not an idiot"), score("he said you are an idiot")
     assert negated < plain < target and reported < target
-    assert score("i will kill you") > 0 and score("i will kill time") == 0
+    assert score("i will crush you") > 0 and score("i will crush time") == 0
     assert toxicity.features(None, model) == toxicity.features("", model) == [0.0] * 4
 
 
+def test_toxic_classes_are_learned(spark):
+    """Made-up words: an insult, a negation and a report that take it back, a target, and a threat that needs the target."""
+    rng = random.Random(9)
+    fill = lambda n: " ".join(rng.choice("lorem ipsum dolor amet sit elit sed".split()) for _ in range(n))
+    bad = [lambda: f"{fill(4)}. zu blorg {fill(2)}", lambda: f"{fill(3)}. {fill(6)} blorg", lambda: f"{fill(3)}. krem zu {fill(2)}"]
+    good = [lambda: f"{fill(3)}. nix blorg {fill(2)}", lambda: f"{fill(3)}. sprak {fill(4)} blorg", lambda: f"{fill(4)}. krem {fill(4)}.", lambda: fill(8), lambda: f"{fill(3)}. zu {fill(3)}."]
+    made = [(1, rng.choice(bad)()) if i % 2 else (0, rng.choices(good, (1, 1, 4, 11, 3))[0]()) for i in range(3000)]
+    rows = docs(spark, [t for _, t in made])
+    labels = spark.createDataFrame([(i, y) for i, (y, _) in enumerate(made)], "doc_id long, toxic int")
+    model = toxicity.fit(rows.join(labels, "doc_id").select("doc_id", "text", F.col("toxic").alias("label")))
+    assert "blorg" in model.words and not {"nix", "sprak", "lorem"} & set(model.words)
+    assert model.classes["nix"] == toxicity.NEGATION and model.classes["sprak"] == toxicity.REPORT
+    assert model.classes["zu"] == toxicity.TARGET and model.classes["krem"] == toxicity.THREAT
+    assert not {"lorem", "ipsum", "dolor", "sit"} & set(model.classes)
+
+
 # PII
 def _base(text):
     def luhn(d):
