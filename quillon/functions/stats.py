@@ -72,6 +72,30 @@ def mcnemar_exact(lost: Column, gained: Column) -> Column:
     return _exact_p(count(lost), count(gained))
 
 
+@F.pandas_udf(DoubleType())
+def _rule_p(lost: pd.Series, gained: pd.Series) -> pd.Series:
+    return pd.Series([mcnemar_corrected_p(int(b), int(c)) for b, c in zip(lost, gained, strict=True)], dtype="float64")
+
+
+def mcnemar_rule(lost: Column, gained: Column) -> Column:
+    """mcnemar_corrected_p of each (aggregated) row: exact below 25 discordant pairs, else chi-square corrected; a null count is none."""
+    count = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))
+    return _rule_p(count(lost), count(gained))
+
+
+@F.pandas_udf(DoubleType())
+def normal_cdf(x: pd.Series) -> pd.Series:
+    """Probability of a standard normal variable below x; null stays null."""
+    return x.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)), na_action="ignore").astype("float64")
+
+
+@F.pandas_udf(DoubleType())
+def normal_inverse(p: pd.Series) -> pd.Series:
+    """The standard normal quantile; outside (0, 1) the infinities and NaN."""
+    inv = NormalDist().inv_cdf
+    return p.map(lambda v: inv(v) if 0 < v < 1 else -math.inf if v == 0 else math.inf if v == 1 else math.nan, na_action="ignore").astype("float64")
+
+
 def wilson(successes: Column, n: Column, z: float) -> tuple[Column, Column]:
     """Wilson score interval, widened to hold the point itself."""
     p = successes / n

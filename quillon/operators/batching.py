@@ -80,3 +80,54 @@ def in_batches(rows: DataFrame, order: list[str], size: int, accumulation: int =
     w = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy(*order)
     at = F.row_number().over(w) - 1
     return rows.withColumn("batch", F.floor(at / size).cast("long")).withColumn("step", F.floor(at / size / accumulation).cast("long"))
+
+
+def checked_feature(ids: Column, prompt_len: Column) -> Column:
+    """``ids``, or an error unless 0 <= prompt_len < length: a feature without an answer teaches nothing."""
+    ok = F.coalesce((prompt_len >= 0) & (prompt_len < F.size(ids)), F.lit(False))
+    return F.when(ok, ids).otherwise(F.raise_error(F.lit("a feature needs an answer behind its prompt")).cast("array<int>"))
+
+
+def checked_pair(chosen: Column, rejected: Column, prompt_len: Column) -> Column:
+    """Number of leading ids that both sides share, or an error if it is less than the prompt."""
+    shared = common_prefix(chosen, rejected)
+    return F.when(shared >= prompt_len, shared).otherwise(F.raise_error(F.lit("the sides of a pair have different prompts")).cast("int"))
+
+
+def collate_pairs(pairs: DataFrame, most: int, fill: int, multiple: int | None = None) -> DataFrame:
+    """Preference pairs (batch, chosen, rejected, prompt_len) padded for a step: a pair survives only if both sides do.
+
+    Columns: batch, chosen_ids, chosen_labels, rejected_ids, rejected_labels, width (one for both sides of all
+    pairs of a batch), truncated (either side). A batch without a surviving pair is an error.
+    """
+    for side in ("chosen", "rejected"):
+        status, ids = truncate(F.col(side), F.col("prompt_len"), most)
+        pairs = pairs.withColumn(f"__{side}_status", status).withColumn(f"__{side}", ids)
+    lives = (F.col("__chosen_status") != "dropped") & (F.col("__rejected_status") != "dropped")
+    pairs = pairs.withColumn("__lives", lives)
+    w = Window.partitionBy("batch")
+    longest = F.max(F.when(F.col("__lives"), F.greatest(F.size("__chosen"), F.size("__rejected")))).over(w)
+    pairs = pairs.withColumn("width", padded_width(longest, multiple))
+    pairs = pairs.withColumn("width", F.when(F.col("width").isNull(), F.raise_error(F.lit("no pair of the batch survives")).cast("int")).otherwise(F.col("width")))
+    # the error is of the batch, so the width is read before the dropped pairs go
+    pairs = pairs.where(F.col("width").isNotNull() & F.col("__lives"))
+    sides = [c for s in ("chosen", "rejected") for c in (pad_right(F.col(f"__{s}"), F.col("width"), fill).alias(f"{s}_ids"), masked_labels(F.col(f"__{s}"), F.col("prompt_len"), F.col("width")).alias(f"{s}_labels"))]
+    truncated = (F.col("__chosen_status") == "truncated") | (F.col("__rejected_status") == "truncated")
+    return pairs.select("batch", *(c for c in pairs.columns if c not in ("batch", "chosen", "rejected", "width") and not c.startswith("__")), *sides, "width", truncated.alias("truncated"))
+
+
+def survival(pairs: DataFrame, most: int) -> DataFrame:
+    """Per batch: pairs, kept, truncated and dropped ones, either side counting."""
+    status = [truncate(F.col(s), F.col("prompt_len"), most)[0] for s in ("chosen", "rejected")]
+    dropped, cut = (status[0] == "dropped") | (status[1] == "dropped"), (status[0] == "truncated") | (status[1] == "truncated")
+    return pairs.groupBy("batch").agg(F.count("*").alias("pairs"), F.count_if(~dropped & ~cut).alias("kept"), F.count_if(~dropped & cut).alias("truncated"), F.count_if(dropped).alias("dropped"))
+
+
+def sequences_digest(rows: DataFrame, group: str, order: list[str], ids: str) -> DataFrame:
+    """(group, digest): SHA-256 over the ordered sequences of a group, each with its length in front so that boundaries count.
+
+    Every sequence becomes a digest of its own before anything is gathered: 64 letters a row.
+    """
+    own = F.sha2(F.concat(F.size(ids).cast("string"), F.lit(":"), F.array_join(ids, ",")), 256)
+    listed = F.array_sort(F.collect_list(F.struct(*order, own.alias("__digest"))))
+    return rows.groupBy(group).agg(F.sha2(F.array_join(F.transform(listed, lambda s: s["__digest"]), ""), 256).alias("digest"))

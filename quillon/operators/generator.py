@@ -20,10 +20,10 @@ SPLITS = ["train", "val", "test"]
 _FIRST = ["Ada", "Ben", "Chloe", "Dev", "Elena", "Farid", "Grace", "Hugo", "Iris", "Jonah"]
 _LAST = ["Abbott", "Baker", "Chen", "Dorsey", "Evans", "Fischer", "Gupta", "Hansen", "Ito", "Jansen"]
 _RISKS = ["conservative", "moderate", "balanced", "growth", "high_growth"]
-_PRODUCTS = ["Growth Fund", "Cash Option", "Bond Series", "Property Trust", "Index Shares", "Income Plan"]
+_PRODUCTS = ["Harbour Equity", "Term Deposit Ladder", "Granite Bonds", "Warehouse Trust", "Broad Market Basket", "Annuity One"]
 _ACTIONS = ["buy", "sell", "hold", "switch"]
-_GOALS = ["retire early", "repay the mortgage", "fund school fees", "travel each year", "build a buffer"]
-_FLAGS = ["tfn missing", "id expired", "spouse absent"]
+_GOALS = ["retire early", "repay the mortgage", "pay for university", "travel each year", "build a buffer"]
+_FLAGS = ["passport unseen", "signature missing", "partner not present"]
 _FILLER = "We also spoke about the weather, the football and the new office."
 
 

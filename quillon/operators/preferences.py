@@ -43,3 +43,21 @@ def fallback_pairs(examples: DataFrame, samples: DataFrame, min_margin: float, m
     joined = distinct.join(examples.select("example_id", "gold"), "example_id").where((F.col("text") != F.col("gold")) & (1.0 - F.col("reward") >= min_margin))
     at = F.row_number().over(Window.partitionBy("example_id").orderBy("reward", "sample_index"))
     return joined.withColumn("pair", at).where(F.col("pair") <= most).select("example_id", "pair", F.col("gold").alias("chosen"), F.col("text").alias("rejected"), F.col("reward").alias("rejected_reward"))
+
+
+def mining_report(samples: DataFrame, pairs: DataFrame, group: str | None = None) -> DataFrame:
+    """Counters of a mining run, in all or by a column of the prompts: prompts, samples, pairs, prompts of each outcome, mean margin, yields, saturation rate.
+
+    ``group`` must be a column of ``samples`` that is the same for all samples of a prompt. Outcomes must add up
+    to the prompts and their pairs to the pairs mined, else the run was miscounted and this is an error.
+    """
+    per = outcomes(samples, pairs).withColumnRenamed("pairs", "own")
+    sizes = samples.groupBy("example_id").agg(F.count("*").alias("samples"), *([F.first(group).alias(group)] if group else []))
+    margins = pairs.groupBy("example_id").agg(F.sum("margin").alias("margin"))
+    rows = per.join(sizes, "example_id").join(margins, "example_id", "left")
+    kinds = ["paired", "single_sample", "saturated", "flat", "no_pair"]
+    out = rows.groupBy(*([group] if group else [])).agg(F.count("*").alias("prompts"), F.sum("samples").alias("samples"), F.sum("own").alias("pairs"), *(F.count_if(F.col("outcome") == k).alias(k) for k in kinds), F.sum("margin").alias("margin"))
+    whole = sum((F.col(k) for k in kinds[1:]), F.col(kinds[0]))
+    prompts = F.when(whole == F.col("prompts"), F.col("prompts")).otherwise(F.raise_error(F.lit("outcomes do not add up to the prompts")).cast("long"))
+    n = F.col("prompts").cast("double")
+    return out.select(*([group] if group else []), prompts.alias("prompts"), "samples", "pairs", *kinds, (F.col("margin") / F.when(F.col("pairs") > 0, F.col("pairs"))).alias("mean_margin"), (F.col("pairs") / n).alias("pair_yield"), (F.col("paired") / n).alias("prompt_yield"), (F.col("saturated") / n).alias("saturation_rate"))

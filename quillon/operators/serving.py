@@ -46,3 +46,42 @@ def microbatches(rows: DataFrame, shard: str, ts: str, key: str, window_s: float
 
     slim = rows.select(F.col(shard).cast("string").alias("shard"), F.unix_micros(F.col(ts).cast("timestamp")).cast("double").alias("us"), F.col(key).cast("long").alias("key")).withColumn("t", F.col("us") / 1e6).drop("us")
     return slim.groupBy("shard").applyInPandas(replay, "shard string, key long, batch long")
+
+
+def admitted(requests: DataFrame, context: int) -> DataFrame:
+    """``requests`` (prompt_tokens, most_new) with status: ok, or too_long where prompt and answer do not fit the context."""
+    fits = F.col("prompt_tokens") + F.col("most_new") <= context
+    return requests.withColumn("status", F.when(fits & (F.col("most_new") > 0), "ok").otherwise("too_long"))
+
+
+def finished(rows: DataFrame, ids: str, eos: int, most: str = "most_new") -> DataFrame:
+    """Generated ids cut at the end id or at the row's own limit, with finish_reason (stop, length) and completion_tokens.
+
+    The end id is part of what was generated but not of the answer; a row that reaches neither had its batch cut
+    short and has reason length.
+    """
+    end = F.array_position(ids, F.lit(eos))
+    stops = (end > 0) & (end <= F.col(most))
+    kept = F.when(stops, F.slice(ids, F.lit(1), F.greatest(end - 1, F.lit(0)).cast("int"))).otherwise(F.slice(ids, F.lit(1), F.col(most)))
+    return rows.withColumn("finish_reason", F.when(stops, "stop").otherwise("length")).withColumn("answer", kept).withColumn("completion_tokens", F.size("answer"))
+
+
+def settled(rows: DataFrame, batch: list[str], error: str, started: str, ended: str) -> DataFrame:
+    """Batches as their members see them: one member's ``error`` fails the whole batch, all share the batch's latency in seconds.
+
+    Batches are small, so each is aggregated and joined back by its key.
+    """
+    per = rows.groupBy(*batch).agg(F.min(error).alias("__error"), (F.max(ended).cast("double") - F.min(started).cast("double")).alias("latency_s"))
+    out = rows.join(per, batch)
+    return out.withColumn("status", F.when(F.col("__error").isNull(), "done").otherwise("failed")).withColumn("reason", F.col("__error")).drop("__error")
+
+
+def prometheus(rows: DataFrame, name: str, labels: list[str], value: str, kind: str = "counter", told: str = "") -> str:
+    """A small result as exposition text: samples in the order of their labels, integers without a point."""
+    escape = lambda x: str(x).replace("\\", r"\\").replace('"', r"\"").replace("\n", r"\n")
+    show = lambda x: str(int(x)) if float(x).is_integer() else repr(float(x))
+    lines = [f"# HELP {name} {told or name}", f"# TYPE {name} {kind}"]
+    for r in rows.select(*labels, value).orderBy(*labels).collect():
+        inner = ",".join(f'{k}="{escape(r[k])}"' for k in labels)
+        lines.append(f"{name}{{{inner}}} {show(r[value])}" if inner else f"{name} {show(r[value])}")
+    return "\n".join(lines) + "\n"

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.catalogue import ORACLES, Query, query, read
+from quillon.catalogue import ORACLES, QUERIES, query, read
 from quillon.functions.draws import draw
 from quillon.operators import batching as B
 
-Ids = Callable[[SparkSession, str], DataFrame]
-
 
 @query("""
 SELECT conv_id, count(*) AS n_turns,
@@ -34,25 +30,13 @@ def prompt_completion_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id, turn, ids (of the first 40 words), prompt_len: a fixed stand-in for an encoded chat."""
-    words = F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 40)
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(words, lambda w: draw(w, 1000).cast("int")).alias("ids"))
-    return rows.where(F.size("ids") > 1).withColumn("prompt_len", (F.size("ids") * F.pmod(F.col("turn") + F.col("conv_id"), F.lit(4)) / 4).cast("int"))
-
-
-def _whole_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As _ids, of all words of every message; one without words (blank or null) has no ids and prompt_len 0."""
+    """conv_id, turn, ids (of all words of every message; none: no ids), prompt_len: a fixed stand-in for an encoded chat."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(words, lambda w: draw(w, 1000).cast("int")).alias("ids"))
     return rows.withColumn("prompt_len", (F.size("ids") * F.pmod(F.col("turn") + F.col("conv_id"), F.lit(4)) / 4).cast("int"))
 
 
 _IDS = r"""
-WITH r AS (SELECT conv_id, turn, list_transform(list_slice(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''), 1, 40),
-                  lambda w: CAST(('0x' || substr(md5(w), 1, 8))::BIGINT % 1000 AS INT)) AS ids FROM conversations),
-i AS (SELECT conv_id, turn, ids, CAST(floor(len(ids) * ((turn + conv_id) % 4) / 4) AS INT) AS prompt_len FROM r WHERE len(ids) > 1)
-"""
-_WHOLE_IDS = r"""
 WITH r AS (SELECT conv_id, turn, list_transform(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> ''),
                   lambda w: CAST(('0x' || substr(md5(w), 1, 8))::BIGINT % 1000 AS INT)) AS ids FROM conversations),
 i AS (SELECT conv_id, turn, ids, CAST(floor(len(ids) * ((turn + conv_id) % 4) / 4) AS INT) AS prompt_len FROM r)
@@ -64,9 +48,9 @@ SELECT a.conv_id, a.turn, CAST(coalesce(list_position(list_transform(range(great
        greatest(len(a.ids), len(b.ids)) + 1) - 1 AS INT) AS shared
 FROM i a JOIN i b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
 """)
-def prefix_length(spark: SparkSession, sf_dir: str, ids_of: Ids = _ids) -> DataFrame:
+def prefix_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids that a turn shares with the start of the next."""
-    a = ids_of(spark, sf_dir)
+    a = _ids(spark, sf_dir)
     b = a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ids").alias("next"))
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", B.common_prefix(F.col("ids"), F.col("next")).alias("shared"))
 
@@ -76,9 +60,9 @@ SELECT CASE WHEN len(ids) <= 16 THEN 'kept' WHEN prompt_len >= 16 THEN 'dropped'
        CAST(sum(CASE WHEN len(ids) > 16 AND prompt_len >= 16 THEN 0 ELSE least(len(ids), 16) END) AS BIGINT) AS tokens
 FROM i GROUP BY ALL
 """)
-def truncate_or_drop(spark: SparkSession, sf_dir: str, ids_of: Ids = _ids) -> DataFrame:
+def truncate_or_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     status, ids = B.truncate(F.col("ids"), F.col("prompt_len"), 16)
-    rows = ids_of(spark, sf_dir).select(status.alias("status"), ids.alias("cut"))
+    rows = _ids(spark, sf_dir).select(status.alias("status"), ids.alias("cut"))
     return rows.groupBy("status").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.greatest(F.size("cut"), F.lit(0))), F.lit(0)).alias("tokens"))
 
 
@@ -103,11 +87,11 @@ SELECT conv_id, turn, width, list_concat(ids, list_transform(range(width - len(i
        list_concat(list_transform(range(width - len(ids)), lambda x: 0), list_transform(ids, lambda x: 1)) AS left_mask
 FROM w
 """)
-def pad_and_mask(spark: SparkSession, sf_dir: str, ids_of: Ids = _ids) -> DataFrame:
+def pad_and_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both paddings to the batch's width, a multiple of eight."""
     ids, width = F.col("ids"), F.col("width")
     ones = F.transform("ids", lambda x: F.lit(1))
-    return _batched(ids_of(spark, sf_dir)).select("conv_id", "turn", "width", B.pad_right(ids, width, 0).alias("padded"), B.pad_left(ids, width, 0).alias("left_padded"), B.pad_left(ones, width, 0).alias("left_mask"))
+    return _batched(_ids(spark, sf_dir)).select("conv_id", "turn", "width", B.pad_right(ids, width, 0).alias("padded"), B.pad_left(ids, width, 0).alias("left_padded"), B.pad_left(ones, width, 0).alias("left_mask"))
 
 
 @query(_BATCHED + """
@@ -115,48 +99,39 @@ SELECT conv_id, turn, list_concat(list_transform(range(len(ids)), lambda k: CASE
        CAST(len(ids) - prompt_len AS INT) AS supervised
 FROM w
 """)
-def label_mask(spark: SparkSession, sf_dir: str, ids_of: Ids = _ids) -> DataFrame:
+def label_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = B.masked_labels(F.col("ids"), F.col("prompt_len"), F.col("width"))
-    return _batched(ids_of(spark, sf_dir)).select("conv_id", "turn", labels.alias("labels")).withColumn("supervised", B.supervised(F.col("labels")))
+    return _batched(_ids(spark, sf_dir)).select("conv_id", "turn", labels.alias("labels")).withColumn("supervised", B.supervised(F.col("labels")))
 
 
 @query(_BATCHED + "SELECT shard, batch, count(*) AS n, max(len(ids)) AS longest, CAST(sum(width - len(ids)) AS BIGINT) AS padding FROM w GROUP BY shard, batch")
-def length_sorted_batches(spark: SparkSession, sf_dir: str, ids_of: Ids = _ids) -> DataFrame:
-    return _batched(ids_of(spark, sf_dir)).groupBy("shard", "batch").agg(F.count("*").alias("n"), F.max("length").cast("long").alias("longest"), F.sum(F.col("width") - F.col("length")).alias("padding"))
+def length_sorted_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batched(_ids(spark, sf_dir)).groupBy("shard", "batch").agg(F.count("*").alias("n"), F.max("length").cast("long").alias("longest"), F.sum(F.col("width") - F.col("length")).alias("padding"))
 
 
 @query(_BATCHED + "SELECT shard, batch // 2 AS step, count(DISTINCT batch) AS batches, count(*) AS n FROM w GROUP BY ALL")
-def accumulation_groups(spark: SparkSession, sf_dir: str, ids_of: Ids = _ids) -> DataFrame:
-    return _batched(ids_of(spark, sf_dir)).groupBy("shard", "step").agg(F.count_distinct("batch").alias("batches"), F.count("*").alias("n"))
+def accumulation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batched(_ids(spark, sf_dir)).groupBy("shard", "step").agg(F.count_distinct("batch").alias("batches"), F.count("*").alias("n"))
 
 
 _STOPS = "coalesce(list_position(list_transform(ids, lambda x: x % 20 = 3), TRUE), 0)"
 
 
 @query(_IDS + f"SELECT conv_id, turn, CASE WHEN {_STOPS} = 0 THEN ids ELSE list_slice(ids, 1, {_STOPS} - 1) END AS kept FROM i")
-def trim_at_stop(spark: SparkSession, sf_dir: str, ids_of: Ids = _ids) -> DataFrame:
+def trim_at_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids before the first of a set of stop ids (here 3, 23, 43, ..)."""
-    return ids_of(spark, sf_dir).select("conv_id", "turn", B.until_stop(F.col("ids"), F.lit(list(range(3, 1000, 20)))).alias("kept"))
+    return _ids(spark, sf_dir).select("conv_id", "turn", B.until_stop(F.col("ids"), F.lit(list(range(3, 1000, 20)))).alias("kept"))
 
 
 @query(_IDS + """
 SELECT conv_id, turn, CAST(CASE WHEN coalesce(list_position(m, 2), 0) > 0 THEN list_position(m, 2) WHEN coalesce(list_position(m, 0), 0) > 0 THEN list_position(m, 0) - 1 ELSE len(m) END AS INT) AS answer_len
 FROM (SELECT conv_id, turn, list_transform(ids, lambda x: CAST(x % 30 AS INT)) AS m FROM i)
 """)
-def completion_length(spark: SparkSession, sf_dir: str, ids_of: Ids = _ids) -> DataFrame:
+def completion_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids up to the end id 2, which counts, or the padding id 0, which does not (ids mod 30)."""
-    return ids_of(spark, sf_dir).select("conv_id", "turn", B.answer_length(F.transform("ids", lambda x: x % 30), 2, 0).alias("answer_len"))
-
-
-def _whole(cut: Callable[..., DataFrame]) -> Query:
-    """Register ``cut`` a second time as .._whole: over all words of all messages, with the same SQL over the whole ids."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return cut(spark, sf_dir, _whole_ids)
-
-    run.__name__, run.__doc__ = f"{cut.__name__}_whole", cut.__doc__
-    return query(_WHOLE_IDS + ORACLES[cut.__name__].removeprefix(_IDS))(run)
+    return _ids(spark, sf_dir).select("conv_id", "turn", B.answer_length(F.transform("ids", lambda x: x % 30), 2, 0).alias("answer_len"))
 
 
-for _cut in (prefix_length, truncate_or_drop, pad_and_mask, label_mask, length_sorted_batches, accumulation_groups, trim_at_stop, completion_length):
-    _whole(_cut)
+#: Older names of the same queries, from when the short names read the heads of messages only.
+for _name in ("prefix_length", "truncate_or_drop", "pad_and_mask", "label_mask", "length_sorted_batches", "accumulation_groups", "trim_at_stop", "completion_length"):
+    QUERIES[f"{_name}_whole"], ORACLES[f"{_name}_whole"] = QUERIES[_name], ORACLES[_name]

@@ -6,43 +6,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.catalogue import query, read, spread
-from quillon.functions.completions import verify
+from quillon.functions.completions import read_completions, verify
 from quillon.functions.text import field_stem
 from quillon.operators import evaluation as E
 
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """c_custkey, slice, gold and text: gold as JSON, then one damage a row by c_custkey mod 10."""
+    """c_custkey, slice, gold and text: gold as JSON, then one damage a row by c_custkey mod 20 (17 and more: none)."""
     c = spread(read(spark, sf_dir, "customer"))
     key = F.col("c_custkey").cast("string")
-    gold = F.concat(F.lit('{"client_name": "'), F.col("c_name"), F.lit('", "record_date": "2026-03-31", "risk_profile": "balanced", "objectives": ["retire early", "seg '), F.lower("c_mktsegment"), F.lit('"], "recommendations": [{"product": "Fund '), key, F.lit('", "action": "buy", "amount": '), key, F.lit('.5}], "fees": {"advice_fee": 3300.0, "ongoing_fee_pct": 0.88}, "review_months": 12, "flags": []}'))
-    k = F.pmod("c_custkey", F.lit(10))
+    gold = F.concat(F.lit('{"client_name": "'), F.col("c_name"), F.lit('", "record_date": "2026-03-31", "risk_profile": "balanced", "objectives": ["retire early", "seg '), F.lower("c_mktsegment"), F.lit('"], "recommendations": [{"product": "Fund '), key, F.lit('", "action": "buy", "amount": '), F.when(F.pmod("c_custkey", F.lit(20)) == 10, "null").otherwise(F.concat(key, F.lit(".5"))), F.lit('}], "fees": {"advice_fee": 3300.0, "ongoing_fee_pct": 0.88}, "review_months": 12, "flags": []}'))
+    k = F.pmod("c_custkey", F.lit(20))
     rows = c.select("c_custkey", F.col("c_mktsegment").alias("slice"), gold.alias("gold"))  # the damages below read gold only
     g = F.col("gold")
     text = (
         F.when(k == 1, F.concat(F.lit("```json\n"), g, F.lit("\n```")))
-        .when(k == 2, F.concat(F.lit("Here is the JSON:\n"), g))
-        .when(k == 3, F.concat(g, F.lit("\nHope that helps.")))
+        .when(k == 2, F.concat(F.lit("Record of the meeting follows.\n"), g))
+        .when(k == 3, F.concat(g, F.lit("\nEnd of record.")))
         .when(k == 4, F.concat(g, F.lit("}}")))
         .when(k == 5, F.expr("substr(gold, 1, length(gold) - 1)"))
         .when(k == 6, F.regexp_replace("gold", '"flags": \\[\\]', '"flags": [],'))
         .when(k == 7, F.regexp_replace("gold", '"review_months": 12', '"review_months": "12"'))
-        .when(k == 8, F.lit("I cannot help with that."))
+        .when(k == 8, F.lit("The note names no client."))
         .when(k == 9, F.regexp_replace("gold", '"risk_profile": "balanced"', '"risk_profile": "wild"'))
+        .when(k == 10, F.regexp_replace("gold", '"amount": null', '"amount": None'))
+        .when(k == 11, F.translate("gold", '"', "'"))
+        .when(k == 12, F.concat(g, F.lit("\n"), g))
+        .when(k == 13, F.regexp_replace("gold", '"review_months": 12, ', ""))
+        .when(k == 14, F.regexp_replace("gold", '"flags": ', '"mood": "calm", "flags": '))
+        .when(k == 15, F.regexp_replace("gold", "2026-03-31", "2026-02-30"))
+        .when(k == 16, F.regexp_replace("gold", '"ongoing_fee_pct": 0.88', '"ongoing_fee_pct": 88'))
         .otherwise(g)
     )
     return rows.withColumn("text", text)
 
 
 _KNOWN = """
-WITH c AS (SELECT c_custkey, c_mktsegment AS slice, c_custkey % 10 AS k FROM customer),
-o AS (SELECT *, k IN (0, 7, 9) AS strict, k <> 8 AS lenient, k IN (0, 1, 2, 3, 4, 5, 6) AS valid,
-      CASE k WHEN 1 THEN ['code_fence'] WHEN 2 THEN ['leading_prose'] WHEN 3 THEN ['trailing_prose'] WHEN 4 THEN ['unbalanced_braces'] WHEN 5 THEN ['closed_unterminated'] WHEN 6 THEN ['trailing_comma'] ELSE [] END AS repairs,
-      CASE k WHEN 7 THEN 'wrong_type' WHEN 8 THEN 'no_json' WHEN 9 THEN 'bad_enum' END AS violation,
-      CASE k WHEN 8 THEN 0.0 WHEN 7 THEN 20 / 22 WHEN 9 THEN 20 / 22 ELSE 1.0 END AS f1 FROM c)
+WITH c AS (SELECT c_custkey, c_mktsegment AS slice, c_custkey % 20 AS k FROM customer),
+o AS (SELECT *, k IN (0, 7, 9) OR k >= 13 AS strict, k <> 8 AS lenient, k NOT IN (7, 8, 9, 13, 14, 15, 16) AS valid,
+      CASE k WHEN 1 THEN ['code_fence'] WHEN 2 THEN ['leading_prose'] WHEN 3 THEN ['trailing_prose'] WHEN 4 THEN ['unbalanced_braces'] WHEN 5 THEN ['closed_unterminated'] WHEN 6 THEN ['trailing_comma']
+             WHEN 10 THEN ['python_literals'] WHEN 11 THEN ['single_quotes'] WHEN 12 THEN ['duplicate_object'] ELSE [] END AS repairs,
+      CASE k WHEN 7 THEN 'wrong_type' WHEN 8 THEN 'no_json' WHEN 9 THEN 'bad_enum' WHEN 13 THEN 'missing_field' WHEN 14 THEN 'extra_field' WHEN 15 THEN 'bad_date' WHEN 16 THEN 'out_of_range' END AS violation,
+      CASE k WHEN 8 THEN 0.0 WHEN 7 THEN 20 / 22 WHEN 9 THEN 20 / 22 WHEN 13 THEN 20 / 21 WHEN 14 THEN 22 / 23 WHEN 15 THEN 20 / 22 WHEN 16 THEN 20 / 22 ELSE 1.0 END AS f1 FROM c)
 """
 
 
+def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_completions(completions(spark, sf_dir)).select("c_custkey", "slice", "reading.*")
+
+
 def _judged(spark: SparkSession, sf_dir: str, strict: bool) -> DataFrame:
     rows = verify(completions(spark, sf_dir), strict=strict)
     return rows.select("c_custkey", "slice", "reward.*").withColumn("violation", F.try_element_at("violations", F.lit(1))["kind"])
@@ -50,21 +62,21 @@ def _judged(spark: SparkSession, sf_dir: str, strict: bool) -> DataFrame:
 
 @query(_KNOWN + "SELECT c_custkey, strict AS parsed, CASE WHEN strict THEN violation WHEN k = 8 THEN 'no_json' ELSE 'unparseable' END AS violation FROM o")
 def json_strict_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _judged(spark, sf_dir, True).select("c_custkey", "parsed", "violation")
+    return _read(spark, sf_dir).select("c_custkey", F.col("strict").alias("parsed"), F.coalesce("strict_violation", F.try_element_at("violations", F.lit(1))["kind"]).alias("violation"))
 
 
 @query(_KNOWN + "SELECT c_custkey, lenient AS parsed, repairs FROM o")
 def json_lenient_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _judged(spark, sf_dir, False).select("c_custkey", "parsed", "repairs")
+    return _read(spark, sf_dir).select("c_custkey", F.col("lenient").alias("parsed"), "repairs")
 
 
-@query(_KNOWN + "SELECT c_custkey, valid AS schema_valid, violation, CASE k WHEN 7 THEN 'review_months' WHEN 9 THEN 'risk_profile' WHEN 8 THEN '' END AS path FROM o")
+@query(_KNOWN + "SELECT c_custkey, valid AS schema_valid, violation, CASE k WHEN 7 THEN 'review_months' WHEN 9 THEN 'risk_profile' WHEN 8 THEN '' WHEN 13 THEN 'review_months' WHEN 14 THEN 'mood' WHEN 15 THEN 'record_date' WHEN 16 THEN 'fees.ongoing_fee_pct' END AS path FROM o")
 def schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _judged(spark, sf_dir, False)
-    return rows.select("c_custkey", "schema_valid", "violation", F.try_element_at("violations", F.lit(1))["path"].alias("path"))
+    worst = F.try_element_at("violations", F.lit(1))
+    return _read(spark, sf_dir).select("c_custkey", worst.isNull().alias("schema_valid"), worst["kind"].alias("violation"), worst["path"].alias("path"))
 
 
-@query(_KNOWN + "SELECT c_custkey, unnest(['client_name', 'record_date', 'risk_profile', 'objectives{retire early}', 'objectives{seg ' || lower(slice) || '}', 'recommendations[0].product', 'recommendations[0].action', 'recommendations[0].amount', 'fees.advice_fee', 'fees.ongoing_fee_pct', 'review_months']) AS path FROM o")
+@query(_KNOWN + "SELECT c_custkey, unnest(list_concat(CASE WHEN k = 10 THEN [] ELSE ['recommendations[0].amount'] END, CASE WHEN k = 14 THEN ['mood'] ELSE [] END, ['client_name', 'record_date', 'risk_profile', 'objectives{retire early}', 'objectives{seg ' || lower(slice) || '}', 'recommendations[0].product', 'recommendations[0].action', 'fees.advice_fee', 'fees.ongoing_fee_pct', 'review_months'])) AS path FROM o")
 def flatten_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir, False).select("c_custkey", F.explode("fields.path").alias("path"))
 
@@ -75,8 +87,9 @@ def reward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_KNOWN + """
-, s AS (SELECT unnest(['client_name', 'record_date', 'risk_profile', 'objectives', 'objectives', 'recommendations', 'recommendations', 'recommendations', 'fees', 'fees', 'review_months']) AS stem, k FROM o)
-SELECT stem, count(*) AS expected, count(*) FILTER (k <> 8) AS emitted, count(*) FILTER (k <> 8 AND NOT (k = 7 AND stem = 'review_months') AND NOT (k = 9 AND stem = 'risk_profile')) AS correct FROM s GROUP BY stem
+, s AS (SELECT unnest(list_concat(CASE WHEN k = 10 THEN [] ELSE ['recommendations'] END, CASE WHEN k = 14 THEN ['mood'] ELSE [] END, ['client_name', 'record_date', 'risk_profile', 'objectives', 'objectives', 'recommendations', 'recommendations', 'fees', 'fees', 'review_months'])) AS stem, k FROM o)
+SELECT stem, count(*) FILTER (stem <> 'mood') AS expected, count(*) FILTER (k <> 8 AND NOT (k = 13 AND stem = 'review_months')) AS emitted,
+       count(*) FILTER (k <> 8 AND stem <> 'mood' AND NOT (k IN (7, 13) AND stem = 'review_months') AND NOT (k = 9 AND stem = 'risk_profile') AND NOT (k = 15 AND stem = 'record_date')) - (count(*) FILTER (k = 16 AND stem = 'fees')) // 2 AS correct FROM s GROUP BY stem
 """)
 def field_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected, emitted and correct paths per top-level field."""
@@ -87,18 +100,17 @@ def field_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_KNOWN + "SELECT violation, count(*) AS n FROM o WHERE violation IS NOT NULL GROUP BY violation")
 def violation_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One vote per failing completion, by its worst violation."""
-    return _judged(spark, sf_dir, False).where("violation IS NOT NULL").groupBy("violation").agg(F.count("*").alias("n"))
+    kinds = _read(spark, sf_dir).select(F.try_element_at("violations", F.lit(1))["kind"].alias("violation"))
+    return kinds.where("violation IS NOT NULL").groupBy("violation").agg(F.count("*").alias("n"))
 
 
 @query(_KNOWN + "SELECT count(*) AS n, round(avg(strict::INT), 9) AS strict_rate, round(avg(lenient::INT), 9) AS lenient_rate, round(avg(lenient::INT) - avg(strict::INT), 9) AS gap, count(*) FILTER (lenient AND NOT strict) AS repaired FROM o")
 def parse_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = completions(spark, sf_dir)
-    both = verify(verify(rows, strict=True).withColumnRenamed("reward", "s"), strict=False)
-    out = E.parse_gap(both.select(F.col("s.parsed").alias("strict"), F.col("reward.parsed").alias("lenient")))
+    out = E.parse_gap(_read(spark, sf_dir).select("strict", "lenient"))
     return out.select("n", *(F.round(c, 9).alias(c) for c in ("strict_rate", "lenient_rate", "gap")), "repaired")
 
 
-@query(_KNOWN + "SELECT CASE k WHEN 8 THEN 'unparseable' ELSE CASE WHEN k = 0 OR k IN (7, 9) THEN 'both_empty' ELSE 'unparseable' END END AS class, count(*) AS n FROM o GROUP BY 1")
+@query(_KNOWN + "SELECT CASE k WHEN 8 THEN 'unparseable' ELSE CASE WHEN strict THEN 'both_empty' ELSE 'unparseable' END END AS class, count(*) AS n FROM o GROUP BY 1")
 def member_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the set field ``flags`` of strictly parsed completions compares with gold, by class."""
     rows = verify(completions(spark, sf_dir), strict=True)

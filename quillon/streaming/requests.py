@@ -6,12 +6,13 @@ full are answered at once as overloaded. State is the open batch of each server,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "shard string, request_id long, batch long, status string"
@@ -69,3 +70,31 @@ def live_counters(requests: DataFrame, window: str = "1 day") -> DataFrame:
 def tail_log(spark: Any, path: str, schema: str) -> DataFrame:
     """Stream over a folder of append-only JSON logs."""
     return spark.readStream.schema(schema).json(path)
+
+
+class Service:
+    """The life of a streaming query: started once, stopped any number of times, errors passed on."""
+
+    def __init__(self, begin: Callable[[], StreamingQuery]):
+        self._begin, self._query = begin, None
+
+    @property
+    def running(self) -> bool:
+        return self._query is not None and self._query.isActive
+
+    def start(self) -> Service:
+        if self.running:
+            raise RuntimeError("started already")
+        self._query = self._begin()
+        return self
+
+    def stop(self) -> None:
+        """What was not answered yet stays in the source and is answered after the next start, from the checkpoint."""
+        query, self._query = self._query, None
+        if query is not None:
+            query.stop()
+
+    def failure(self) -> str | None:
+        """Why the query ended by itself, if it did."""
+        found = self._query.exception() if self._query is not None else None
+        return None if found is None else str(found)
