@@ -26,6 +26,8 @@ LEAST_LANG = 0.001
 #: Log-score that a change of language costs; the largest lead of one word.
 SWITCH, WORD_MOST = 8.0, 6.0
 UNKNOWN = "und"
+#: Log-odds against every language at which a text counts as being in none.
+REJECT = 20.0
 _BUCKETS = 1 << 16
 #: First code point of each script range and its name.
 SCRIPT_RANGES = [(0x00, "Latin"), (0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x900, "Devanagari"), (0x980, "Indic"), (0xE00, "Thai"), (0xE80, "Other"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "Symbol"), (0x3040, "Kana"), (0x3100, "Other"), (0x3400, "Han"), (0xA000, "Other"), (0xAC00, "Hangul"), (0xD800, "Other")]
@@ -209,7 +211,7 @@ def identify_languages(docs: DataFrame, held_out: Column | None = None, *, id_co
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             found = label(batch.column("text").to_pylist(), model, spans)
             cols = [batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found]), pa.array([x[1] for x in found], pa.float64())]
             more = [pa.array([[dict(zip(("start", "end", "lang"), s, strict=True)) for s in x[2]] for x in found], kind)] if spans else []
@@ -220,28 +222,27 @@ def identify_languages(docs: DataFrame, held_out: Column | None = None, *, id_co
 
 
 def evidence(texts: list[str | None], model: Model) -> np.ndarray:
-    """Mean log-probability of the letter trigrams of each text under its likeliest language, above that of a random bucket; -inf without letters."""
+    """By how much the letter trigrams of each text are likelier under their best language than as random buckets (natural log); -inf without letters."""
     words, n = find_words(texts), len(model.langs)
-    out = np.full((len(texts), n), -np.inf)
-    if not len(words.starts):
-        return out.max(axis=1, initial=-np.inf)
-    inside = words.data != 32
-    doc = np.repeat(words.doc, words.ends - words.starts)
-    grams, letters = _trigrams(words.data)[inside], np.bincount(doc, minlength=len(texts))
-    base = np.bincount(doc, weights=model.common[grams], minlength=len(texts))
-    some = letters > 0
-    for k in range(n):
-        own = base + np.bincount(doc, weights=model.scores[:, k][grams], minlength=len(texts))
-        out[some, k] = own[some] / letters[some] + np.log(_BUCKETS)
+    out = np.full((len(texts), max(1, n)), -np.inf)
+    if len(words.starts) and n:
+        grams = _trigrams(words.data)
+        at = np.stack([words.starts, words.ends], axis=1).ravel()
+        first = np.flatnonzero(np.diff(words.doc, prepend=-1))
+        some = words.doc[first]
+        level = np.add.reduceat(words.ends - words.starts, first) * np.log(_BUCKETS)
+        for k in range(n):
+            per_word = np.add.reduceat((model.scores[:, k] + model.common)[grams], at)[::2]
+            out[some, k] = np.add.reduceat(per_word, first, dtype=float) + level
     return out.max(axis=1)
 
 
 def keep_identified(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", model: Model | None = None) -> DataFrame:
     """The rows of ``docs`` whose text has a language, all columns; ``lang_col`` becomes the language found.
 
-    Rejected are texts without a letter, null ones among them, and texts whose letter trigrams are less
-    likely under every learned language than trigrams drawn at random would be: keys, encoded bytes, letter
-    soup. Documents of several languages stay, under that of most letters. Learns from all rows that have a
+    Rejected are texts without a letter, null ones among them, and texts whose letter trigrams are clearly less
+    likely under every learned language than trigrams drawn at random would be (by REJECT in natural log, so a
+    word or two are never enough): keys, encoded bytes, letter soup. Documents of several languages stay, under that of most letters. Learns from all rows that have a
     language; if none has, every text with a letter is kept as it is. Repeated rows share their fate. Texts
     may have any length, column names may clash in any way. Empty in, empty out.
     """
@@ -253,10 +254,10 @@ def keep_identified(docs: DataFrame, *, text_col: str = "text", lang_col: str =
         return rows.where(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).toDF(*docs.columns)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 2 << 20):
             texts = batch.column(text).to_pylist()
             found = [x[0] for x in label(texts, model)]
-            keep = pa.array((evidence(texts, model) > 0) & (np.array(found, object) != UNKNOWN))
+            keep = pa.array((evidence(texts, model) > -REJECT) & (np.array(found, object) != UNKNOWN))
             cols = [pa.array(found, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names).filter(keep)
 

@@ -24,8 +24,8 @@ from .common import pick, slices
 SEQUENCE = 4096
 #: Dimensions of the projection and bits of each in the Hilbert key.
 DIMS, BITS = 3, 10
-#: Words a worker process keeps encoded; then it starts anew. Bounds its memory to some 150 MB.
-CACHE_WORDS = 600_000
+#: Words a worker process keeps encoded; then it starts anew. Bounds its memory to some 100 MB.
+CACHE_WORDS = 400_000
 #: Documents whose keys and sizes set the ranges, about; so many for each range at least.
 SAMPLE_DOCS, SAMPLE_PER_RANGE = 4000, 16
 #: Ranges at least, and bytes of text in a range, about.
@@ -158,7 +158,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, *, id_col: str =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, matrix = coder(tokenizer), _projection()
         end = np.array([_END_ID], own.kind).tobytes()
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             ids = own.ids(batch.column("text").to_pylist())
             # equal places on the curve (copies) are told apart by a hash, so that ranges can part them
             keys = (_keys(ids, own.kind, matrix) << 32) | batch.column("spread").to_numpy()

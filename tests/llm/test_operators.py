@@ -154,6 +154,18 @@ def test_language(spark):
     assert mixed[spans[2][0] : spans[2][1]] in mixed and "это" in WORDS["ru"]
     assert langid.identify_languages(empty(spark)).count() == 0
     assert langid.keep_identified(table).columns == table.columns
+    soup = "".join(rng.choice("qxzjkvwpbd") for _ in range(400))
+    kept = langid.keep_identified(docs(spark, [*texts, soup, "123", None, "und of the that", "zq"], [*langs, None, None, None, None, None])).collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None and r["doc_id"] >= 120) == [123, 124, 124]  # two words are not enough to reject
+    assert all(r["lang"] == langs[r["doc_id"]] for r in kept if r["doc_id"] is not None and r["doc_id"] < 120)
+
+
+def test_letters_of_every_script_count(spark):
+    """Letters in U+2000 to U+303F and beyond are letters; quotes and brackets are none and part words."""
+    table = docs(spark, ["the and of this that"] * 9, ["en"] * 9)
+    model = langid.fit(table)
+    for text, known in {"\u2c81\u2c83\u2c85": True, "\u2c30\u2c31": True, "\u210c": True, "\u201cthe\u201d": True, "\u300c\u65e5\u672c\u300d": True, "\u201c\u2014\u201d": False, "\u2460 1": False, "\U0001f600": False}.items():
+        assert (langid.label([text], model)[0][0] != "und") == known, text
 
 
 def test_viterbi_against_all_labellings():
