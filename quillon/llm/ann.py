@@ -60,8 +60,11 @@ class Model:
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         """[rows, substrings] values of the substrings."""
-        bits = ((x - self.mean) @ self.turns > 0).reshape(len(x), self.substrings, self.width)
-        return (bits << np.arange(self.width)).sum(axis=2, dtype=np.int64)
+        out, places = np.empty((len(x), self.substrings), np.int64), 1 << np.arange(self.width)
+        for a in range(0, len(x), 1024):
+            bits = (x[a : a + 1024] - self.mean) @ self.turns > 0
+            out[a : a + 1024] = bits.reshape(-1, self.substrings, self.width) @ places
+        return out
 
 
 def ball(bits: int, radius: int) -> np.ndarray:
@@ -94,11 +97,11 @@ def learn(x: np.ndarray, k: int, total: int, asked: int, recall: float = FIT_REC
         return replace(every, turns=turns[:, :width])
     rng = np.random.default_rng(3)
     some = rng.choice(n, min(FIT_QUERIES, n), replace=False)
-    score = x[some] @ x.T
+    score = (x[some] @ x.T).astype(np.float32)
     score[np.arange(len(some)), some] = -np.inf
     # the sample is thinner than the table: as many of its nearest as the table's k nearest would leave in it
     near = min(n, max(1, round(k * n / total)))
-    places = np.argsort(-score, axis=1)[:, :near]
+    places = np.stack([np.argsort(-own)[:near] for own in score])
     many = np.ones(n, np.int64) if many is None else many
     # a vector counts for as many results as it gives
     before = np.cumsum(many[places], axis=1) - many[places]

@@ -370,14 +370,22 @@ def test_neighbours(spark):
     assert ann.nearest_neighbours(table.where("vec_id IN (0, 3, 5)"), 20).count() == 2
 
 
-def test_multi_index_is_exact_within_radius():
+def test_probing_reaches_every_code_within_the_radius():
     rng = np.random.default_rng(8)
-    codes = rng.integers(0, 256, (700, 8), dtype=np.uint8)
-    for radius in (3, 11, 20, 30):
-        index = ann.MultiIndex(codes, radius)
-        for q in codes[:20]:
-            want = np.flatnonzero(np.bitwise_count(codes ^ q).sum(axis=1) <= radius)
-            assert index.search(q).tolist() == want.tolist()
+    x = rng.normal(size=(700, 24))
+    model = ann.learn(x, 10, 700, 20)
+    codes = model.codes(x)
+    for reach in (0, 1, 2, model.width):
+        own = ann.replace(model, reach=reach, lead=2)
+        hit = np.zeros((20, 700), bool)
+        for j in range(own.substrings):
+            for lead in range(4):
+                members = np.flatnonzero(codes[:, j] >> (own.width - 2) == lead)
+                for q, m in ann._pairs(own, lead, codes[members, j], codes[:20, j]):
+                    hit[q, members[m]] = True
+        apart = np.bitwise_count(codes[:20, None, :] ^ codes[None])
+        assert (hit == (apart <= reach).any(axis=2)).all()  # what probing a ball of each substring should bring up
+        assert hit[apart.sum(axis=2) <= own.radius].all()  # the pigeonhole principle
 
 
 # packing
@@ -474,3 +482,23 @@ def test_loser_tree(k):
     rng = random.Random(k)
     runs = [sorted((rng.randrange(9),) for _ in range(rng.randrange(7))) for _ in range(k)]
     assert list(warc.LoserTree([iter(r) for r in runs])) == sorted(x for r in runs for x in r)
+
+
+@pytest.mark.parametrize("spread", [0.05, 1.0])
+def test_index_prunes(spark, spread):
+    """How often vectors come up, against a scan of them all: a small part for clustered ones, less than a scan for random ones; recall by brute force."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(150, 32))
+    x = centres[rng.integers(0, 150, 3000)] * (spread < 1) + spread * rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())], "vec_id long, embedding array<double>")
+    counts = [r["candidates"] for r in ann.candidate_counts(table, 10, group=1024).collect()]
+    assert np.mean(counts) < (0.35 if spread < 1 else 1.0) * len(x)
+    found = {}
+    for r in ann.nearest_neighbours(table, 10, group=1024).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    scores = x @ x[::20].T
+    scores[np.arange(0, 3000, 20), np.arange(150)] = -np.inf
+    best = np.argsort(-scores, axis=0)[:10].T
+    assert np.mean([len(found[20 * i] & set(own.tolist())) / 10 for i, own in enumerate(best)]) >= 0.9
+    assert all(len(own) == 10 for own in found.values())
