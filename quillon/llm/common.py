@@ -146,12 +146,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -
 
 
 def keep_once(docs: DataFrame, kept: DataFrame, at: int, digest: Column, *, name: str) -> DataFrame:
-    """The rows of ``docs`` (columns numbered) whose id, column ``at``, and ``digest`` stand in ``kept`` (id, digest): one row of each.
+    """The rows of ``docs`` (columns numbered) whose id, column ``at``, and ``digest`` stand in ``kept`` (id, digest, n rows of both): one row of each.
 
     Texts move once, to meet the decision. Rows that repeat both id and digest are rare; only where ``kept``
     counts some (n > 1) are those few rows reduced to one each, pre-aggregated in every task.
     """
-    kept = table(kept.groupBy("id", "digest").agg(F.count("*").alias("n")), name)
+    kept = table(kept, name)
     marked = docs.withColumn("digest", digest).withColumn("id", F.col(f"c{at}").cast("long"))
     same = marked["id"].eqNullSafe(kept["id"]) & (marked["digest"] == kept["digest"])
     once = marked.join(kept.where("n = 1"), same, "left_semi")

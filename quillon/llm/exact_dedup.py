@@ -156,5 +156,5 @@ def keep_winners(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     at, text = place(docs, id_col), place(docs, text_col)
     rows = numbered(docs)
-    kept = exact_dedup(rows, id_col=f"c{at}", text_col=f"c{text}").where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest"))
+    kept = exact_dedup(rows, id_col=f"c{at}", text_col=f"c{text}").where("kept").groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest")).agg(F.count("*").alias("n"))
     return keep_once(rows, kept, at, F.sha2(F.coalesce(f"c{text}", F.lit("")), 256), name="dedup-kept").toDF(*docs.columns)

@@ -251,6 +251,6 @@ def keep_representatives(docs: DataFrame, radius: int = RADIUS, *, id_col: str =
     marked = _marked(rows.select(F.col(f"c{at}").cast("long").alias("doc_id"), F.coalesce(f"c{text}", F.lit("")).alias("text"), F.sha2(F.coalesce(f"c{text}", F.lit("")), 256).alias("digest")), 3)
     found = _named(marked, _classes(marked, radius))
     # of several texts of that id the one of the smallest fingerprint, then digest
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "part").agg(F.min(F.struct("fingerprint", "digest")).alias("best"))
-    kept = kept.select(F.col("doc_id").alias("id"), "best.digest")
+    sums = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "part", "fingerprint", "digest").agg(F.count("*").alias("n"))
+    kept = sums.groupBy("doc_id", "part").agg(F.min(F.struct("fingerprint", "digest", "n")).alias("best")).select(F.col("doc_id").alias("id"), "best.digest", "best.n")
     return keep_once(rows, kept, at, F.sha2(F.coalesce(f"c{text}", F.lit("")), 256), name="simhash-kept").toDF(*docs.columns)

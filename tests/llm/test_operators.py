@@ -502,3 +502,92 @@ def test_index_prunes(spark, spread):
     best = np.argsort(-scores, axis=0)[:10].T
     assert np.mean([len(found[20 * i] & set(own.tolist())) / 10 for i, own in enumerate(best)]) >= 0.9
     assert all(len(own) == 10 for own in found.values())
+
+
+# edges that every operator and stage shares
+CLASHING = "doc_id long, text string, TEXT string, lang string, Lang string, source string, n_chars int, id long, digest string, c0 long, masked string, key string"
+VERY_LONG = "mail one two three four joe@example.org alpha beta gamma or +1 (555) 010-1234 now. " * 10_000
+
+
+def edge_rows(spark, texts=("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "lorem ipsum dolor sit amet elit sed")):
+    """Two rows of one text and an id of two texts, a repeated row, rows without id; columns that clash by case and with names used inside."""
+    a, b, c = texts
+    found = [(3, a), (5, a), (5, b), (5, b), (None, a), (None, c), (7, None), (8, ""), (9, VERY_LONG)]
+    return spark.createDataFrame([(i, t, "other", "en", "xx", "s", 1, 1, "d", 1, "m", "k") for i, t in found], CLASHING)
+
+
+def test_stages_on_edges(spark):
+    rows = edge_rows(spark)
+    pairs = lambda df: sorted(((r["doc_id"], (r["text"] or "")[:5]) for r in df.collect()), key=str)
+    winners = exact_dedup.keep_winners(rows)
+    assert pairs(winners) == sorted([(5, "alpha"), (5, "one t"), (None, "lorem"), (8, ""), (9, "mail ")], key=str)
+    kept = simhash.keep_representatives(rows)
+    assert pairs(kept) == sorted([(3, "alpha"), (5, "one t"), (None, "lorem"), (7, ""), (9, "mail ")], key=str)
+    spoken = langid.keep_identified(rows, model=langid.fit(spark.createDataFrame([(r[0], r[1], r[3]) for r in rows.collect() if r[0] != 9], "doc_id long, text string, lang string")))
+    assert spoken.count() == 7 and {r["lang"] for r in spoken.collect()} == {"en"}
+    masked = {(r["doc_id"], (r["text"] or "")[:5]): r for r in pii.mask_pii(rows).collect()}
+    assert masked[9, "mail "]["text"] == VERY_LONG.replace("joe@example.org", "[EMAIL]").replace("+1 (555) 010-1234", "[PHONE]")
+    assert masked[9, "mail "]["n_chars"] == len(masked[9, "mail "]["text"]) and masked[7, ""]["text"] is None
+    for stage in (exact_dedup.keep_winners, simhash.keep_representatives, langid.keep_identified, pii.mask_pii):
+        out = stage(rows.where("false"))
+        assert out.columns == rows.columns and out.count() == 0
+
+
+def test_operators_on_edges(spark):
+    rows = edge_rows(spark)
+    labels = spark.createDataFrame([(i, i % 2, i % 2, 0) for i in range(10)] * 2, "doc_id long, quality int, toxic int, QUALITY int")
+    for found in (exact_dedup.exact_dedup(rows), simhash.simhash_near_dedup(rows), langid.identify_languages(rows), quality.classify_quality(rows, labels), toxicity.classify_toxicity(rows, labels), pii.find_pii(rows), sampled_pieces.encode_sampled(rows, tokenizer_file(PIECE_MODEL))):
+        assert found.select("doc_id").distinct().count() == rows.select("doc_id").distinct().count()
+    packed = packing.pack(rows, tokenizer_file(WORD_TOKENIZER)).collect()
+    assert {r["doc_id"] for r in packed} == {3, 5, None, 7, 8, 9}
+    # repeated ids and vectors, and a column that differs by case
+    vectors = spark.createDataFrame([(i % 40, [float(i % 40 == j) for j in range(40)], 0) for i in range(80)] + [(20, [1.0] * 40, 0)], "vec_id long, embedding array<double>, VEC_ID int")
+    assert {r["query_id"] for r in ann.nearest_neighbours(vectors, 3).collect()} == {0, 20}
+    html = "<p>" + "y" * 300_000
+    pages = spark.createDataFrame([(1, "http://a", html, 0), (1, "http://a", html, 0), (2, "http://b", html, 0), (None, None, None, 0)], "page_id long, url string, html string, URL int")
+    told = sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in warc.warc_roundtrip(pages).collect())
+    assert told == [("1", "revisit", 2), ("1", "revisit", 2), ("2", "response", None), ("None", "response", None)]
+
+
+def test_many_matches_in_one_text(spark):
+    """A contact list of 20,000 addresses: linear in the number of matches."""
+    text = " ".join(f"u{i}@example.org" for i in range(20_000))
+    table = docs(spark, [text])
+    found = by_id(pii.find_pii(table).where("doc_id = 0").collect())
+    assert found[0]["n_email"] == 20_000 and found[0]["base_sha256"] == hashlib.sha256(",".join(_base(text)).encode()).hexdigest()
+
+
+def test_discovered_instances_bear_patterns(spark):
+    """Bootstrapping: what the first round finds makes a pattern of its own, which finds more."""
+    seeds = [f"please call +1 (555) 010-{i:04d} today" for i in range(20)]
+    first = [f"please call 555-020-{i:04d} tonight" for i in range(4)]
+    second = [f"just ring 555-030-{i:04d} tonight" for i in range(2)]
+    far = ["lot 555-040-0001 sold", "just ring 555-030-0000 tonight"]
+    found = by_id(pii.find_pii(docs(spark, seeds + first + second + far)).collect())
+    spans = [found[i]["spans"] for i in range(20, 28)]
+    assert all(s == "phone:12:24" for s in spans[:4]) and all(s == "phone:10:22" for s in spans[4:6])
+    assert spans[6] == "" and spans[7] == spans[4]
+
+
+def test_archives_in_pieces():
+    import gzip
+
+    record = b"WARC/1.1\r\nContent-Length: 5\r\n\r\nab\r\nc\r\n\r\n"
+    data = record * 3
+    for size in (1, 2, 7, 1000):
+        held = list(warc.parse_archive(data[a : a + size] for a in range(0, len(data), size)))
+        assert [(b, at) for _, b, at in held] == [(b"ab\r\nc", i * len(record)) for i in range(3)]
+    assert b"".join(warc.inflate(gzip.compress(data) + gzip.compress(b"more"), 16)) == data + b"more"
+    for broken in (data[:-1], data[1:], b"WARC/1.1\r\nContent-Length: 5"):
+        with pytest.raises(ValueError):
+            list(warc.parse_archive([broken]))
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from quillon.llm import common
+
+    none = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(none)
