@@ -53,24 +53,28 @@ o AS (SELECT *, CASE WHEN probe_id LIKE 'word%' THEN len(list_filter(string_spli
 """
 
 
-def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns as replies to the twelve probes, by conv_id."""
+#: The same of documents, of which even the smallest tables have some for every probe.
+_ANSWERED = _FAMILIES.replace("SELECT conv_id, turn, ", "SELECT doc_id, ").replace("conv_id % 12", "doc_id % 12").replace("FROM conversations WHERE role = 'assistant'", "FROM documents")
+
+
+def _replies(rows: DataFrame, key: str) -> DataFrame:
+    """Texts as replies to the twelve probes, dealt out by ``key``."""
     names = F.array(*(F.lit(p[0]) for p in probes.PROBES))
-    rows = read(spark, sf_dir, "conversations").where("role = 'assistant'")
-    return rows.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.element_at(names, (F.pmod("conv_id", F.lit(12)) + 1).cast("int")).alias("probe_id"))
+    return rows.select(F.coalesce("text", F.lit("")).alias("text"), F.element_at(names, (F.pmod(key, F.lit(12)) + 1).cast("int")).alias("probe_id"))
 
 
 @query(_FAMILIES + "SELECT probe_id, count(*) AS n, count(*) FILTER (passed) AS passed FROM o GROUP BY probe_id")
 def probe_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies that satisfy each of the twelve probes, over seven families of predicates."""
-    rows = _replies(spark, sf_dir).withColumn("ok", probes.passed(F.col("text"), F.col("probe_id")))
+    replies = _replies(read(spark, sf_dir, "conversations").where("role = 'assistant'"), "conv_id")
+    rows = replies.withColumn("ok", probes.passed(F.col("text"), F.col("probe_id")))
     return rows.groupBy("probe_id").agg(F.count("*").alias("n"), F.count_if("ok").alias("passed"))
 
 
-@query(_FAMILIES + ", f AS (SELECT probe_id, min(text) AS text FROM r GROUP BY probe_id) SELECT DISTINCT o.probe_id, CASE split_part(o.probe_id, '_', 1) WHEN 'word' THEN 'one_word' WHEN 'rule' THEN 'constraint' ELSE 'list_length' END AS kind, passed FROM o JOIN f USING (probe_id, text)")
+@query(_ANSWERED + ", f AS (SELECT probe_id, min(text) AS text FROM r GROUP BY probe_id) SELECT DISTINCT o.probe_id, CASE split_part(o.probe_id, '_', 1) WHEN 'word' THEN 'one_word' WHEN 'rule' THEN 'constraint' ELSE 'list_length' END AS kind, passed FROM o JOIN f USING (probe_id, text)")
 def probe_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One reply to every probe, joined key-complete."""
-    return probes.score_probes(_replies(spark, sf_dir).groupBy("probe_id").agg(F.min("text").alias("text")))
+    return probes.score_probes(_replies(read(spark, sf_dir, "documents"), "doc_id").groupBy("probe_id").agg(F.min("text").alias("text")))
 
 
 _COUNTERS = """count(*) AS prompts, CAST(sum(n) AS BIGINT) AS samples, CAST(sum(pairs) AS BIGINT) AS pairs,
