@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,13 +26,21 @@ def contiguous_split(rows: DataFrame, text: str, val_fraction: float) -> DataFra
 def stratified_split(rows: DataFrame, key: str, label: str, val_fraction: float, test_fraction: float, seed: int) -> DataFrame:
     """``rows`` with a column split: per label, in an order drawn by the key, first test, then val, the rest train.
 
-    Sizes round half to even. The order is drawn per row, so the only exchange is one by label.
+    Sizes round half to even. The order is that of an MD5 of seed and key. Rows are numbered within the 4,096
+    blocks of a label that share the first digits of it; only the blocks' sizes are summed by label.
     """
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
-    w = Window.partitionBy(label)
-    n, at = F.count("*").over(w), F.row_number().over(w.orderBy(order, key))
+    drawn = rows.withColumn("__order", order).withColumn("__block", F.coalesce(F.substring("__order", 1, 3), F.lit("")))
+    sizes = drawn.groupBy(F.col(label).alias("__label"), F.col("__block").alias("__of")).agg(F.count("*").alias("__rows"))
+    w = Window.partitionBy("__label")
+    before = F.sum("__rows").over(w.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("__label", "__of", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__rows").over(w).alias("__all"))
+    drawn = drawn.withColumn("__at", F.row_number().over(Window.partitionBy(label, "__block").orderBy("__order", key)))
+    placed = drawn.join(sizes, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__block") == F.col("__of")))
+    at, n = F.col("__before") + F.col("__at"), F.col("__all")
     test, val = F.bround(n * F.lit(test_fraction)).cast("long"), F.bround(n * F.lit(val_fraction)).cast("long")
-    return rows.withColumn("split", F.when(at <= test, "test").when(at <= test + val, "val").otherwise("train"))
+    out = placed.withColumn("split", F.when(at <= test, "test").when(at <= test + val, "val").otherwise("train"))
+    return out.drop("__order", "__block", "__label", "__of", "__before", "__all", "__at")
 
 
 def even_allocation(total: int, bucket: Column, buckets: int) -> Column:
@@ -79,10 +91,29 @@ def first_appearance(rows: DataFrame, text: str, order: str) -> DataFrame:
 
 
 def split_digest(rows: DataFrame, split: str, key: str, line: Column) -> DataFrame:
-    """(split, digest): SHA-256 over the digests of a split's lines in the order of ``key``; moving a row changes both."""
-    one = F.struct(F.col(key), F.sha2(line, 256).alias("d"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda s: s["d"]), "\n")
-    return rows.groupBy(split).agg(F.sha2(F.concat(F.col(split), F.lit("\n"), joined), 256).alias("digest"))
+    """(split, digest): SHA-256 over the digests of a split's lines in the order of ``key``; moving a row changes both.
+
+    The hash is of a sequence, so a split is one sorted stream through one task: sixty-four bytes a row, a batch
+    in memory at a time. A null split has a null digest; null lines do not count.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple[str | None, str | None]] = []
+        now, state, first = None, None, True
+        for batch in batches:
+            for name, told in zip(batch.column("s").to_pylist(), batch.column("d").to_pylist(), strict=True):
+                if state is None or name != now:
+                    done += [(now, None if now is None else state.hexdigest())] if state is not None else []
+                    now, state, first = name, hashlib.sha256(f"{name}\n".encode()), True
+                if told is not None:
+                    state.update((told if first else "\n" + told).encode())
+                    first = False
+        done += [(now, None if now is None else state.hexdigest())] if state is not None else []
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], pa.string()), pa.array([x for _, x in done], pa.string())], names=["s", "digest"])
+
+    lines = rows.select(F.col(split).cast("string").alias("s"), F.col(key).alias("k"), F.sha2(line, 256).alias("d"))
+    dealt = lines.repartition("s").sortWithinPartitions("s", "k", "d").select("s", "d")
+    return dealt.mapInArrow(run, "s string, digest string").select(F.col("s").alias(split), "digest")
 
 
 def length_stats(rows: DataFrame, group: str, length: Column) -> DataFrame:

@@ -42,12 +42,15 @@ def dense_index(rows: DataFrame, key: str, block: int = 10_000) -> DataFrame:
 def bootstrap_interval(rows: DataFrame, value: str, index: str, resamples: int, confidence: float, seed: int) -> DataFrame:
     """(point, low, high): percentile bootstrap of the mean with drawn indices.
 
-    A value's weight in a resample is how often its index is drawn. Draws are summed by index first, so the
-    only rows multiplied are the resamples' own draws.
+    A value's weight in a resample is how often its index is drawn. The draws go to their indices, are counted
+    there and meet the values there, so they pass one exchange and are never broadcast: the optimizer cannot
+    know how many there are.
     """
     spark, n = rows.sparkSession, rows.count()
-    draws = spark.range(resamples).select(F.col("id").alias("resample"), F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("i"))
-    draws = draws.select("resample", draw(F.concat_ws(":", F.lit(str(seed)), "resample", "i"), max(n, 1)).alias(index)).groupBy("resample", index).agg(F.count("*").alias("times"))
+    size = max(n, 1)
+    at = spark.range(resamples * size).select(F.floor(F.col("id") / size).cast("long").alias("resample"), F.pmod("id", F.lit(size)).alias("i"))
+    draws = at.select("resample", draw(F.concat_ws(":", F.lit(str(seed)), "resample", "i"), size).alias(index))
+    draws = draws.repartition(F.col(index)).groupBy("resample", index).agg(F.count("*").alias("times")).hint("merge")
     means = draws.join(rows.select(index, F.col(value).cast("double").alias("v")), index).groupBy("resample").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("m"))
     tail = (1 - confidence) / 2
     ends = means.agg(F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,27 +27,45 @@ def cumulative_histogram(rows: DataFrame, value: str, bounds: list[float], group
     return wide.select(group, F.explode(F.array(*cells)).alias("c")).select(group, "c.le", "c.n")
 
 
+class Closer:
+    """Numbers the batches of rising arrivals: a batch closes when full or ``window_s`` after its first."""
+
+    def __init__(self, window_s: float, most: int) -> None:
+        self.window_s, self.most = window_s, most
+        self.batch, self.first, self.size = -1, 0.0, 0
+
+    def place(self, t: float) -> int:
+        if self.batch < 0 or self.size == self.most or t > self.first + self.window_s:
+            self.batch, self.first, self.size = self.batch + 1, t, 0
+        self.size += 1
+        return self.batch
+
+
 def close_batches(arrivals: list[float], window_s: float, most: int) -> list[int]:
-    """Batch of each arrival (rising times): a batch closes when full or ``window_s`` after its first."""
-    out, batch, first, size = [], -1, 0.0, 0
-    for t in arrivals:
-        if batch < 0 or size == most or t > first + window_s:
-            batch, first, size = batch + 1, t, 0
-        size += 1
-        out.append(batch)
-    return out
+    """Batch of each arrival (rising times)."""
+    closer = Closer(window_s, most)
+    return [closer.place(t) for t in arrivals]
 
 
 def microbatches(rows: DataFrame, shard: str, ts: str, key: str, window_s: float, most: int) -> DataFrame:
-    """Replay of the batching policy per ``shard`` (a server): (shard, key, batch, size)."""
+    """Replay of the batching policy per ``shard`` (a server): (shard, key, batch).
+
+    A server's policy is a sequence, so its arrivals are one sorted stream through one task, which holds a batch
+    of rows and the open batch's state. Rows without a shard are a shard of their own; times must not be null.
+    """
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "key"])
-        batch = close_batches(pdf["t"].tolist(), window_s, most)
-        return pd.DataFrame({"shard": pdf["shard"], "key": pdf["key"], "batch": batch})
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, closer = None, None
+        for batch in batches:
+            out = []
+            for name, t in zip(batch.column("shard").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                if closer is None or name != now:
+                    now, closer = name, Closer(window_s, most)
+                out.append(closer.place(t))
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("key"), pa.array(out, pa.int64())], names=["shard", "key", "batch"])
 
     slim = rows.select(F.col(shard).cast("string").alias("shard"), F.unix_micros(F.col(ts).cast("timestamp")).cast("double").alias("us"), F.col(key).cast("long").alias("key")).withColumn("t", F.col("us") / 1e6).drop("us")
-    return slim.groupBy("shard").applyInPandas(replay, "shard string, key long, batch long")
+    return slim.repartition("shard").sortWithinPartitions("shard", "t", "key").mapInArrow(replay, "shard string, key long, batch long")
 
 
 def admitted(requests: DataFrame, context: int) -> DataFrame:
