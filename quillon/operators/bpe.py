@@ -10,7 +10,9 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,29 +104,67 @@ class _Tail:
         if not most:
             return
         for p, n in list(self.high.items()) + [(pair, most)] * (a == b):
-            if p != pair and (a in p or b in p):
-                self.low[p] = max(0, self.low[p] - 2 * most)  # each merge ends two of the other pairs at most
+            if p != pair and (p[1] == a or p[0] == b):
+                # each merge ends one pair before its a and one behind its b; (b, a) can be both
+                self.low[p] = max(0, self.low[p] - (2 if p == (b, a) else 1) * most)
             # what stood before a or after b now stands beside the new id
             ends = [(p[0], new)] * (p[1] == a) + [(new, p[1])] * (p[0] == b) + [(new, new)] * (p == (b, a))
             for q in ends:
                 self.low[q], self.high[q] = 0, min(n, most)
 
 
+def _batch_pairs(words: list[str], n: np.ndarray, merges: list[Pair]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, n) of the adjacent ids of many words after ``merges``, by array operations.
+
+    In each round every word merges its pair of the lowest rank wherever it stands; a run of one id merges from
+    the left, every other place.
+    """
+    raw = [w.encode() for w in words]
+    ids = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+    word = np.repeat(np.arange(len(raw)), [len(w) for w in raw])
+    size = 256 + len(merges)
+    code = np.array([a * size + b for a, b in merges], np.int64)
+    order = np.argsort(code)
+    code = code[order]
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(code) and len(ids) > 1:
+        key = ids[:-1] * size + ids[1:]
+        where = np.minimum(np.searchsorted(code, key), len(code) - 1)
+        rank = np.where((code[where] == key) & (word[:-1] == word[1:]), order[where], len(code))
+        best = np.full(len(raw), len(code))
+        np.minimum.at(best, word[:-1], rank)
+        going = best[word] < len(code)
+        done.append((ids[~going], word[~going]))
+        hit = np.flatnonzero((rank == best[word[:-1]]) & (rank < len(code)))
+        if not len(hit):
+            ids, word = ids[going], word[going]
+            break
+        # in a run of hits one apart (equal ids), only every other one merges
+        start = np.flatnonzero(np.diff(hit, prepend=-2) != 1)
+        nth = np.arange(len(hit)) - np.repeat(start, np.diff(np.append(start, len(hit))))
+        hit = hit[nth % 2 == 0]
+        ids[hit] = 256 + best[word[hit]]
+        going[hit + 1] = False
+        ids, word = ids[going], word[going]
+    done.append((ids, word))
+    ids, word = (np.concatenate(x) for x in zip(*done, strict=True))
+    same = word[:-1] == word[1:]
+    key, weight = (ids[:-1] * size + ids[1:])[same], n[word[:-1][same]]
+    pair, inverse = np.unique(key, return_inverse=True)
+    total = np.zeros(len(pair), np.int64)
+    np.add.at(total, inverse, weight)
+    return pair // size, pair % size, total
+
+
 def _pairs_of(words: DataFrame, merges: list[Pair]) -> DataFrame:
     """(left, right, n): counts of the adjacent ids of ``words`` (word, n) after ``merges``."""
-    model = Bpe(list(merges), special=[])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter[Pair] = Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for word, n in zip(batch["word"], batch["n"].tolist(), strict=True):
-                ids = model._word(word)
-                for p in zip(ids, ids[1:], strict=False):
-                    counts[p] += n
-            model.cache.clear()
-        yield pd.DataFrame([(*p, n) for p, n in counts.items()], columns=["left", "right", "n"])
-
-    return words.mapInPandas(run, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
+            left, right, n = _batch_pairs(batch.column("word").to_pylist(), batch.column("n").to_numpy(), merges)
+            yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(n)], names=["left", "right", "n"])
+
+    return words.select("word", "n").mapInArrow(run, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
 
 
 def _best(counts: Counter[Pair], tail: _Tail) -> Pair | None:

@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +112,30 @@ def test_bpe_training_counts_words_beyond_those_held(spark):
 def test_bpe_query_trains_over_documents(spark, tmp_path):
     spark.createDataFrame([("zq zq zq",)], "text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [(r["left"], r["right"]) for r in catalogue.QUERIES["bpe_train_merges"](spark, str(tmp_path)).collect()][:1] == [(ord("z"), ord("q"))]
+
+
+def test_recount_by_arrays():
+    """Pair counts of whole batches equal those of every word by itself, runs of one letter included."""
+    draws = random.Random(11)
+    for _ in range(60):
+        words = ["".join(draws.choice("aab cé") for _ in range(draws.randint(0, 12))) for _ in range(draws.randint(0, 20))]
+        n = [draws.randint(1, 9) for _ in words]
+        merges = []
+        for _ in range(draws.randint(0, 10)):
+            counts = _plain_pairs(words, n, merges)
+            if not counts:
+                break
+            merges.append(min(counts, key=lambda p: (-counts[p], p)))
+        left, right, told = bpe._batch_pairs(words, np.array(n, np.int64), merges)
+        assert dict(zip(zip(left.tolist(), right.tolist(), strict=True), told.tolist(), strict=True)) == _plain_pairs(words, n, merges)
+
+
+def _plain_pairs(words, n, merges):
+    counts = Counter()
+    for w, k in zip(words, n, strict=True):
+        ids = list(w.encode())
+        for i, pair in enumerate(merges):
+            ids = bpe.merge(ids, pair, 256 + i)
+        for p in zip(ids, ids[1:], strict=False):
+            counts[p] += k
+    return dict(counts)
