@@ -14,6 +14,7 @@ vocabulary's trie, filtered place by place, and all their occurrences are sample
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -119,13 +120,16 @@ def sample_ids(texts: list[str | None], keys: np.ndarray, vocabulary: Pieces, se
     first[1:] |= space[1:] & ~space[:-1]
     begin = np.flatnonzero(first)
     length = np.diff(np.append(begin, len(text)))
-    # distinct segments, by a hash of their characters
-    with np.errstate(over="ignore"):
-        place = np.arange(len(text)) - np.repeat(begin, length)
-        mixed = _mix((text.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-        marks = np.add.reduceat(mixed, begin) ^ length.astype(np.uint64)
-    _, sample, which = np.unique(marks, return_index=True, return_inverse=True)
-    size = length[sample]
+    # distinct segments, by a hash of their characters; should two differ under one hash, another salt parts them
+    place = np.arange(len(text)) - np.repeat(begin, length)
+    for salt in itertools.count(1):
+        with np.errstate(over="ignore"):
+            mixed = _mix((text.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+            marks = np.add.reduceat(mixed, begin) ^ length.astype(np.uint64)
+        _, sample, which = np.unique(marks, return_index=True, return_inverse=True)
+        size = length[sample]
+        if np.array_equal(size[which], length) and np.array_equal(text[np.repeat(begin[sample][which], length) + place], text):
+            break
     base = np.cumsum(size) - size
     own = np.repeat(begin[sample] - base, size) + np.arange(size.sum())
     chars = text[own]
@@ -154,18 +158,15 @@ def sample_ids(texts: list[str | None], keys: np.ndarray, vocabulary: Pieces, se
         mass = np.add.reduceat(p, new)
         total[target[a + new]] = top + np.log(mass)
         share[a:b] = p / np.repeat(mass, count)
-    # edges by target; cumulative shares, one unit per target, make all draws one search
+    # edges by target, with cumulative shares from 0 to 1; a draw walks from a target's first edge to its own
     order = np.argsort(target, kind="stable")
     source, target, piece, share = source[order], target[order], piece[order], share[order]
     head = np.flatnonzero(np.diff(target, prepend=-1))
-    unit = np.cumsum(np.diff(target, prepend=-1) != 0) - 1
     within = np.cumsum(share)
     within -= np.repeat((within - share)[head], np.diff(np.append(head, len(share))))
-    last = np.append(head[1:], len(share)) - 1
-    within[last] = 1.0
-    ladder = unit + within
-    unit_of = np.full(len(total), -1, np.int64)
-    unit_of[target[head]] = np.arange(len(head))
+    within[np.append(head[1:], len(share)) - 1] = 1.0
+    head_of = np.full(len(total), -1, np.int64)
+    head_of[target[head]] = head
     out = np.full(len(text), -2, np.int64)
     now, back = node[which] + length, begin - node[which]  # place in the lattice; what leads to the text
     key = np.repeat(keys.astype(np.uint64), sizes)[begin]
@@ -176,8 +177,11 @@ def sample_ids(texts: list[str | None], keys: np.ndarray, vocabulary: Pieces, se
         while len(now):
             spot = (now + back - origin).astype(np.uint64)
             draw = (_mix(key + spot * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.searchsorted(ladder, unit_of[now] + draw, side="right")
-            edge = np.minimum(edge, last[unit_of[now]])
+            edge = head_of[now]
+            late = np.flatnonzero(within[edge] <= draw)
+            while len(late):
+                edge[late] += 1
+                late = late[within[edge[late]] <= draw[late]]
             now = source[edge]
             out[now + back] = piece[edge]
             go = now > goal
