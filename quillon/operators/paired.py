@@ -48,7 +48,8 @@ def bootstrap_interval(rows: DataFrame, value: str, index: str, resamples: int,
     """
     spark, n = rows.sparkSession, rows.count()
     size = max(n, 1)
-    at = spark.range(resamples * size).select(F.floor(F.col("id") / size).cast("long").alias("resample"), F.pmod("id", F.lit(size)).alias("i"))
+    parts = max(spark.sparkContext.defaultParallelism, resamples * size // 2_000_000 + 1)
+    at = spark.range(0, resamples * size, 1, parts).select(F.floor(F.col("id") / size).cast("long").alias("resample"), F.pmod("id", F.lit(size)).alias("i"))
     draws = at.select("resample", draw(F.concat_ws(":", F.lit(str(seed)), "resample", "i"), size).alias(index))
     draws = draws.repartition(F.col(index)).groupBy("resample", index).agg(F.count("*").alias("times")).hint("merge")
     means = draws.join(rows.select(index, F.col(value).cast("double").alias("v")), index).groupBy("resample").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("m"))
