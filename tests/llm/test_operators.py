@@ -591,3 +591,21 @@ def test_shared_folder_is_needed_on_a_cluster():
     none = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_dir(none)
+
+
+def test_segments_under_one_hash_stay_apart(monkeypatch):
+    """Where the first hash of segments tells nothing, the characters do, and the sampled ids are the same."""
+    vocabulary = sampled_pieces.pieces(tokenizer_file(PIECE_MODEL))
+    texts, keys = ["the cat sat on the mat", "a dog, a log", "cat tac", ""], np.arange(4)
+    told = sampled_pieces.sample_ids(texts, keys, vocabulary)
+    plain, calls = sampled_pieces._mix, []
+
+    def blind(z):
+        calls.append(len(z))
+        return np.zeros_like(z) if len(calls) == 1 else plain(z)
+
+    monkeypatch.setattr(sampled_pieces, "_mix", blind)
+    found = sampled_pieces.sample_ids(texts, keys, vocabulary)
+    assert calls[0] == calls[1] == sum(map(len, texts))
+    assert [x.tolist() for x in found] == [x.tolist() for x in told]
+    assert [sampled_pieces.decode(x, vocabulary) for x in found] == texts
