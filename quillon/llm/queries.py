@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.catalogue import spread
 
 from .ann import nearest_neighbours
+from .conversations import repair_conversations
 from .exact_dedup import exact_dedup
 from .langid import identify_languages
 from .packing import pack
@@ -116,6 +117,53 @@ def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation_digest(_spread(spark, sf_dir, "documents"), tokenizer_file(PIECE_MODEL))
 
 
+#: A checksum as a DuckDB macro would compute it: table of the 256 remainders, and the checksum of a list of bytes.
+_CRC_TABLE = "SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)"
+_CRC = "xor(list_reduce([4294967295] || {bytes}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+@_query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(_read(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_conversation_repair"] = f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS told FROM conversations),
+d AS (SELECT conv_id, turn, role, text, {_CRC.format(bytes="list_transform(string_split(told, ''), lambda x: ascii(x)::BIGINT)")} % 20 AS rule FROM c, crc),
+e AS (SELECT conv_id, turn, CASE WHEN rule = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN rule = 1 THEN '' WHEN rule = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+    FROM d, LATERAL unnest(range(CASE WHEN rule = 3 THEN 2 ELSE 1 END)) WHERE rule <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen,
+    right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS ending FROM e),
+f AS (SELECT conv_id, turn, role, text, left(role, 1) AS ini, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, seen) AS i,
+    CASE WHEN ending = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN ending NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM o),
+ins(q, mid, k, lines) AS (VALUES (0, 0, 0, ''), (0, 2, 1, chr(10) || 'user:'), (0, 3, 2, chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 1, 0, ''), (1, 2, 1, chr(10) || 'user:'), (1, 3, 2, chr(10) || 'user:' || chr(10) || 'assistant:'),
+    (2, 2, 0, ''), (2, 3, 1, chr(10) || 'assistant:'), (2, 2, 2, chr(10) || 'assistant:' || chr(10) || 'user:'), (3, 3, 0, ''), (3, 2, 1, chr(10) || 'user:'), (3, 3, 2, chr(10) || 'user:' || chr(10) || 'assistant:')),
+edits(a) AS (VALUES ('D'), ('K'), ('R')),
+dp AS (
+    SELECT conv_id, 0::BIGINT AS i, 0 AS q, struct_pack(c := 0, a := '', t := '') AS s FROM (SELECT DISTINCT conv_id FROM f)
+    UNION ALL
+    SELECT conv_id, i, q, min(s) FROM (
+        SELECT dp.conv_id, dp.i + 1 AS i,
+            CASE a WHEN 'D' THEN mid WHEN 'R' THEN CASE WHEN mid = 2 THEN 3 ELSE 2 END ELSE CASE WHEN mid = 0 AND ini = 's' THEN 1 WHEN mid <> 2 AND ini = 'u' THEN 2 WHEN mid = 2 AND ini = 'a' THEN 3 END END AS q,
+            struct_pack(c := s.c + 3 * k + CASE a WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN a <> 'D' AND fault = 't' THEN 3 ELSE 0 END, a := s.a || repeat('I', k) || a,
+                t := s.t || lines || CASE a WHEN 'D' THEN '' WHEN 'R' THEN chr(10) || CASE WHEN mid = 2 THEN 'assistant:' ELSE 'user:' END || text ELSE chr(10) || role || ':' || text END) AS s
+        FROM dp JOIN ins ON ins.q = dp.q JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1, edits
+        WHERE a = 'D' OR fault NOT IN ('b', 'd'))
+    WHERE q IS NOT NULL GROUP BY conv_id, i, q),
+last AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'b') AS blank, count_if(fault = 'd') AS duplicate, count_if(fault = 't') AS truncated FROM f GROUP BY conv_id),
+best AS (SELECT dp.conv_id, min(struct_pack(c := s.c + 3 * k, a := s.a || repeat('I', k), t := s.t || lines)) AS s
+    FROM dp JOIN last ON last.conv_id IS NOT DISTINCT FROM dp.conv_id AND last.n = dp.i JOIN ins ON ins.q = dp.q WHERE mid IN (0, 3) GROUP BY dp.conv_id),
+ill AS (SELECT conv_id, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT conv_id, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM f) GROUP BY conv_id)
+SELECT x.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+    coalesce(s.c, 0)::BIGINT AS cost, coalesce(s.a, '') AS audit, sha256(coalesce(substr(s.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) x LEFT JOIN last ON last.conv_id IS NOT DISTINCT FROM x.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM x.conv_id LEFT JOIN ill ON ill.conv_id IS NOT DISTINCT FROM x.conv_id
+"""
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
