@@ -17,6 +17,7 @@ from .pii import find_pii
 from .quality import classify_quality
 from .sampled_pieces import segmentation_digest
 from .simhash import simhash_near_dedup
+from .token_files import token_digest
 from .toxicity import classify_toxicity
 from .warc import warc_roundtrip
 
@@ -26,6 +27,8 @@ ORACLES: dict[str, str] = {}
 
 #: File of the tokenizer that packing counts tokens with; the vocabulary itself is no part of this repository.
 WORD_TOKENIZER = "word_bpe_49k.json"
+#: File of the tokenizer whose ids are written to token files, and the id that ends a document there.
+BYTE_TOKENIZER, END_ID = "byte_bpe_50k.json", 0
 #: File of the SentencePiece model that sampled segmentations are drawn from.
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -117,6 +120,11 @@ def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation_digest(_spread(spark, sf_dir, "documents"), tokenizer_file(PIECE_MODEL))
 
 
+@_query
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(_spread(spark, sf_dir, "documents"), tokenizer_file(BYTE_TOKENIZER), END_ID)
+
+
 #: A checksum as a DuckDB macro would compute it: table of the 256 remainders, and the checksum of a list of bytes.
 _CRC_TABLE = "SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)"
 _CRC = "xor(list_reduce([4294967295] || {bytes}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
