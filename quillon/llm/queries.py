@@ -15,6 +15,7 @@ from .langid import identify_languages
 from .packing import pack
 from .pii import find_pii
 from .quality import classify_quality
+from .resampling import resample
 from .sampled_pieces import segmentation_digest
 from .simhash import simhash_near_dedup
 from .token_files import token_digest
@@ -130,6 +131,32 @@ _CRC_TABLE = "SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x:
 _CRC = "xor(list_reduce([4294967295] || {bytes}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
 
 
+@_query
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_spread(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_resample"] = f"""
+WITH crc AS MATERIALIZED ({_CRC_TABLE}),
+texts AS (SELECT doc_id, row_number() OVER () AS row, text, 's' AS side FROM documents UNION ALL SELECT NULL, row_number() OVER (), text, 't' FROM benchmark),
+words AS MATERIALIZED (SELECT doc_id, row, side, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS MATERIALIZED (SELECT row, side, feature, count(*) AS n FROM (
+    SELECT row, side, unnest(w) AS feature FROM words
+    UNION ALL SELECT row, side, w[i] || ' ' || w[i + 1] FROM (SELECT row, side, w, unnest(range(1, len(w))) AS i FROM words)
+    UNION ALL SELECT row, side, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM (SELECT row, side, w, unnest(range(1, len(w) - 1)) AS i FROM words)) GROUP BY ALL),
+hexed AS (SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM runs)),
+placed AS MATERIALIZED (SELECT feature, {_CRC.format(bytes="list_transform(range(0, length(h), 2), lambda i: ('0x' || substr(h, i + 1, 2))::BIGINT)")} % 10000 AS bucket FROM hexed, crc),
+counts AS (SELECT bucket, sum(CASE WHEN side = 's' THEN n ELSE 0 END)::DOUBLE AS s, sum(CASE WHEN side = 't' THEN n ELSE 0 END)::DOUBLE AS t FROM runs JOIN placed USING (feature) GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM counts),
+weights AS (SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM runs JOIN placed USING (feature) JOIN gains USING (bucket) WHERE side = 's' GROUP BY row),
+scored AS (SELECT doc_id, row, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM words LEFT JOIN weights USING (row) WHERE side = 's'),
+ranked AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS place, count(*) OVER () AS n FROM scored WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank FROM scored LEFT JOIN ranked USING (row)
+"""
+
+
 @_query
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(_read(spark, sf_dir, "conversations"))
