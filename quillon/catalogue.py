@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.operators.order import join_few, quantiles
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +48,7 @@ FROM documents JOIN labels USING (doc_id) GROUP BY lang
 def corpus_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents, good ones and length quartiles per language."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    parts = F.percentile("n_chars", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    stats = docs.join(labels, "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.sum("quality").alias("good"), parts.alias("p"))
-    return stats.select("lang", "n", "good", F.col("p")[0].alias("p25"), F.col("p")[1].alias("p50"), F.col("p")[2].alias("p75"))
+    known = docs.select("doc_id", "lang", "n_chars").join(labels, "doc_id")
+    stats = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum("quality").alias("good"))
+    parts = quantiles(known, "n_chars", [0.25, 0.5, 0.75], ["lang"]).select("lang", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"))
+    return join_few(stats, parts, ["lang"])

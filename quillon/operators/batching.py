@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.order import global_position
+
 IGNORED = -100
 ROLES = ["system", "user", "assistant"]
 
@@ -72,14 +74,13 @@ def answer_length(ids: Column, eos: int, pad: int) -> Column:
     return F.when(end > 0, end).when(fill > 0, fill - 1).otherwise(F.size(ids)).cast("int")
 
 
-def in_batches(rows: DataFrame, order: list[str], size: int, accumulation: int = 1, group: str | None = None) -> DataFrame:
-    """``rows`` with batch and step: chunks of ``size`` in the given order, ``accumulation`` batches a step.
+def in_batches(rows: DataFrame, order: list[str], size: int, accumulation: int = 1) -> DataFrame:
+    """``rows`` with batch and step: chunks of ``size`` in the given order over all rows, ``accumulation`` batches a step.
 
-    ``group`` batches each group by itself; then no partition holds all rows.
+    Places come from ranges of the order and the sizes of those before; no task holds all rows.
     """
-    w = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy(*order)
-    at = F.row_number().over(w) - 1
-    return rows.withColumn("batch", F.floor(at / size).cast("long")).withColumn("step", F.floor(at / size / accumulation).cast("long"))
+    placed = global_position(rows, order, "__pos")
+    return placed.withColumn("batch", F.floor(F.col("__pos") / size).cast("long")).withColumn("step", F.floor(F.col("__pos") / size / accumulation).cast("long")).drop("__pos")
 
 
 def checked_feature(ids: Column, prompt_len: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.draws import draw
+from quillon.operators.order import join_few, quantiles
+from quillon.shared import table
 
 #: Fixed value: words with a leading space, numbers, marks, white space (all but its last before a word).
 PRETOKENS = r" ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
@@ -118,6 +120,7 @@ def split_digest(rows: DataFrame, split: str, key: str, line: Column) -> DataFra
 
 def length_stats(rows: DataFrame, group: str, length: Column) -> DataFrame:
     """Rows, extremes, quartiles (linear) and mean of ``length`` per group."""
-    q = F.percentile(length, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy(group).agg(F.count("*").alias("n"), F.min(length).alias("shortest"), q.alias("q"), F.max(length).alias("longest"), F.avg(length).alias("mean"))
+    rows = table(rows.select(F.col(group), length.alias("__length")), "lengths")
+    out = rows.groupBy(group).agg(F.count("*").alias("n"), F.min("__length").alias("shortest"), F.max("__length").alias("longest"), F.avg("__length").alias("mean"))
+    out = join_few(out, quantiles(rows, "__length", [0.25, 0.5, 0.75], [group]).select(group, "q"), [group])
     return out.select(group, "n", "shortest", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "longest", "mean")

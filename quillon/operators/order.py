@@ -7,37 +7,44 @@ from pyspark.sql import functions as F
 
 from quillon.shared import table
 
-#: Rows of a range, about.
-RANGE_ROWS = 1_000_000
+#: Rows of a range, about; ranges at most (beyond, they hold more rows).
+RANGE_ROWS, MOST_RANGES = 1_000_000, 100_000
 #: Rows of a bucket of values below which a quantile is read off directly; buckets a round.
 FEW, BUCKETS = 10_000, 1024
 #: Rows that may be broadcast; larger tables are exchanged.
 SMALL = 50_000
-_TASK = 1 << 33
 
 
-def global_position(rows: DataFrame, order: list[Column | str], name: str = "pos", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """``rows`` with ``name``: 0, 1, .. in ``order``, over all rows.
+def in_ranges(rows: DataFrame, order: list[Column | str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``rows`` with __range and __at: ranges of about ``range_rows`` rows follow each other in ``order``, places count from 0 in each.
 
-    Ranges of the order are sorted each by itself and written once; a row's place is its place in its range plus
-    the sizes of the ranges before, which are the only thing that is gathered (one number a range). Rows that tie
-    in ``order`` are dealt out by where they were read, so that no value, however frequent, has a range to itself; name further
-    columns in ``order`` where ties must be settled. Nulls come first in ascending order. Empty in, empty out.
+    The table is written once, so both numbers are the same whoever reads it. Rows that tie in ``order`` are dealt out by
+    where they were read, so that no value, however frequent, has a range to itself; name further columns in ``order`` where ties must be
+    settled. Nulls come first in ascending order.
     """
     n = rows.count()
-    ranges = max(1, min(-(-n // range_rows), 100_000))
     least = rows.sparkSession.sparkContext.defaultParallelism if n > 10_000 else 1
+    ranges = max(least, min(-(-n // range_rows), MOST_RANGES))
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
     tied = rows.withColumn("__tie", F.monotonically_increasing_id())
-    dealt = tied.repartitionByRange(max(ranges, least), *keys, "__tie").sortWithinPartitions(*keys, "__tie")
-    placed = table(dealt.drop("__tie").withColumn("__id", F.monotonically_increasing_id()), "ordered")
-    part = F.shiftright("__id", 33)
-    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
-    # at most 100,000 ranges: sixteen bytes each may be broadcast
-    out = placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")
-    return out.withColumn(name, F.col("__before") + F.col("__id") % _TASK).drop("__part", "__before", "__id")
+    dealt = tied.repartitionByRange(ranges, *keys, "__tie").sortWithinPartitions(*keys, "__tie").drop("__tie")
+    placed = table(dealt.withColumn("__id", F.monotonically_increasing_id()), "ordered")
+    return placed.withColumn("__range", F.shiftright("__id", 33)).withColumn("__at", F.col("__id") % (1 << 33)).drop("__id")
+
+
+def global_position(rows: DataFrame, order: list[Column | str], name: str = "pos", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``rows`` with ``name``: 0, 1, .. in ``order``, over all rows (ties: see ``in_ranges``).
+
+    A row's place is its place in its range plus the sizes of the ranges before, which are the only thing that is
+    gathered: one number a range. Empty in, empty out.
+    """
+    placed = in_ranges(rows, order, range_rows)
+    sizes = placed.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    # MOST_RANGES rows of two numbers at most, so they may be broadcast
+    out = placed.join(F.broadcast(offsets), "__range")
+    return out.withColumn(name, F.col("__before") + F.col("__at")).drop("__range", "__before", "__at")
 
 
 def quantiles(rows: DataFrame, value: Column | str, probabilities: list[float], group: list[str] | None = None) -> DataFrame:
@@ -64,24 +71,24 @@ def quantiles(rows: DataFrame, value: Column | str, probabilities: list[float],
         known = open_.where("__lo = __hi").select(*keys, "__rank", F.col("__lo").alias("__x"))
         open_ = open_.where("__lo < __hi")
         few, many = open_.where(F.col("__n") <= FEW), open_.where(F.col("__n") > FEW)
-        read = _join(slim, few.drop("__rank").distinct(), keys).where("__v BETWEEN __lo AND __hi")
+        read = join_few(slim, few.drop("__rank").distinct(), keys).where("__v BETWEEN __lo AND __hi")
         at = F.row_number().over(Window.partitionBy(*keys, "__lo").orderBy("__v")) - 1 + F.col("__low")
         read = read.select(*keys, at.alias("__at"), F.col("__v").alias("__x"))
-        known = known.unionByName(_join(read, few.select(*keys, "__rank"), keys).where("__rank = __at").select(*keys, "__rank", "__x"))
+        known = known.unionByName(join_few(read, few.select(*keys, "__rank"), keys).where("__rank = __at").select(*keys, "__rank", "__x"))
         done = known if done is None else done.unionByName(known)
         if not many.head(1):
             break
         done = table(done, "quantile-found")
         wide = F.col("__hi") / 2 - F.col("__lo") / 2
         cell = F.least(F.floor((F.col("__v") / 2 - F.col("__lo") / 2) / wide * BUCKETS), F.lit(BUCKETS - 1))
-        inside = _join(slim, many.drop("__rank").distinct(), keys).where("__v BETWEEN __lo AND __hi")
+        inside = join_few(slim, many.drop("__rank").distinct(), keys).where("__v BETWEEN __lo AND __hi")
         cells = inside.groupBy(*keys, F.col("__lo").alias("__from"), "__low", cell.alias("__cell")).agg(F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
         below = F.sum("__n").over(Window.partitionBy(*keys, "__from").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
         cells = cells.withColumn("__low", F.col("__low") + F.coalesce(below, F.lit(0)))
-        held = _join(cells, many.select(*keys, "__rank"), keys).where("__rank >= __low AND __rank < __low + __n")
+        held = join_few(cells, many.select(*keys, "__rank"), keys).where("__rank >= __low AND __rank < __low + __n")
         open_ = table(held.select(*keys, "__lo", "__hi", "__low", "__n", "__rank"), "quantile-open")
     found = done.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__x"))).alias("__m"))  # two ranks a probability at most
-    both = _join(heads, found, keys, "left")
+    both = join_few(heads, found, keys, "left")
 
     def linear(p: float) -> Column:
         at = (F.col("n") - 1) * F.lit(p)
@@ -95,7 +102,7 @@ def quantiles(rows: DataFrame, value: Column | str, probabilities: list[float],
     return none.join(both, "__g0", "left").select(F.coalesce("n", F.lit(0)).alias("n"), q)
 
 
-def _join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def join_few(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on group columns that may be null. ``b`` has a few rows a group: if that is few in all, it is broadcast, else both are exchanged."""
     b = b.select(*(F.col(k).alias(f"{k}b") for k in keys), *(c for c in b.columns if c not in keys))
     b = F.broadcast(b) if b.limit(SMALL + 1).count() <= SMALL else b

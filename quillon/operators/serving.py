@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.order import join_few, quantiles
+
 #: Upper bounds of the exported histograms.
 LATENCY_BUCKETS = [0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0]
 BATCH_BUCKETS = [1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0]
@@ -15,7 +17,8 @@ BATCH_BUCKETS = [1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0]
 
 def latency_summary(rows: DataFrame, value: str, group: str) -> DataFrame:
     """Mean, median, 95th percentile (linear), extremes."""
-    out = rows.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.array(F.lit(0.5), F.lit(0.95))).alias("q"), F.min(value).alias("low"), F.max(value).alias("high"))
+    out = rows.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"))
+    out = join_few(out, quantiles(rows, value, [0.5, 0.95], [group]).select(group, "q"), [group])
     return out.select(group, "n", "mean", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), "low", "high")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.catalogue import ORACLES, QUERIES, query, read
+from quillon.catalogue import query, read
 from quillon.functions.draws import draw
 from quillon.operators import batching as B
 
@@ -66,18 +66,17 @@ def truncate_or_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("status").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.greatest(F.size("cut"), F.lit(0))), F.lit(0)).alias("tokens"))
 
 
-_BATCH = """, b AS (SELECT *, (row_number() OVER (PARTITION BY conv_id % 8 ORDER BY len(ids), conv_id, turn) - 1) // 4 AS batch, conv_id % 8 AS shard FROM i),
-w AS (SELECT *, CAST(ceil(max(len(ids)) OVER (PARTITION BY shard, batch) / 8) * 8 AS INT) AS width FROM b)
+_BATCHED = _IDS + """, b AS (SELECT *, (row_number() OVER (ORDER BY len(ids), conv_id, turn) - 1) // 4 AS batch FROM i),
+w AS (SELECT *, CAST(ceil(max(len(ids)) OVER (PARTITION BY batch) / 8) * 8 AS INT) AS width FROM b)
 """
-_BATCHED = _IDS + _BATCH
 
 
 def _batched(ids: DataFrame) -> DataFrame:
+    """All messages, shortest first, in batches of four and steps of two batches."""
     from pyspark.sql import Window
 
-    rows = ids.withColumn("length", F.size("ids")).withColumn("shard", F.pmod("conv_id", F.lit(8)))
-    rows = B.in_batches(rows, ["length", "conv_id", "turn"], 4, 2, group="shard")
-    longest = F.max("length").over(Window.partitionBy("shard", "batch"))
+    rows = B.in_batches(ids.withColumn("length", F.size("ids")), ["length", "conv_id", "turn"], 4, 2)
+    longest = F.max("length").over(Window.partitionBy("batch"))
     return rows.withColumn("width", B.padded_width(longest, 8))
 
 
@@ -104,14 +103,14 @@ def label_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _batched(_ids(spark, sf_dir)).select("conv_id", "turn", labels.alias("labels")).withColumn("supervised", B.supervised(F.col("labels")))
 
 
-@query(_BATCHED + "SELECT shard, batch, count(*) AS n, max(len(ids)) AS longest, CAST(sum(width - len(ids)) AS BIGINT) AS padding FROM w GROUP BY shard, batch")
+@query(_BATCHED + "SELECT batch, count(*) AS n, max(len(ids)) AS longest, CAST(sum(width - len(ids)) AS BIGINT) AS padding FROM w GROUP BY batch")
 def length_sorted_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _batched(_ids(spark, sf_dir)).groupBy("shard", "batch").agg(F.count("*").alias("n"), F.max("length").cast("long").alias("longest"), F.sum(F.col("width") - F.col("length")).alias("padding"))
+    return _batched(_ids(spark, sf_dir)).groupBy("batch").agg(F.count("*").alias("n"), F.max("length").cast("long").alias("longest"), F.sum(F.col("width") - F.col("length")).alias("padding"))
 
 
-@query(_BATCHED + "SELECT shard, batch // 2 AS step, count(DISTINCT batch) AS batches, count(*) AS n FROM w GROUP BY ALL")
+@query(_BATCHED + "SELECT batch // 2 AS step, count(DISTINCT batch) AS batches, count(*) AS n FROM w GROUP BY ALL")
 def accumulation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _batched(_ids(spark, sf_dir)).groupBy("shard", "step").agg(F.count_distinct("batch").alias("batches"), F.count("*").alias("n"))
+    return _batched(_ids(spark, sf_dir)).groupBy("step").agg(F.count_distinct("batch").alias("batches"), F.count("*").alias("n"))
 
 
 _STOPS = "coalesce(list_position(list_transform(ids, lambda x: x % 20 = 3), TRUE), 0)"
@@ -131,7 +130,3 @@ def completion_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids up to the end id 2, which counts, or the padding id 0, which does not (ids mod 30)."""
     return _ids(spark, sf_dir).select("conv_id", "turn", B.answer_length(F.transform("ids", lambda x: x % 30), 2, 0).alias("answer_len"))
 
-
-#: Older names of the same queries, from when the short names read the heads of messages only.
-for _name in ("prefix_length", "truncate_or_drop", "pad_and_mask", "label_mask", "length_sorted_batches", "accumulation_groups", "trim_at_stop", "completion_length"):
-    QUERIES[f"{_name}_whole"], ORACLES[f"{_name}_whole"] = QUERIES[_name], ORACLES[_name]

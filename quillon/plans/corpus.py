@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.catalogue import ORACLES, QUERIES, query, read
+from quillon.catalogue import query, read
 from quillon.functions import text as T
 from quillon.functions.draws import seed64
 from quillon.operators import bpe, corpus
+from quillon.shared import shared_path
+from quillon.sources import tokens
 
 _WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')"
 
@@ -71,6 +73,19 @@ def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", F.explode(corpus.context_windows(F.col("ids"), 16)).alias("w")).select("item_id", "w.start", total(F.col("w.x")).alias("x_sum"), total(F.col("w.y")).alias("y_sum"))
 
 
+@query("""
+WITH h AS (SELECT hex(encode(text)) AS h FROM benchmark), b AS (SELECT unnest(list_transform(range(0, length(h), 2), lambda i: CAST(('0x' || substr(h, i + 1, 2))::INT AS INT))) AS token FROM h)
+SELECT token, count(*) AS n, CAST((SELECT count(*) FROM b) AS BIGINT) AS total FROM b GROUP BY token
+""")
+def token_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of all items written to flat token files, in order, and counted where they are read back."""
+    path = shared_path(spark, "flat-tokens")
+    rows = read(spark, sf_dir, "benchmark").select("item_id", corpus.byte_ids(F.col("text")).alias("ids"))
+    total = tokens.write_tokens(rows, "ids", ["item_id"], path, 256)
+    back = tokens.read_tokens(spark, path, vocab_size=256)
+    return back.select(F.explode("ids").alias("token")).groupBy("token").agg(F.count("*").alias("n")).withColumn("total", F.lit(total).cast("long"))
+
+
 @query()
 def pretoken_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.word_frequencies(read(spark, sf_dir, "documents"), "text")
@@ -193,6 +208,3 @@ def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     return read(spark, sf_dir, "documents").select("doc_id", T.normalise_text(F.col("text")).alias("folded"))
 
-
-#: Older name of the same query, from when the short name read the heads of English documents only.
-QUERIES["normalised_text_whole"], ORACLES["normalised_text_whole"] = QUERIES["normalised_text"], ORACLES["normalised_text"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.catalogue import query, read
 from quillon.operators import serving as S
+from quillon.operators.order import join_few, quantiles
 
 
 @query("""
@@ -35,7 +36,10 @@ FROM events GROUP BY event_type
 def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens, wall = F.sum(F.col("user_id") % 64 + 1), F.sum("value")
     rate = F.when(wall <= 0, 0.0).otherwise(tokens / (wall / 1000))
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(tokens.alias("tokens"), F.round(rate, 6).alias("tokens_per_second"), F.round(F.percentile("value", 0.5) / 64, 9).alias("ms_per_token"))
+    events = read(spark, sf_dir, "events")
+    sums = events.groupBy("event_type").agg(tokens.alias("tokens"), F.round(rate, 6).alias("tokens_per_second"))
+    middle = quantiles(events, "value", [0.5], ["event_type"]).select("event_type", "q")
+    return join_few(sums, middle, ["event_type"]).select("event_type", "tokens", "tokens_per_second", F.round(F.col("q")[0] / 64, 9).alias("ms_per_token"))
 
 
 @query("SELECT event_type AS status, count(*) AS total FROM events GROUP BY 1")

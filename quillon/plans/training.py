@@ -10,7 +10,7 @@ from quillon.operators import logs as L
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("run"), F.col("o_orderkey").alias("step"), F.col("o_totalprice").alias("loss"), F.col("o_orderkey").alias("pos"))
+    return read(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("run"), F.col("o_orderkey").alias("step"), F.col("o_totalprice").alias("loss"))
 
 
 _LOG = "WITH l AS (SELECT o_custkey % 20 AS run, o_orderkey AS step, o_totalprice AS loss FROM orders)\n"
@@ -33,9 +33,22 @@ def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.early_stop(_log(spark, sf_dir), "run", "step", "loss", 5)
 
 
-@query(_LOG + "SELECT run, CAST(0 AS BIGINT) AS backwards, FALSE AS diverged, max(step) AS total_tokens, arg_min(loss, step) AS first_loss, arg_max(loss, step) AS last_loss FROM l GROUP BY run")
+_LINES = """
+WITH l AS (SELECT o_custkey % 20 AS run, o_orderdate AS day, o_orderkey AS step, CASE WHEN o_custkey % 20 % 3 = 0 AND o_orderkey % 50 = 0 THEN 'nan'::DOUBLE ELSE o_totalprice END AS loss FROM orders),
+b AS (SELECT *, step < lag(step) OVER w AS back, row_number() OVER w AS first, row_number() OVER (PARTITION BY run ORDER BY day DESC, step DESC) AS last FROM l WINDOW w AS (PARTITION BY run ORDER BY day, step))
+"""
+
+
+@query(_LINES + """
+SELECT run, count(*) FILTER (back) AS backwards, bool_or(isnan(loss)) AS diverged, max(step) FILTER (last = 1) AS total_tokens,
+       max(loss) FILTER (first = 1) AS first_loss, max(loss) FILTER (last = 1) AS last_loss, max(loss) FILTER (first = 1) - max(loss) FILTER (last = 1) AS gain
+FROM b GROUP BY run
+""")
 def log_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.log_check(_log(spark, sf_dir), "run", "step", "loss", "step")
+    """Lines in the order of their day: steps go back, and a third of the runs holds losses that are no numbers."""
+    loss = F.when((F.col("o_custkey") % 20 % 3 == 0) & (F.col("o_orderkey") % 50 == 0), float("nan")).otherwise(F.col("o_totalprice"))
+    lines = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("run"), F.col("o_orderdate").alias("day"), F.col("o_orderkey").alias("step"), loss.alias("loss"))
+    return L.log_check(lines, "run", ["day", "step"], "step", "loss", "step")
 
 
 @query(_LOG + "SELECT run, round(coalesce(regr_slope(loss, step), 0), 6) AS slope FROM l GROUP BY run")

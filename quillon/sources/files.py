@@ -11,12 +11,15 @@ import json
 import zipfile
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.operators.order import in_ranges, join_few
+
+from .lines import place, read_lines
+
 #: The labels of phrase files, in order.
 SENTIMENTS = ["negative", "neutral", "positive"]
 RECORD = "client_name STRING, record_date STRING, risk_profile STRING, objectives ARRAY<STRING>, recommendations ARRAY<STRUCT<product: STRING, action: STRING, amount: DOUBLE>>, fees STRUCT<advice_fee: DOUBLE, ongoing_fee_pct: DOUBLE>, review_months INT, flags ARRAY<STRING>"
@@ -30,12 +33,28 @@ def _fail(message: Column, kind: str = "string") -> Column:
     return F.raise_error(message).cast(kind)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, skip_blank: bool = True) -> DataFrame:
-    """Typed rows, one JSON object a line. A bad line is an error; blank lines too unless ``skip_blank``."""
-    lines = spark.read.text(path)
+def read_jsonl(spark: SparkSession, path: str, schema: str, skip_blank: bool = True, order: str | None = None) -> DataFrame:
+    """Typed rows, one JSON object a line. A bad line is an error that names file and line; blank lines too unless ``skip_blank``.
+
+    ``order`` names a column that must not fall from one line of a file to the next (a log's step): that is an error as well.
+    """
+    lines = read_lines(spark, path)
     lines = lines.where(F.trim("value") != "") if skip_blank else lines
-    rows = lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), "value")
-    return rows.select(F.when(F.col("r").isNull(), _fail(F.concat(F.lit("bad line: "), F.substring("value", 1, 80)), rows.schema["r"].dataType.simpleString())).otherwise(F.col("r")).alias("r")).select("r.*")
+    kind = T._parse_datatype_string(schema).simpleString()
+    # a line that does not fit the schema comes back without any field, or with itself in the last one
+    rows = lines.select("file", "line", F.from_json("value", schema + ", __bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}).alias("r"))
+    bad = F.col("r").isNull() | F.col("r.__bad").isNotNull()
+    names = [f.name for f in T._parse_datatype_string(schema).fields]
+    checked = F.when(bad, _fail(F.concat(place(), F.lit(": bad line")), kind)).otherwise(F.struct(*(F.col(f"r.`{n}`").alias(n) for n in names)))
+    rows = rows.select("file", "line", checked.alias("r"))
+    if order:
+        cut = in_ranges(rows, ["file", "line"])
+        last = cut.groupBy("file", "__range").agg(F.max_by(F.col(f"r.{order}"), "__at").alias("__last"))
+        last = last.withColumn("__last", F.last("__last").over(Window.partitionBy("file").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)))
+        cut = join_few(cut, last, ["file", "__range"])
+        before = F.coalesce(F.lag(f"r.{order}").over(Window.partitionBy("file", "__range").orderBy("__at")), "__last")
+        rows = cut.withColumn("r", F.when(F.coalesce(F.col(f"r.{order}") < before, F.lit(False)), _fail(F.concat(place(), F.lit(f": {order} goes back")), kind)).otherwise(F.col("r")))
+    return rows.select("r.*")
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
@@ -92,27 +111,6 @@ def read_phrase_zip(spark: SparkSession, path: str, agreement: str = "all") -> D
     return parse_phrases(files.mapInArrow(unzip, "content string"), "content")
 
 
-def write_tokens(rows: DataFrame, ids: str, path: str, vocab_size: int) -> None:
-    """Token rows as Parquet of int arrays; ids must fit 16 bits, as they do in flat token files."""
-    if vocab_size > 1 << 16:
-        raise ValueError("ids must fit 16 bits")
-    inside = F.forall(ids, lambda x: x.between(0, vocab_size - 1))
-    rows.select(F.when(inside, F.col(ids)).otherwise(_fail(F.lit("id outside the vocabulary"), "array<int>")).alias("ids")).write.parquet(path)
-
-
-def read_token_file(spark: SparkSession, path: str, block: int) -> DataFrame:
-    """(path, pos, ids): flat little-endian 16-bit token files, in blocks of ``block`` ids."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                flat = np.frombuffer(content.as_buffer(), "<u2").astype(np.int32)
-                starts = list(range(0, len(flat), block))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(starts), pa.string()), pa.array(starts, pa.int64()), pa.array([flat[s : s + block] for s in starts], pa.list_(pa.int32()))], names=["path", "pos", "ids"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, "path string, pos long, ids array<int>")
-
-
 def read_completions(spark: SparkSession, path: str, golds: DataFrame | None = None) -> DataFrame:
     """(example_id, text, gold) from untyped JSON lines.
 
@@ -120,13 +118,13 @@ def read_completions(spark: SparkSession, path: str, golds: DataFrame | None = N
     ``golds`` (example_id, gold); an id that is missing is line-N. A line without text or gold, or an
     unreadable one, is an error, and so is an empty file.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")))
+    lines = read_lines(spark, path).withColumnRenamed("value", "col")
     if not lines.where("trim(col) <> ''").head(1):
         raise ValueError("no completions")
     v = F.try_parse_json("col")
     text = F.coalesce(*(F.try_variant_get(v, f"$.{k}", "string") for k in ("text", "completion", "output", "response")))
-    at = F.concat(F.lit("line "), (F.col("pos") + 1).cast("string"))
-    rows = lines.select(F.coalesce(F.get_json_object("col", "$.example_id"), F.concat(F.lit("line-"), (F.col("pos") + 1).cast("string"))).alias("example_id"), F.coalesce(text, _fail(F.concat(at, F.lit(": no completion")))).alias("text"), F.get_json_object("col", "$.gold").alias("own"), at.alias("at"))
+    at = F.concat(F.lit("line "), F.col("line").cast("string"))
+    rows = lines.select(F.coalesce(F.get_json_object("col", "$.example_id"), F.concat(F.lit("line-"), F.col("line").cast("string"))).alias("example_id"), F.coalesce(text, _fail(F.concat(at, F.lit(": no completion")))).alias("text"), F.get_json_object("col", "$.gold").alias("own"), at.alias("at"))
     known = rows.join(golds.select("example_id", F.col("gold").alias("given")), "example_id", "left") if golds is not None else rows.withColumn("given", F.lit(None).cast("string"))
     return known.select("example_id", "text", F.coalesce("own", "given", _fail(F.concat("at", F.lit(": no gold record")))).alias("gold"))
 

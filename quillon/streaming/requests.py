@@ -22,8 +22,8 @@ STATE = "batch long, first double, last double, ids array<long>"
 def batch_requests(requests: DataFrame, most: int, window_s: float, queue: int | None = None) -> DataFrame:
     """Stream of (shard, request_id, batch, status) from ``requests`` (shard, ts, request_id, with a watermark on ts).
 
-    status is batched or overloaded; a request is overloaded if ``queue`` requests of its shard arrived in the
-    same trigger and wait already. The open batch is sent once its window lies behind the watermark.
+    status is batched or overloaded; a request is overloaded if ``queue`` requests of its shard wait already, in
+    the open batch. The open batch is sent once its window lies behind the watermark.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -39,15 +39,13 @@ def batch_requests(requests: DataFrame, most: int, window_s: float, queue: int |
             close()
         else:
             rows = pd.concat(list(parts)).sort_values(["us", "request_id"])
-            waiting = 0
             for us, i in zip(rows["us"].tolist(), rows["request_id"].tolist(), strict=True):
                 t = us / 1e6
                 if ids and (len(ids) == most or t > first + window_s):
                     close()
-                if queue is not None and waiting >= queue:
+                if queue is not None and len(ids) >= queue:
                     out.append((key[0], i, -1, "overloaded"))
                     continue
-                waiting += 1
                 first = t if not ids else first
                 last = t
                 ids.append(i)

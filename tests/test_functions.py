@@ -222,8 +222,6 @@ def test_sources(spark, tmp_path):
         files.read_jsonl(spark, str(tmp_path / "bad.jsonl"), files.LOG).collect()
     (tmp_path / "c.jsonl").write_text('{"completion": "hi", "gold": {"a": 1}}\n{"example_id": "e", "text": "yo", "gold": {"a": 2}}\n')
     assert [(r["example_id"], r["text"], r["gold"]) for r in files.read_completions(spark, str(tmp_path / "c.jsonl")).collect()] == [("line-1", "hi", '{"a":1}'), ("e", "yo", '{"a":2}')]
-    (tmp_path / "t.bin").write_bytes(bytes([1, 0, 2, 0, 3, 1]))
-    assert [r["ids"] for r in files.read_token_file(spark, str(tmp_path / "t.bin"), 2).orderBy("pos").collect()] == [[1, 2], [259]]
     assert spark.createDataFrame([], files.EXAMPLE).columns == ["example_id", "split", "slice", "note", "gold"]
 
 
@@ -240,6 +238,20 @@ def test_streaming_batches(spark, tmp_path):
     assert got[0] == got[1] == 0 and got[2] == got[3] == 1
 
 
+def test_streaming_admission(spark, tmp_path):
+    from quillon.streaming.requests import batch_requests
+
+    # two may wait; a batch closes after 10 seconds, and room is made again
+    rows = spark.createDataFrame([("a", i, f"2024-01-01 00:00:{s:02d}") for i, s in enumerate([0, 1, 2, 3, 20, 21, 22, 50])], "shard string, request_id long, t string")
+    rows.select("shard", "request_id", F.to_timestamp("t").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("shard string, request_id long, ts timestamp").parquet(str(tmp_path / "in")).withWatermark("ts", "1 second")
+    q = batch_requests(stream, 4, 10.0, queue=2).writeStream.format("memory").queryName("admitted").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r["request_id"]: (r["batch"], r["status"]) for r in spark.table("admitted").collect()}
+    assert [got[i] for i in range(7)] == [(0, "batched"), (0, "batched"), (-1, "overloaded"), (-1, "overloaded"), (1, "batched"), (1, "batched"), (-1, "overloaded")]
+
+
 def test_runner(spark, tmp_path):
     from quillon.plans.runner import MissingUpstream, run
 
