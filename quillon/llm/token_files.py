@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +28,7 @@ from .wavelet import Shard, write_shard
 
 #: Tokens of a shard, about (documents are never split between shards); bytes of text in a range; ranges at least and at most.
 SHARD_TOKENS, RANGE_BYTES, MIN_RANGES, MOST_RANGES = 1 << 20, 32 << 20, 24, 50_000
-#: Words a worker keeps encoded; then it starts anew.
+#: Words that a worker keeps encoded, twice: when so many are new, those from before make room.
 CACHE_WORDS = 400_000
 _TIES = 1 << 20
 
@@ -33,14 +36,17 @@ _TIES = 1 << 20
 class ByteCoder(dict):
     """ids() is exactly ``tokenizer.encode(text, add_special_tokens=False)`` of a byte-level BPE, packed.
 
-    Such a tokenizer always parts a text before the last white space of a run that something else follows. So a
-    text is parted before every single space and line end, and each word is encoded, with what stands before
-    it, when first met. A word that begins with further white space has no entry of its own (None): its text is parted only before a
-    space and an ASCII letter or digit.
+    Such a tokenizer parts a text into words by a fixed pattern and merges each by itself; words are merged when
+    first met and kept. For texts of ASCII and Latin letters the pattern is spelled out for their characters, for further
+    letters up to U+04FF and common marks it is the pattern itself. Other texts, and those that hold the name of a special token, are parted only
+    before a space and an ASCII letter or digit, where every word begins anew, and go through the whole tokenizer.
     """
 
+    _SAFE = bytes([10, *range(32, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
+    _WORDS = re.compile("'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-/:-@\\[-`{-~]+|\\s+(?!\\S)|\\s+")
+    _ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")  # fixed: the vocabulary's own pattern
+    _RARE = re.compile("[^\t-\r -\u04ff\u2010-\u2027\u2030-\u205e\u20ac]")
     _PARTS = re.compile(r"(?= [0-9A-Za-z])")
-    _PLAIN = re.compile("([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,42 +57,46 @@ class ByteCoder(dict):
         self.model = self.tokenizer.model
         size = self.tokenizer.get_vocab_size()
         self.bits = max(1, (size - 1).bit_length())
-        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        self.kind, self.code = ("<u2", "H") if size <= 1 << 16 else ("<u4", "I")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed: bytes that stand for themselves in such vocabularies
         rest = (b for b in range(256) if b not in plain)
-        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.letters = str.maketrans({chr(b): chr(b) for b in plain} | {chr(b): chr(256 + i) for i, b in enumerate(rest)})
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def _merged(self, part: str) -> list[int]:
-        mapped = "".join(map(self.letters.__getitem__, part.encode()))
-        return [t.id for t in self.model.tokenize(mapped)] if mapped else []
-
-    def encode(self, part: str) -> bytes:
-        plain = self._PLAIN.fullmatch(part)
-        if plain and not any(s in part for s in self.special):
-            lead, core, tail = plain.groups()
-            ids = self._merged(lead + core) if lead != "\n" else self._merged(lead) + self._merged(core)
-            ids += self._merged(tail)
-        else:
-            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        return np.array(ids, self.kind).tobytes()
-
-    def __missing__(self, word: str) -> bytes | None:
-        if word[:1] == "\n":
-            packed = None if word[1:2].isspace() or len(word) == 1 else self.encode(word)
-        else:
-            packed = None if word[:1].isspace() or not word else self.encode(" " + word)
+        #: What was kept before the words became too many: a word that is met again comes back from there.
+        self.older: dict[str, bytes] = {}
+
+    def _pack(self, ids: list[int]) -> bytes:
+        packed = array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        packed = self.older.get(word)
+        if packed is None:
+            mapped = word.encode().decode("latin-1").translate(self.letters)
+            packed = self._pack([t.id for t in self.model.tokenize(mapped)])
         if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
         self[word] = packed
         return packed
 
+    def _words(self, text: str) -> list[str] | None:
+        if any(s in text for s in self.special):
+            return None
+        try:
+            if not text.encode("latin-1").translate(None, self._SAFE):
+                return self._WORDS.findall(text)
+        except UnicodeEncodeError:
+            pass
+        return None if self._RARE.search(text) else self._ANY.findall(text)
+
     def ids(self, text: str) -> bytes:
-        first, *words = text.replace("\n", " \n").split(" ")
-        found = list(map(self.__getitem__, words))
-        if None in found or (first[:1] or "x").isspace() or (not first and words):
-            return b"".join(map(self.encode, self._PARTS.split(text)))
-        return b"".join([self.encode(first), *found]) if first else b""
+        words = self._words(text)
+        if words is None:
+            return b"".join([self._pack(self.tokenizer.encode(part, add_special_tokens=False).ids) for part in self._PARTS.split(text)])
+        return b"".join(map(self.__getitem__, words))
 
 
 @lru_cache(maxsize=1)

@@ -154,14 +154,14 @@ class Shard:
         (size,) = struct.unpack_from("<I", data, 8)
         self.header = json.loads(bytes(data[12 : 12 + size]))
         self._data, self._base = memoryview(data), 12 + size
+        if self._base + max(a + n for a, n in self.header["at"].values()) != len(data):
+            raise ValueError("the token shard is cut short")
         bits = self.header["bits"]
         planes = [(np.frombuffer(self._part(f"ones{i}"), "<u4"), np.frombuffer(self._part(f"ends{i}"), "<u4"), self._part(f"bits{i}")) for i in range(bits)]
         self.ids = WaveletMatrix(self.header["n"], bits, self.header["zeros"], planes)
 
     def _part(self, name: str) -> memoryview:
         at, size = self.header["at"][name]
-        if self._base + at + size > len(self._data):
-            raise ValueError("the token shard is cut short")
         return self._data[self._base + at : self._base + at + size]
 
     def _numbers(self, name: str, kind: str) -> np.ndarray:
