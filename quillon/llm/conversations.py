@@ -146,9 +146,9 @@ def repair_conversations(turns: DataFrame, *, conv_col: str = "conv_id", turn_co
     rows = rows.withColumn("kind", F.when(~F.col("gone"), _kind()))
     again = F.coalesce(F.col("fault") == "duplicate", F.lit(False))  # of equal rows the first stands first
     backwards = rows.sortWithinPartitions("conv", F.desc_nulls_last("turn"), F.desc("gone"), F.desc("role"), F.desc("text"), again.desc())
-    more = [StructField(f"after{q}", LongType()) for q in range(4)] + [StructField("rest", LongType())]
+    more = [StructField(f"after{q}", LongType()) for q in range(4)] + [StructField("rest", LongType()), StructField("back", LongType())]
     walked = backwards.mapInArrow(_scan, StructType([*rows.schema.fields, *more]))
-    forwards = walked.sortWithinPartitions("conv", F.asc_nulls_first("turn"), "gone", "role", "text", again)
+    forwards = walked.sortWithinPartitions("conv", F.desc("back"))
     long = [StructField(n, LongType()) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     schema = StructType([StructField("conv_id", conv.dataType), *long, StructField("audit", StringType()), StructField("repaired_sha256", StringType())])
     return forwards.mapInArrow(_rebuild, schema)
@@ -158,8 +158,8 @@ _NONE = object()
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows from the last to the first of each conversation, with the vector after each, and the cost from before it to the end (from nothing yet)."""
-    repairs, now = Repairs(), _NONE
+    """Rows from the last to the first of each conversation, with the vector after each, the cost from before it to the end (from nothing yet), and its place in this stream."""
+    repairs, now, seen = Repairs(), _NONE, 0
     vector, total = repairs.end, 0
     step = repairs.step
     for batch in batches:
@@ -173,8 +173,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total += weight
             rest.append(total + vector[START])
         columns = list(zip(*after, strict=True)) or [[]] * 4
-        arrays = [*batch.columns, *(pa.array(c, pa.int64()) for c in columns), pa.array(rest, pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "after0", "after1", "after2", "after3", "rest"])
+        arrays = [*batch.columns, *(pa.array(c, pa.int64()) for c in columns), pa.array(rest, pa.int64()), pa.array(range(seen, seen + len(rest)), pa.int64())]
+        seen += len(rest)
+        yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "after0", "after1", "after2", "after3", "rest", "back"])
 
 
 class _Conversation:
