@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.logits import let
 
-from .common import numbered, pick, place, table
+from .common import numbered, pick, place, skew_join, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Java patterns of the base kinds. A match can only begin where a run of its first characters begins, or
@@ -40,6 +40,8 @@ CANDIDATE = r"(?<!\S)(?=(?:[^\s0-9]*+[0-9]){5}|[^\s(\[]*+[(\[]at[)\]])\S++"
 _HEAD, _TAIL = r"^[^\p{L}0-9(\[+]++", r"(?<![^\p{L}0-9)\]])[^\p{L}0-9)\]]++$"
 #: Confident instances that a pattern needs; what it must be worth; rounds; damping of what unknown instances earn; least confidence.
 LEAST_SEEDS, WORTH, ROUNDS, DAMPING, CONFIDENCE = 3, 0.5, 4, 0.5, 0.6
+#: Edges of a pattern or an instance in a part.
+PART_EDGES = 100_000
 _BLOCK = 256
 
 _SPAN = "array<struct<start:int,end:int,text:string,before:string,after:string>>"
@@ -175,23 +177,40 @@ def discover(rows: DataFrame, *, least_seeds: int = LEAST_SEEDS, worth: float =
     to distinct (kind, instance, pattern), with what is known of the instances and back; nothing is collected.
     A pattern counts for a kind if ``least_seeds`` instances, seeds or found ones, bear it and it is worth at
     least ``worth``; an instance is found once its confidence reaches ``confidence`` (ties: first kind by name).
+    Patterns that many instances bear, and instances that bear many patterns, have their edges dealt out over
+    parts of PART_EDGES, so that no join gathers one of them.
     """
     edges = table(rows.select("kind", "instance", F.explode("patterns").alias("pattern")).distinct(), "pii-edges")
     if not edges.where("kind IS NULL").head(1):
         return None
     seeds = edges.where("kind IS NOT NULL").select("kind", "instance", "pattern", F.lit(1.0).alias("c"))
     # an instance that is a seed somewhere is known; elsewhere it is no candidate
-    unknown = table(edges.where("kind IS NULL").drop("kind").join(seeds.select("instance").distinct(), "instance", "left_anti"), "pii-unknown")
-    size = table(edges.groupBy("pattern").agg(F.count_distinct("instance").alias("size")), "pii-patterns")
+    unknown = edges.where("kind IS NULL").drop("kind").join(seeds.select("instance").distinct(), "instance", "left_anti")
+    parts = lambda n: F.ceil(F.col(n) / PART_EDGES).cast("int")
+    size = table(edges.groupBy("pattern").agg(F.count_distinct("instance").alias("size")).withColumn("parts", parts("size")), "pii-patterns")
+    unknown = table(unknown, "pii-candidates")
+    degree = table(unknown.groupBy("instance").agg(F.count("*").alias("degree")).withColumn("spread", parts("degree")), "pii-instances")
+    unknown = skew_join(unknown, size.where(F.col("size") >= least_seeds).select("pattern", "parts", "size"), "pattern", "size").where("parts IS NOT NULL").drop("size")
+    unknown = skew_join(unknown, degree, "instance", "degree").drop("degree")
+    deal = lambda other, n: F.pmod(F.hash(other), F.col(n))
+    unknown = table(unknown.select("instance", "pattern", deal("instance", "parts").alias("part"), deal("pattern", "spread").alias("at")), "pii-unknown")
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
     found = None
     for _ in range(rounds):
-        known = seeds if found is None else seeds.unionByName(unknown.join(found, "instance").select("kind", "instance", "pattern", "c"))
+        known = seeds if found is None else seeds.unionByName(unknown.join(found.select("instance", "kind", "c", every("spread", "at")), ["instance", "at"]).select("kind", "instance", "pattern", "c"))
         sums = known.groupBy("kind", "pattern").agg(F.sum(F.when(F.col("c") >= confidence, F.col("c")).otherwise(F.col("c") * DAMPING)).alias("sum"), F.count_if(F.col("c") >= confidence).alias("sure"))
-        good = sums.where(F.col("sure") >= least_seeds).join(size, "pattern").select("kind", "pattern", F.least(F.col("sum") / F.col("size"), F.lit(0.999)).alias("worth")).where(F.col("worth") >= worth)
-        earned = unknown.join(good, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("worth"))))).alias("c"))
+        good = sums.where(F.col("sure") >= least_seeds).join(size, "pattern").select("kind", "pattern", "parts", F.least(F.col("sum") / F.col("size"), F.lit(0.999)).alias("worth")).where(F.col("worth") >= worth)
+        earned = unknown.join(good.select("kind", "pattern", "worth", every("parts", "part")), ["pattern", "part"]).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("worth"))))).alias("c"))
         best = earned.groupBy("instance").agg(F.max(F.struct("c", (-F.ascii("kind")).alias("first"), "kind")).alias("b"))
-        found = table(best.select("instance", "b.kind", "b.c"), "pii-found")
-    return found.where(F.col("c") >= confidence)
+        found = table(best.select("instance", "b.kind", "b.c").join(degree.select("instance", "spread"), "instance"), "pii-found")
+    return found.where(F.col("c") >= confidence).drop("spread")
+
+
+def _told(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """The ``rows`` (with a column instance) whose instance is in ``new``, with its kind. An instance may stand in any share of the rows."""
+    counts = rows.groupBy("instance").agg(F.count("*").alias("n"))
+    classes = table(counts.join(new.select("instance", "kind"), "instance", "left"), "pii-told")
+    return skew_join(rows, classes, "instance", "n").where("kind IS NOT NULL").drop("n")
 
 
 def _written(kind: str, spans: Column) -> Column:
@@ -208,14 +227,14 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     left = _blanked(F.col("text"), lambda kind, w: F.repeat(F.lit("."), F.length(w)))
-    slim = table(docs.select("doc_id", *(base_spans(F.col("text"), k).alias(k) for k in KINDS), F.when(F.col("text").rlike(CANDIDATE), let(left, candidates)).otherwise(F.array().cast(_SPAN)).alias("other")), "pii-spans")
+    # rows are numbered before they are written: whoever reads the table finds the same numbers
+    slim = table(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", *(base_spans(F.col("text"), k).alias(k) for k in KINDS), F.when(F.col("text").rlike(CANDIDATE), let(left, candidates)).otherwise(F.array().cast(_SPAN)).alias("other")), "pii-spans")
     new = discover(_seen(slim), **options)
-    slim = slim.withColumn("row", F.monotonically_increasing_id())
     base = F.concat(*(_written(k, F.col(k)) for k in KINDS))
     every = base
     if new is not None:
         # spans of one text are few or many, but never more than its tokens
-        each = slim.select("row", F.explode("other").alias("s")).select("row", "s", _core(F.col("s.text")).alias("instance")).join(new, "instance")
+        each = _told(slim.select("row", F.explode("other").alias("s")).select("row", "s", _core(F.col("s.text")).alias("instance")), new)
         lead = F.col("s.start") + F.length(F.regexp_extract("s.text", _HEAD, 0))
         own = each.groupBy("row").agg(*(F.collect_list(F.when(F.col("kind") == k, F.struct(lead.alias("start"), (lead + F.length("instance")).alias("end")))).alias(f"m_{k}") for k in KINDS))
         slim = slim.join(own, "row", "left")
@@ -252,10 +271,11 @@ def mask_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     if new is not None:
         # the few texts that hold what was found; a text is known by its hash, equal ones have equal spans
         some = marked.where(F.size("other") > 0).withColumn("key", F.sha2("masked", 256))
-        hits = some.select("key", F.explode("other").alias("s")).select("key", _core(F.col("s.text")).alias("instance")).distinct().join(new, "instance")
+        hits = _told(some.select("key", F.explode("other").alias("s")).select("key", _core(F.col("s.text")).alias("instance")).distinct(), new)
         told = hits.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("instance", "kind"))).alias("told"))
         swap = lambda w: F.when(F.element_at("told", _core(w)).isNull(), w).otherwise(F.concat(F.regexp_extract(w, _HEAD, 0), F.lit("["), F.upper(F.element_at("told", _core(w))), F.lit("]"), F.regexp_extract(w, _TAIL, 0)))
-        more = some.join(told, "key", "left").withColumn("masked", F.when(F.col("told").isNull(), F.col("masked")).otherwise(_replace(F.col("masked"), CANDIDATE, swap)))
+        copies = table(some.groupBy("key").agg(F.count("*").alias("n")).join(told, "key", "left"), "pii-copies")
+        more = skew_join(some, copies, "key", "n").drop("n").withColumn("masked", F.when(F.col("told").isNull(), F.col("masked")).otherwise(_replace(F.col("masked"), CANDIDATE, swap)))
         marked = marked.where(F.size("other") == 0).unionByName(more.drop("key", "told"))
     new_text = F.when(~F.col("none"), F.col("masked"))
     cols = [new_text if i == at else F.length(new_text).cast(docs.schema[i].dataType) if i == long else F.col(f"c{i}") for i in range(len(docs.columns))]
