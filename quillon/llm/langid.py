@@ -19,10 +19,10 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import numbered, pick, place, slices
 
-#: Fit on about so many labelled rows, spread by a hash of the id.
-FIT_ROWS = 20_000
-#: Share of the labelled rows that a language needs to be learned.
-LEAST_LANG = 0.001
+#: Fit on about so many labelled rows, spread by a hash of the id, but on about LANG_ROWS of each language at least, or all that it has.
+FIT_ROWS, LANG_ROWS = 20_000, 500
+#: Labelled rows that a language needs to be learned; languages at most (a column of more is no column of languages: an error).
+LEAST_ROWS, MOST_LANGS = 3, 1000
 #: Log-score that a change of language costs; the largest lead of one word.
 SWITCH, WORD_MOST = 8.0, 6.0
 UNKNOWN = "und"
@@ -131,14 +131,19 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, switch: float = SWITCH) -> np.n
 
 
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Trigram counts per language of about ``fit_rows`` of the labelled ``rows`` (doc_id, text, lang)."""
+    """Trigram counts per language of about ``fit_rows`` of the labelled ``rows`` (doc_id, text, lang), more where rare languages need them."""
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
-    total = rows.count()
-    share = min(1.0, fit_rows / max(1, total))
-    # fewer than 1 / LEAST_LANG languages pass, whatever dirt the column holds
-    learned = [r["lang"] for r in rows.groupBy("lang").count().where(F.col("count") >= LEAST_LANG * total).select("lang").collect()]
-    rows = rows.where(F.col("lang").isin(learned)) if learned else rows.where("false")
-    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("lang", "text")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().where(F.col("count") >= LEAST_ROWS).limit(MOST_LANGS + 1).collect()}
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    total = sum(counts.values())
+    # a hash of the id below a limit of the language's own
+    limits = {lang: int(min(1.0, max(fit_rows / total, LANG_ROWS / n)) * (1 << 20)) + 1 for lang, n in counts.items()}
+    if limits:
+        limit = F.create_map(*(F.lit(x) for pair in sorted(limits.items()) for x in pair))[F.col("lang")]
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < limit).select("lang", "text")
+    else:
+        rows = rows.where("false").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -201,8 +206,8 @@ def identify_languages(docs: DataFrame, held_out: Column | None = None, *, id_co
     does not name. lang_pred is ``und`` with score 0 if the text is null, empty or has no letter, or if there
     was nothing to learn from; else the language of most letters, ties to the first by name, with their share
     as score. An id that is null counts as not held out. Repeated ids are repeated rows; texts of any length
-    are read whole; extra columns are ignored. Languages with less than LEAST_LANG of the labelled rows are
-    not learned. Empty in, empty out.
+    are read whole; extra columns are ignored. A language of LEAST_ROWS labelled rows or more is learned, however
+    small its share. Empty in, empty out.
     """
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2 if held_out is None else held_out
     docs = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"))
