@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,9 +110,27 @@ def write_archives(pages: DataFrame, path: str, *, revisit_bytes: int = REVISIT_
     )
     extra = F.when(revisit, _header(("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", _id(F.col("first_id"))))).otherwise("")
     record = F.concat(F.lit("WARC/1.1\r\n"), extra, head, F.lit("\r\n"), block)
-    mean = pages.agg(F.avg(length)).first()[0] or 0
-    records = int(min(archive_records, max(1, archive_bytes // (mean + 600))))
-    marked.select(record.alias("value")).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+    sizes = pages.agg(F.avg(length).alias("mean"), F.max(length).alias("most")).first()
+    records = int(min(archive_records, max(1, archive_bytes // ((sizes["mean"] or 0) + 600))))
+    told = marked.select(record.alias("value"))
+    if records * ((sizes["most"] or 0) + 600) <= 4 * archive_bytes:
+        told.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+        return
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The number of each record's archive in its task: a new one when so many bytes, or records, are full."""
+        archive, held, n = 0, 0, 0
+        for batch in batches:
+            at = []
+            for size in pc.binary_length(batch.column("value")).to_pylist():
+                if n and (held + size > archive_bytes or n >= archive_records):
+                    archive, held, n = archive + 1, 0, 0
+                at.append(archive)
+                held, n = held + size, n + 1
+            yield pa.RecordBatch.from_arrays([batch.column("value"), pa.array(at, pa.int32())], names=["value", "archive"])
+
+    # payloads of very unequal length: counting records would not bound an archive, so bytes are counted
+    told.mapInArrow(cut, "value string, archive int").write.partitionBy("archive").option("lineSep", _END).option("compression", "gzip").text(path)
 
 
 def inflate(content: memoryview | bytes, size: int = 1 << 20) -> Iterator[bytes]:
