@@ -4,8 +4,8 @@ Five small transducers (insult, threat, target, negation, reported speech) are c
 clause as word classes and scores it as a whole: an insult weighs what its word or stem was learned to weigh,
 more behind a target, less behind a negation or in reported speech; a threat needs a target. All word classes
 are learned from labelled documents, so any language of the labels is covered: insults set the label apart by
-themselves; negations and reports stand before insults of harmless documents, just before or further off;
-targets stand before insults of toxic ones; a threat is a word that sets the label apart only where a target
+themselves; a negation makes a document less likely toxic where it stands just before an insult than where it stands elsewhere, a report
+the same further before one, a target makes it likelier; a threat is a word that sets the label apart only where a target
 follows. A document's clause scores give its probability.
 """
 
@@ -28,8 +28,8 @@ from .common import pick, slices, table
 FIT_ROWS, LEAST_DOCS, LEAST_ODDS = 20_000, 4, 1.5
 STEMS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
-#: Documents in which a word must stand before an insult (or a target) to be given a class; how far its log-odds must lie from those of all words that stand there, and by how many standard errors.
-LEAST_CONTEXTS, LEAST_SHIFT, LEAST_ERRORS = 8, 1.0, 3.0
+#: Documents in which a word must stand before an insult (or a target), and elsewhere, to be given a class; how far its log-odds there must lie from those elsewhere, and by how many standard errors.
+LEAST_CONTEXTS, LEAST_SHIFT, LEAST_ERRORS = 8, 1.0, 5.0
 #: Words before an insult, or after a threat, that are near it.
 NEAR = 3
 _WORD = re.compile(r"[^\W\d_]+|[\"“”«»]")
@@ -166,22 +166,31 @@ def _fit_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float], i
 
 
 def contexts(text: str | None, model: Model, targets: frozenset[str] = frozenset()) -> set[tuple[str, str]]:
-    """(role, word) of a text: words near before an insult, words further before one in its clause; given targets, words that one follows nearby."""
+    """(role, word) of a text: words near before an insult, words further before one in its clause, and words that stand elsewhere in a text with an insult; given targets, words that one follows nearby, and words where none does."""
     out = set()
+    found = False
     for clause in _CLAUSE.split((text or "").lower()):
         words = [w for w in _WORD.findall(clause) if w not in _QUOTES]
         insult = [i for i, w in enumerate(words) if model.weight(w) > 0]
-        if insult and not targets:
-            out.update(("near", words[j]) for i in insult for j in range(max(0, i - NEAR), i) if j not in insult)
-            out.update(("far", words[j]) for j in range(max(0, insult[-1] - NEAR)) if j not in insult)
+        found = found or bool(insult)
         if targets:
             follow = [i for i, w in enumerate(words) if w in targets]
-            out.update(("threat", words[j]) for i in follow for j in range(max(0, i - NEAR), i) if j not in insult and words[j] not in model.classes)
-    return out
+            near = {j for i in follow for j in range(max(0, i - NEAR), i)} - set(insult)
+            out.update(("threat" if j in near else "alone", w) for j, w in enumerate(words) if w not in model.classes and j not in insult)
+        else:
+            near = {j for i in insult for j in range(max(0, i - NEAR), i)} - set(insult)
+            far = set(range(max(0, insult[-1] - NEAR))) - set(insult) - near if insult else set()
+            out.update(("near" if j in near else "far" if j in far else "else", w) for j, w in enumerate(words) if j not in insult)
+    return out if found or targets else set()
+
 
+def _fit_classes(rows: DataFrame, model: Model) -> dict[str, int]:
+    """Classes of words from where they stand, from rows (text, label): each document counts a (role, word) once.
 
-def _fit_classes(rows: DataFrame, model: Model, bad: int, good: int) -> dict[str, int]:
-    """Classes of words from where they stand, from rows (text, label): each document counts a (role, word) once."""
+    A word's odds of label 1 where it stands in a role are compared with its own odds elsewhere in documents that
+    hold an insult as well. So what a word says by its language, or by its subject, falls away, and a word that says the same wherever it stands (an
+    article, a preposition) gets no class. Only a word that hardly ever stands elsewhere is compared with all words of the role.
+    """
 
     def counted(targets: frozenset[str]) -> DataFrame:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,24 +202,29 @@ def _fit_classes(rows: DataFrame, model: Model, bad: int, good: int) -> dict[str
         sums = rows.mapInArrow(count, "role string, word string, label int").groupBy("role", "word")
         return sums.agg(F.sum("label").cast("long").alias("bad"), F.sum(1 - F.col("label")).cast("long").alias("good")).where(F.col("bad") + F.col("good") >= LEAST_CONTEXTS)
 
-    def odds(row: Row, bad: int, good: int) -> float:
-        return math.log((row["bad"] + 0.5) / (row["good"] + 0.5)) - math.log((bad + 0.5) / (good + 0.5))
+    def shift(row: Row, other: Row | dict[str, int]) -> float:
+        """How far the word's log-odds in its role lie from those elsewhere; 0 unless they surely differ."""
+        n, m = row["bad"] + row["good"], other["bad"] + other["good"]
+        share = (row["bad"] + other["bad"] + 1) / (n + m + 2)
+        surely = abs(row["bad"] / n - other["bad"] / m) >= LEAST_ERRORS * math.sqrt(share * (1 - share) * (1 / n + 1 / m))
+        own = math.log((row["bad"] + 0.5) / (row["good"] + 0.5)) - math.log((other["bad"] + 0.5) / (other["good"] + 0.5))
+        return own if surely and abs(own) >= LEAST_SHIFT else 0.0
 
-    # words that stand before an insult in enough documents: bounded by FIT_ROWS / LEAST_CONTEXTS times the words of a clause
-    found = counted(frozenset()).collect()
+    # words in enough documents: bounded by FIT_ROWS / LEAST_CONTEXTS times the words of a document
+    found = {(r["role"], r["word"]): r for r in counted(frozenset()).collect()}
     classes: dict[str, int] = {}
     for role, fewer, more in (("far", REPORT, None), ("near", NEGATION, TARGET)):
-        own = [r for r in found if r["role"] == role]
-        every = sum(r["bad"] for r in own), sum(r["good"] for r in own)
-        for r in sorted(own, key=lambda r: r["word"]):
-            shift = odds(r, *every)
-            if abs(shift) >= max(LEAST_SHIFT, LEAST_ERRORS * math.sqrt(1 / (r["bad"] + 0.5) + 1 / (r["good"] + 0.5))) and (fewer if shift < 0 else more):
-                classes[r["word"]] = fewer if shift < 0 else more
+        every = {x: sum(r[x] for (own, _), r in found.items() if own == role) for x in ("bad", "good")}
+        for (own, word), row in sorted(found.items(), key=lambda x: x[0]):
+            by = shift(row, found.get(("else", word), every)) if own == role else 0.0
+            if by < 0 or by > 0 and more:
+                classes[word] = fewer if by < 0 else more
     model.classes = classes
     targets = frozenset(w for w, k in classes.items() if k == TARGET)
     if targets:
-        # beside a target the label's odds stand out; the word alone, whose odds are lower, is no insult
-        classes |= {r["word"]: THREAT for r in counted(targets).collect() if r["role"] == "threat" and r["bad"] >= LEAST_DOCS and odds(r, bad, good) >= LEAST_ODDS}
+        # before a target the label's odds stand out from the word's own odds where none follows: alone it is no insult
+        found = {(r["role"], r["word"]): r for r in counted(targets).collect()}
+        classes |= {w: THREAT for (role, w), r in found.items() if role == "threat" and r["bad"] >= LEAST_DOCS and ("alone", w) in found and shift(r, found["alone", w]) >= LEAST_ODDS}
     return classes
 
 
@@ -234,7 +248,7 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     words, stems, bad, good = _fit_lexicon(rows.where(half).select("text", "label"))
     model = Model(words, stems, np.zeros(5), (bad + 0.5) / (bad + good + 1))
     if words or stems:
-        model = replace(model, classes=_fit_classes(rows.where(half).select("text", "label"), model, bad, good))
+        model = replace(model, classes=_fit_classes(rows.where(half).select("text", "label"), model))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
