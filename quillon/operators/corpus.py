@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -88,8 +88,34 @@ def byte_pair_counts(words: DataFrame) -> DataFrame:
 
 
 def first_appearance(rows: DataFrame, text: str, order: str) -> DataFrame:
-    """Of rows with equal text only the first by ``order``."""
-    return rows.withColumn("__at", F.row_number().over(Window.partitionBy(text).orderBy(order))).where("__at = 1").drop("__at")
+    """Of rows with equal text only the first by ``order``; the many of one text are pre-aggregated where they are read."""
+    first = rows.groupBy(text).agg(F.min_by(F.struct(*rows.columns), order).alias("__r"))
+    return first.select("__r.*")
+
+
+class Unsettled(RuntimeError):
+    """Values still collide after the last round."""
+
+
+def settle(rows: DataFrame, key: str, value: Callable[[Column, int], Column], rounds: int = 8) -> DataFrame:
+    """(key, attempt, value): a value of its own for every ``key`` (unique, not null), drawn again where it is taken.
+
+    In every round the keys that have none draw ``value(key column, attempt)``. A value goes to the first key that
+    draws it, unless an earlier round gave it away; all others draw again. Keys left after ``rounds`` rounds are an error. What a round gives
+    depends on no other order, so the outcome is the same however rows are dealt out.
+    """
+    waiting, settled = rows.select(key), None
+    for attempt in range(rounds):
+        drawn = waiting.withColumn("value", value(F.col(key), attempt))
+        # one row a value before anything is joined: a value that all draw gathers nowhere
+        first = drawn.groupBy("value").agg(F.min(key).alias(key))
+        first = first if settled is None else first.join(settled.select("value"), "value", "left_anti")
+        first = first.select(key, F.lit(attempt).alias("attempt"), "value")
+        settled = table(first if settled is None else settled.unionByName(first), "settled")
+        waiting = table(waiting.join(settled.select(key), key, "left_anti"), "waiting")
+        if not waiting.head(1):
+            return settled
+    raise Unsettled(f"{waiting.count()} keys collide still after {rounds} rounds")
 
 
 def split_digest(rows: DataFrame, split: str, key: str, line: Column) -> DataFrame:

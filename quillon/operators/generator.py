@@ -6,8 +6,12 @@ any order, and a row never depends on another. Slices share the same facts and d
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import hashlib
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from quillon.functions.draws import draw
 from quillon.functions.text import basis_points, dollars, ordinal, spell_number
@@ -84,3 +88,61 @@ INSTRUCTION = "Read the adviser's note and return the advice record it describes
 def render_prompt(note: Column, schema: str, instruction: str = INSTRUCTION) -> Column:
     """Instruction, schema, note and a cue that leaves only the object to be written."""
     return F.concat(F.lit(f"{instruction}\n\nJSON Schema:\n{schema}\n\nAdviser note:\n"), note, F.lit("\n\nJSON object:\n"))
+
+
+def _pull(key: str, n: int) -> int:
+    """``draws.draw`` of one key."""
+    return int(hashlib.md5(key.encode()).hexdigest()[:8], 16) % n
+
+
+class SliceNotes:
+    """A table function: the notes of one slice from the keys of its rows, one maker a slice.
+
+    Used with a table argument that is partitioned by slice (and a share of it), so a call only ever sees one slice.
+    """
+
+    def __init__(self) -> None:
+        self.makers = {"clean": self._clean, "distractor": self._distractor, "mixed_formats": self._mixed, "absent_fields": self._absent, "long_context": self._long, "many_items": self._many}
+
+    @staticmethod
+    def _facts(key: str) -> tuple[str, int]:
+        return f"{_FIRST[_pull(key + ':first', 10)]} {_LAST[_pull(key + ':last', 10)]}", (_pull(key + ":amount", 90) + 5) * 1000
+
+    def _clean(self, key: str) -> list[str]:
+        client, amount = self._facts(key)
+        return [f"{client} asks for {amount} dollars."]
+
+    def _distractor(self, key: str) -> list[str]:
+        return [f"{self._clean(key)[0]} Last year it was {(_pull(key + ':before', 90) + 5) * 1000}."]
+
+    def _mixed(self, key: str) -> list[str]:
+        client, amount = self._facts(key)
+        return [f"{client} asks for ${amount:,}."]
+
+    def _absent(self, key: str) -> list[str]:
+        return [f"{self._facts(key)[0]} asks for nothing."]
+
+    def _long(self, key: str) -> list[str]:
+        return [self._clean(key)[0] + f" {_FILLER}" * (_pull(key + ":long", 5) + 1)]
+
+    def _many(self, key: str) -> list[str]:
+        return [f"{self._clean(key)[0]} Item {i + 1}." for i in range(_pull(key + ":items", 4) + 2)]
+
+    def eval(self, row: Row) -> Iterator[tuple]:
+        maker = self.makers.get(row["slice"])
+        if maker is None:
+            raise ValueError(f"unknown slice {row['slice']}")
+        for at, note in enumerate(maker(row["key"])):
+            yield row["key"], row["slice"], at, note
+
+
+def slice_notes(rows: DataFrame, key: str, slice_: str, share: int = 100_000) -> DataFrame:
+    """(key, slice, at, note): the notes that ``SliceNotes`` makes of every row's key; an unknown or null slice is an error.
+
+    A slice may hold most rows: its rows are dealt out by their key over parts of about ``share`` rows of the table.
+    """
+    parts = max(1, rows.count() // share)
+    slim = rows.select(F.col(key).cast("string").alias("key"), F.col(slice_).cast("string").alias("slice"))
+    dealt = slim.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+    make = udtf(SliceNotes, returnType="key string, slice string, at int, note string")
+    return make(dealt.asTable().partitionBy("slice", "part"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.catalogue import query, read
 from quillon.functions import text as T
-from quillon.functions.draws import seed64
+from quillon.functions.draws import draw, seed64
 from quillon.operators import bpe, corpus
 from quillon.shared import shared_path
 from quillon.sources import tokens
@@ -122,16 +122,33 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT lang, CAST(CASE WHEN b < 1003 % 4 THEN 251 ELSE 250 END AS INT) AS quota
-FROM (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS b FROM (SELECT DISTINCT lang FROM documents))
+WITH l AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS b, count(*) OVER () AS k FROM (SELECT DISTINCT lang FROM documents)), n AS (SELECT count(*) AS n FROM benchmark)
+SELECT lang, CAST(n // k + CASE WHEN b < n % k THEN 1 ELSE 0 END AS BIGINT) AS quota FROM l, n
 """)
 def even_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """1,003 examples dealt evenly over the languages, the remainder to the first."""
+    """As many examples as there are items, dealt evenly over the languages that there are, none among them, the remainder to the first."""
     from pyspark.sql import Window
 
-    langs = read(spark, sf_dir, "documents").select("lang").distinct()
-    at = F.row_number().over(Window.orderBy("lang")) - 1
-    return langs.select("lang", corpus.even_allocation(1003, at, 4).cast("int").alias("quota"))
+    langs = read(spark, sf_dir, "documents").select("lang").distinct()  # a few rows
+    at = F.row_number().over(Window.orderBy(F.asc_nulls_first("lang"))) - 1
+    return langs.select("lang", corpus.even_allocation(read(spark, sf_dir, "benchmark").count(), at, max(1, langs.count())).cast("long").alias("quota"))
+
+
+def _redraw_sql(rounds: int = 8) -> str:
+    value = lambda a: f"('0x' || substr(md5('9:' || doc_id || ':{a}'), 1, 8))::BIGINT % (64 * (SELECT count(*) FROM documents))"
+    parts = [f"s0 AS MATERIALIZED (SELECT min(doc_id) AS doc_id, 0 AS attempt, v AS value FROM (SELECT doc_id, {value(0)} AS v FROM documents) GROUP BY v)"]
+    for a in range(1, rounds):
+        drawn = f"SELECT doc_id, {value(a)} AS v FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM s{a - 1})"
+        parts.append(f"s{a} AS MATERIALIZED (SELECT * FROM s{a - 1} UNION ALL SELECT min(doc_id), {a}, v FROM ({drawn}) WHERE v NOT IN (SELECT value FROM s{a - 1}) GROUP BY v)")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, attempt, value FROM s{rounds - 1}"
+
+
+@query(_redraw_sql())
+def first_appearance_redraw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number of its own for every document, of 64 times as many as there are documents; what is taken is drawn again."""
+    docs = read(spark, sf_dir, "documents")
+    pool = 64 * docs.count()
+    return corpus.settle(docs, "doc_id", lambda key, attempt: draw(F.concat(F.lit("9:"), key.cast("string"), F.lit(f":{attempt}")), pool))
 
 
 @query("""

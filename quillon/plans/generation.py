@@ -13,24 +13,53 @@ from quillon.catalogue import query, read
 from quillon.functions.completions import verify
 from quillon.operators import generator as G
 
-_SIZES = {"train": 40, "val": 8, "test": 16}
+def _sizes(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    """A corpus as large as the tables: an example for every supplier, item and nation."""
+    return {split: read(spark, sf_dir, name).count() for split, name in (("train", "supplier"), ("val", "benchmark"), ("test", "nation"))}
 
 
-@query("""
+_SIZES = "(SELECT 'train' AS split, count(*) AS n FROM supplier UNION ALL SELECT 'val', count(*) FROM benchmark UNION ALL SELECT 'test', count(*) FROM nation)"
+
+
+@query(f"""
 SELECT split, slice, CAST(n // 6 + CASE WHEN s < n % 6 THEN 1 ELSE 0 END AS BIGINT) AS n
-FROM (VALUES ('train', 40), ('val', 8), ('test', 16)) t(split, n), (VALUES (0, 'clean'), (1, 'distractor'), (2, 'mixed_formats'), (3, 'absent_fields'), (4, 'long_context'), (5, 'many_items')) u(s, slice)
+FROM {_SIZES} t, (VALUES (0, 'clean'), (1, 'distractor'), (2, 'mixed_formats'), (3, 'absent_fields'), (4, 'long_context'), (5, 'many_items')) u(s, slice)
+WHERE n // 6 + CASE WHEN s < n % 6 THEN 1 ELSE 0 END > 0
 """)
 def generated_corpus_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.generate(spark, _SIZES).groupBy("split", "slice").agg(F.count("*").alias("n"))
+    return G.generate(spark, _sizes(spark, sf_dir)).groupBy("split", "slice").agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(64 AS BIGINT) AS n, CAST(64 AS BIGINT) AS notes, CAST(64 AS BIGINT) AS valid, CAST(64 AS BIGINT) AS exact")
+@query(f"SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) AS BIGINT) AS notes, CAST(sum(n) AS BIGINT) AS valid, CAST(sum(n) AS BIGINT) AS exact FROM {_SIZES}")
 def generated_corpus_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes are unique, and every gold record passes the verifier against itself."""
-    rows = verify(G.generate(spark, _SIZES), strict=True, text_col="gold")
+    rows = verify(G.generate(spark, _sizes(spark, sf_dir)), strict=True, text_col="gold")
     return rows.agg(F.count("*").alias("n"), F.count_distinct("note").alias("notes"), F.count_if("reward.schema_valid").alias("valid"), F.count_if("reward.exact_match").alias("exact"))
 
 
+def _listed(names: list[str], key: str, n: int) -> str:
+    told = ", ".join("'" + x + "'" for x in names)
+    return f"list_extract([{told}], CAST(('0x' || substr(md5(key || ':{key}'), 1, 8))::BIGINT % {n} AS INT) + 1)"
+
+
+def _drawn(key: str, n: int) -> str:
+    return f"CAST(('0x' || substr(md5(key || ':{key}'), 1, 8))::BIGINT % {n} AS INT)"
+
+
+@query(f"""
+WITH k AS (SELECT doc_id::VARCHAR AS key, list_extract(['clean', 'distractor', 'mixed_formats', 'absent_fields', 'long_context', 'many_items'], CAST(n_chars % 6 AS INT) + 1) AS slice FROM documents),
+f AS (SELECT *, {_listed(G._FIRST, "first", 10)} || ' ' || {_listed(G._LAST, "last", 10)} AS client, ({_drawn("amount", 90)} + 5) * 1000 AS amount FROM k),
+c AS (SELECT *, client || ' asks for ' || amount || ' dollars.' AS clean FROM f)
+SELECT key, slice, CAST(i AS INT) AS at, CASE slice WHEN 'clean' THEN clean WHEN 'distractor' THEN clean || ' Last year it was ' || ({_drawn("before", 90)} + 5) * 1000 || '.' WHEN 'mixed_formats' THEN client || ' asks for $' || format('{{:,}}', amount) || '.'
+  WHEN 'absent_fields' THEN client || ' asks for nothing.' WHEN 'long_context' THEN clean || repeat(' {G._FILLER}', {_drawn("long", 5)} + 1) ELSE clean || ' Item ' || (i + 1) || '.' END AS note
+FROM c, LATERAL unnest(range(CASE WHEN slice = 'many_items' THEN {_drawn("items", 4)} + 2 ELSE 1 END)) u(i)
+""")
+def generated_slice_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes made by a table function from every document's id, each slice by its own maker."""
+    slices = F.element_at(F.lit(G.SLICES), (F.col("n_chars") % 6 + 1).cast("int"))
+    return G.slice_notes(read(spark, sf_dir, "documents").select("doc_id", slices.alias("slice")), "doc_id", "slice")
+
+
 _SCHEMA = json.dumps({"type": "object", "required": ["client_name"]}, indent=2, sort_keys=True)
 
 

@@ -20,7 +20,7 @@ from quillon.operators.corpus import PRETOKENS
 def test_normalised_text_whole(spark, tmp_path):
     texts = [(1, "de", "Straße  ﬁn " + "Wort " * 100 + "ENDE"), (2, "en", "A\tB\n" * 90 + "İß"), (3, None, "Ⅷ ΣΑΣ"), (4, "fr", ""), (5, "es", None)]
     spark.createDataFrame(texts, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = {r["doc_id"]: r["folded"] for r in catalogue.QUERIES["normalised_text_whole"](spark, str(tmp_path)).collect()}
+    found = {r["doc_id"]: r["folded"] for r in catalogue.QUERIES["normalised_text"](spark, str(tmp_path)).collect()}
     assert found == {i: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold() for i, _, t in texts}
     assert found[1].endswith("wort ende") and found[1].startswith("strasse fin wort") and found[3] == "viii σασ"
 
@@ -41,21 +41,21 @@ def test_chat_queries_take_whole_messages(spark, tmp_path):
         return {r["turn"]: r[column] for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()}
 
     ids = {t: [idx(x) for x in w or []] for t, w in texts.items()}
-    assert by_turn("prefix_length_whole", "shared") == {1: 45, 2: 1, 3: 0, 4: 0}
-    assert by_turn("trim_at_stop_whole", "kept") == ids | {1: ids[1][:45]}
-    assert by_turn("completion_length_whole", "answer_len") == {1: 61, 2: 46, 3: 1, 4: 0, 5: 0}
-    padded = by_turn("pad_and_mask_whole", "padded")
+    assert by_turn("prefix_length", "shared") == {1: 45, 2: 1, 3: 0, 4: 0}
+    assert by_turn("trim_at_stop", "kept") == ids | {1: ids[1][:45]}
+    assert by_turn("completion_length", "answer_len") == {1: 61, 2: 46, 3: 1, 4: 0, 5: 0}
+    padded = by_turn("pad_and_mask", "padded")
     width = {t: len(p) for t, p in padded.items()}
     assert width == {1: 64, 2: 56, 3: 56, 4: 56, 5: 56}  # sorted by length, batches of four: turns 4, 5, 3, 2 and 1
     assert padded == {t: x + [0] * (width[t] - len(x)) for t, x in ids.items()}
-    labels = by_turn("label_mask_whole", "labels")
+    labels = by_turn("label_mask", "labels")
     prompt = {t: len(ids[t]) * ((t + 4) % 4) // 4 for t in ids}
     assert labels == {t: [-100] * prompt[t] + x[prompt[t] :] + [-100] * (width[t] - len(x)) for t, x in ids.items()}
-    batches = catalogue.QUERIES["length_sorted_batches_whole"](spark, str(tmp_path)).collect()
+    batches = catalogue.QUERIES["length_sorted_batches"](spark, str(tmp_path)).collect()
     lengths = {t: len(x) for t, x in ids.items()}
     assert {(r["batch"], r["n"], r["longest"], r["padding"]) for r in batches} == {(0, 4, 56, 4 * 56 - sum(lengths[t] for t in (2, 3, 4, 5))), (1, 1, 61, 3)}
-    assert [(r["step"], r["batches"], r["n"]) for r in catalogue.QUERIES["accumulation_groups_whole"](spark, str(tmp_path)).collect()] == [(0, 2, 5)]
-    status = {r["status"]: (r["n"], r["tokens"]) for r in catalogue.QUERIES["truncate_or_drop_whole"](spark, str(tmp_path)).collect()}
+    assert [(r["step"], r["batches"], r["n"]) for r in catalogue.QUERIES["accumulation_groups"](spark, str(tmp_path)).collect()] == [(0, 2, 5)]
+    status = {r["status"]: (r["n"], r["tokens"]) for r in catalogue.QUERIES["truncate_or_drop"](spark, str(tmp_path)).collect()}
     assert status == {"kept": (3, 1), "truncated": (1, 16), "dropped": (1, 0)}
 
 
