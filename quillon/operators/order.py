@@ -11,6 +11,8 @@ from quillon.shared import table
 RANGE_ROWS, MOST_RANGES = 1_000_000, 100_000
 #: Rows of a bucket of values below which a quantile is read off directly; buckets a round.
 FEW, BUCKETS = 10_000, 1024
+#: Values of a group, at most, that an aggregate may hold.
+FEW_IN_ALL = 1_000_000
 #: Rows that may be broadcast; larger tables are exchanged.
 SMALL = 50_000
 
@@ -50,16 +52,24 @@ def global_position(rows: DataFrame, order: list[Column | str], name: str = "pos
 def quantiles(rows: DataFrame, value: Column | str, probabilities: list[float], group: list[str] | None = None) -> DataFrame:
     """One row a group: its columns, n (values that are neither null nor NaN) and q (array: linear quantiles), exactly.
 
-    Selection by counting: a round counts, in one pre-aggregated pass, how many values of every group fall into
-    each of BUCKETS equal cells of the intervals that still hold a wanted rank, and keeps the cells that hold one.
-    A cell of FEW values or less is read, one of a single distinct value is known. So no state grows with the number
-    of distinct values. A group without a value has n 0 and nulls; without ``group`` there is always one row.
+    Groups of up to FEW_IN_ALL values are sorted as they are aggregated, a state of bounded size. If any group is larger,
+    all go by selection: a round counts, in one pre-aggregated pass, how many values of every group fall into
+    each of BUCKETS equal cells of the intervals that still hold a wanted rank, and keeps the cells that hold one. A
+    cell of FEW values or less is read, one of a single distinct value is known. So no state grows with the number of
+    distinct values. A group without a value has n 0 and nulls; without ``group`` there is always one row.
     """
     group = group or []
     keys = [f"__g{i}" for i in range(len(group) or 1)]
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
     names = [F.col(g).alias(k) for g, k in zip(group, keys, strict=True)] if group else [F.lit(0).alias("__g0")]
-    slim = table(rows.select(*names, F.when(~F.isnan(v), v).alias("__v")), "quantile-values")
+    slim = rows.select(*names, F.when(~F.isnan(v), v).alias("__v"))
+    most = slim.groupBy(*keys).agg(F.count("__v").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= FEW_IN_ALL:
+        sums = slim.groupBy(*keys) if group else slim
+        out = sums.agg(F.count("__v").alias("n"), F.percentile("__v", F.array(*map(F.lit, probabilities))).alias("q"))
+        none = F.array(*([F.lit(None).cast("double")] * len(probabilities)))
+        return out.select(*(F.col(k).alias(g) for g, k in zip(group, keys, strict=False) if group), "n", F.coalesce("q", none).alias("q"))
+    slim = table(slim, "quantile-values")
     heads = table(slim.groupBy(*keys).agg(F.count("__v").alias("n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")), "quantile-groups")
     slim = slim.where("__v IS NOT NULL")
     # the ranks, from 0, that linear quantiles lie between

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checked import matched
+
 MIN_MARGIN, MOST_PAIRS = 0.015, 2
 
 
@@ -15,19 +17,50 @@ def rank(samples: DataFrame, seed: int) -> DataFrame:
     return samples.withColumn("rank", F.row_number().over(w.orderBy(F.desc("reward"), tie, "sample_index", "text"))).withColumn("size", F.count("*").over(w))
 
 
-def mine_pairs(samples: DataFrame, seed: int = 0, min_margin: float = MIN_MARGIN, most: int = MOST_PAIRS) -> DataFrame:
-    """Best with worst, then inwards while the margin holds; identical texts are skipped, the rest capped per prompt."""
-    if not 0 < min_margin < float("inf") or most < 1:
-        raise ValueError("min_margin must be finite and positive, most at least 1")
+def candidate_pairs(samples: DataFrame, seed: int = 0, min_margin: float = MIN_MARGIN) -> DataFrame:
+    """Best with worst, then inwards: every pair of a prompt with its margin and status (eligible, low_margin, identical)."""
+    if not 0 < min_margin < float("inf"):
+        raise ValueError("min_margin must be finite and positive")
     ranked = rank(samples, seed)
-    best = ranked.where(F.col("rank") < F.col("size") + 1 - F.col("rank")).select("example_id", "rank", F.col("text").alias("chosen"), F.col("reward").alias("chosen_reward"))
-    worst = ranked.select("example_id", (F.col("size") + 1 - F.col("rank")).cast("int").alias("rank"), F.col("text").alias("rejected"), F.col("reward").alias("rejected_reward"))
+    best = ranked.where(F.col("rank") < F.col("size") + 1 - F.col("rank")).select("example_id", "rank", F.col("sample_index").alias("chosen_index"), F.col("text").alias("chosen"), F.col("reward").alias("chosen_reward"))
+    worst = ranked.select("example_id", (F.col("size") + 1 - F.col("rank")).cast("int").alias("rank"), F.col("sample_index").alias("rejected_index"), F.col("text").alias("rejected"), F.col("reward").alias("rejected_reward"))
     pairs = best.join(worst, ["example_id", "rank"]).withColumn("margin", F.col("chosen_reward") - F.col("rejected_reward"))
-    good = pairs.where((F.col("margin") >= min_margin) & (F.col("chosen") != F.col("rejected")))
+    return pairs.withColumn("status", F.when(~F.coalesce(F.col("margin") >= min_margin, F.lit(False)), "low_margin").when(F.col("chosen") != F.col("rejected"), "eligible").otherwise("identical"))
+
+
+def mine_pairs(samples: DataFrame, seed: int = 0, min_margin: float = MIN_MARGIN, most: int = MOST_PAIRS) -> DataFrame:
+    """Best with worst, then inwards while the margin holds; identical texts are skipped, the rest capped per prompt."""
+    if most < 1:
+        raise ValueError("most is at least 1")
+    good = candidate_pairs(samples, seed, min_margin).where("status = 'eligible'").drop("status")
     at = F.row_number().over(Window.partitionBy("example_id").orderBy("rank"))
     return good.withColumn("pair", at).where(F.col("pair") <= most)
 
 
+def mine(samples: DataFrame, examples: DataFrame, seed: int = 0, min_margin: float = MIN_MARGIN, most: int = MOST_PAIRS) -> DataFrame:
+    """``mine_pairs`` with the columns of each pair's example; a sample of an unknown example, or an example given twice, is an error."""
+    known = [c for c in examples.columns if c != "example_id"]
+    joined = matched(samples.select("example_id", "sample_index", "text", "reward"), examples, "example_id")
+    pairs = mine_pairs(joined, seed, min_margin, most)
+    return matched(pairs, examples.select("example_id", *known), "example_id")
+
+
+def mining_losses(samples: DataFrame, seed: int = 0, min_margin: float = MIN_MARGIN, most: int = MOST_PAIRS) -> DataFrame:
+    """One row: candidates, low_margin, identical, capped (eligible, but beyond ``most`` of their prompt) and kept pairs; they add up."""
+    pairs = candidate_pairs(samples, seed, min_margin)
+    per = pairs.groupBy("example_id").agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("eligible", "low_margin", "identical")))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    kept = F.least(F.col("eligible"), F.lit(most))
+    return per.agg(total(F.col("eligible") + F.col("low_margin") + F.col("identical"), "candidates"), total(F.col("low_margin"), "low_margin"), total(F.col("identical"), "identical"), total(F.col("eligible") - kept, "capped"), total(kept, "kept"))
+
+
+def rejected_violations(pairs: DataFrame, samples: DataFrame, violation: str) -> DataFrame:
+    """(violation, n): the mined pairs by the ``violation`` of their rejected sample; none for a rejected sample without one."""
+    own = samples.select("example_id", F.col("sample_index").alias("rejected_index"), F.col(violation).alias("__violation"))
+    found = pairs.select("example_id", "rejected_index").join(own, ["example_id", "rejected_index"])
+    return found.groupBy(F.coalesce("__violation", F.lit("none")).alias("violation")).agg(F.count("*").alias("n"))
+
+
 def outcomes(samples: DataFrame, pairs: DataFrame) -> DataFrame:
     """(example_id, outcome): paired, single_sample, saturated, flat or no_pair."""
     per = samples.groupBy("example_id").agg(F.count("*").alias("n"), F.min("reward").alias("low"), F.max("reward").alias("high"))

@@ -7,21 +7,26 @@ from pyspark.sql import functions as F
 
 from quillon.catalogue import query, read
 from quillon.functions import stats
-from quillon.functions.logits import argmax, softmax
+from quillon.functions.logits import argmax, let, softmax
+from quillon.operators import compare
 from quillon.operators import evaluation as E
 from quillon.operators import paired as P
 
 CLASSES = list(range(10))
+#: Resamples of every bootstrap.
+RESAMPLES = 2000
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id, label, probs, pred, conf: softmax of ten times the first ten components."""
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", "label", softmax(F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 10)).alias("probs"))
+    """vec_id, label, probs, pred, conf: softmax over ten classes, to each of which every tenth component adds ten times its value."""
+    whole = F.transform("embedding", lambda x: x.cast("double") * 10)
+    fold = lambda v: F.array(*(F.aggregate(F.filter(v, lambda _, i, c=c: i % 10 == c), F.lit(0.0), lambda a, x: a + x) for c in CLASSES))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "label", let(whole, lambda v: softmax(fold(v))).alias("probs"))
     return rows.withColumn("pred", argmax(F.col("probs"))).withColumn("conf", F.array_max("probs"))
 
 
 _PRED = """
-WITH z AS (SELECT vec_id, label, list_transform(list_slice(embedding, 1, 10), lambda x: CAST(x AS DOUBLE) * 10) AS l FROM embeddings),
+WITH z AS (SELECT vec_id, label, list_transform(range(10), lambda c: coalesce(list_reduce(list_transform(range(c, len(embedding), 10), lambda i: CAST(embedding[CAST(i + 1 AS INT)] AS DOUBLE) * 10), lambda a, x: a + x), 0)) AS l FROM embeddings),
 e AS (SELECT vec_id, label, list_transform(l, lambda x: exp(x - list_max(l))) AS e FROM z),
 p AS (SELECT vec_id, label, list_transform(e, lambda x: x / list_sum(e)) AS probs FROM e),
 q AS (SELECT *, CAST(list_position(probs, list_max(probs)) - 1 AS INT) AS pred, list_max(probs) AS conf FROM p),
@@ -127,6 +132,21 @@ def mcnemar_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("slice", F.round(F.when(n == 0, 0.0).otherwise(F.pow(F.abs(F.col("lost") - F.col("gained")) - 1, 2) / n), 9).alias("chi2"))
 
 
+#: Exact p-value of (lost, gained), and the rule: exact below 25 discordant pairs, else chi-square with correction, its tail by a series of positive terms.
+_EXACT = "(CASE WHEN lost + gained = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(least(lost, gained) + 1), lambda i: exp(lgamma(lost + gained + 1.0) - lgamma(i + 1.0) - lgamma(lost + gained - i + 1.0) + (lost + gained) * ln(0.5))))) END)"
+_X = "greatest(sqrt(pow(abs(lost - gained) - 1, 2) / greatest(lost + gained, 1) / 2), 1e-300)"
+_TAIL = f"(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(200), lambda k: exp((2 * k + 1) * ln({_X}) - {_X} * {_X} + 2 * k * ln(2) + lgamma(k + 1.0) - lgamma(2 * k + 2.0)))))"
+_FEW = "(CASE WHEN lost + gained = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(least(lost, gained) + 1), lambda i: round(gamma(lost + gained + 1.0) / gamma(i + 1.0) / gamma(lost + gained - i + 1.0)))) * pow(0.5, lost + gained)) END)"
+_RULE = f"(CASE WHEN lost + gained < 25 THEN {_FEW} ELSE {_TAIL} END)"
+
+
+@query(_PAIRS + f"SELECT slice, lost, gained, round({_RULE}, 9) AS p_value FROM (SELECT slice, {_DISCORDANT} FROM p GROUP BY slice)")
+def mcnemar_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paired test per slice: exact below 25 discordant pairs, else chi-square with continuity correction."""
+    counts = P.discordant(_bools(_pairs(spark, sf_dir)), ["slice"])
+    return counts.select("slice", "lost", "gained", F.round(stats.mcnemar_rule(F.col("lost"), F.col("gained")), 9).alias("p_value"))
+
+
 _Z = "1.959963984540054"
 
 
@@ -143,7 +163,7 @@ def wilson_by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BOOT = """
 , d AS (SELECT difference AS v, row_number() OVER (ORDER BY doc_id) - 1 AS idx, count(*) OVER () AS n FROM p),
-b AS (SELECT r, ('0x' || substr(md5('0:' || r || ':' || i), 1, 8))::BIGINT % (SELECT count(*) FROM p) AS idx FROM range(200) t(r), range((SELECT count(*) FROM p)) u(i)),
+b AS (SELECT r, ('0x' || substr(md5('0:' || r || ':' || i), 1, 8))::BIGINT % (SELECT count(*) FROM p) AS idx FROM range(2000) t(r), range((SELECT count(*) FROM p)) u(i)),
 m AS (SELECT r, avg(d.v) AS m FROM b JOIN d USING (idx) GROUP BY r),
 ci AS (SELECT (SELECT avg(v) FROM d) AS point, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m)
 """
@@ -151,13 +171,13 @@ ci AS (SELECT (SELECT avg(v) FROM d) AS point, quantile_cont(m, 0.025) AS low, q
 
 @query(_PAIRS + _BOOT + "SELECT round(point, 9) AS point, round(low, 9) AS low, round(high, 9) AS high FROM ci")
 def bootstrap_ci_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentile bootstrap of the paired difference, 200 resamples with drawn indices."""
+    """Percentile bootstrap of the paired difference, 2,000 resamples with drawn indices."""
     return _interval(_pairs(spark, sf_dir)).select(*(F.round(c, 9).alias(c) for c in ("point", "low", "high")))
 
 
 def _interval(pairs: DataFrame) -> DataFrame:
     indexed = P.dense_index(pairs.select("doc_id", "difference"), "doc_id")
-    return P.bootstrap_interval(indexed, "difference", "idx", 200, 0.95, 0)
+    return P.bootstrap_interval(indexed, "difference", "idx", RESAMPLES, 0.95, 0)
 
 
 _SLICES = "SELECT slice, count(*) AS n, avg(baseline) AS baseline_rate, avg(candidate) AS candidate_rate FROM p GROUP BY slice"
@@ -197,20 +217,39 @@ def field_recall_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("stem", "support", F.round("baseline_recall", 9).alias("baseline_recall"), F.round("candidate_recall", 9).alias("candidate_recall"), "regressed")
 
 
-@query(_PAIRS + _BOOT + f""", s AS ({_SLICES}), g AS (SELECT (SELECT count(*) FROM p) AS n, (SELECT avg(candidate) FROM p) AS json_rate, (SELECT count(*) FROM s WHERE candidate_rate - baseline_rate < -0.05) AS down, (SELECT low FROM ci) AS low, (SELECT point FROM ci) AS point),
-r AS (SELECT n, json_rate < 0.8 AS a, down > 0 AS b, NOT (low > -0.02) AS c, low FROM g)
-SELECT n, CASE WHEN a OR b OR c THEN 'REJECT' WHEN low > 0 AND (SELECT CASE WHEN lost + gained = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(least(lost, gained) + 1), lambda i: exp(lgamma(lost + gained + 1.0) - lgamma(i + 1.0) - lgamma(lost + gained - i + 1.0) + (lost + gained) * ln(0.5))))) END FROM (SELECT {_DISCORDANT} FROM p)) <= 0.05 THEN 'PROMOTE' ELSE 'HOLD' END AS decision,
-       list_filter([CASE WHEN a THEN 'json validity below floor' END, CASE WHEN b THEN 'slice regression' END, CASE WHEN c THEN 'not non-inferior' END], lambda x: x IS NOT NULL) AS reasons
+_WEIGHT = " + ".join(f"(u >= {c})::INT" for c in P._POISSON)
+
+
+def _weighted_ci(rows: str, key: str, value: str, seed: int) -> str:
+    """Common tables of a bootstrap by weights over ``rows``: ci (point, low, high)."""
+    return f"""
+bu AS (SELECT {value} AS v, r, ('0x' || substr(md5('{seed}:' || r || ':' || {key}), 1, 8))::BIGINT AS u FROM {rows}, range({RESAMPLES}) t(r)),
+bm AS (SELECT r, sum(w * v) / sum(w) AS m FROM (SELECT r, v, {_WEIGHT} AS w FROM bu) WHERE w > 0 GROUP BY r),
+ci AS (SELECT (SELECT avg({value}) FROM {rows}) AS point, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM bm)"""
+
+
+def _mean_interval(rows: DataFrame, key: str, value: str, seed: int) -> DataFrame:
+    """(point, low, high) of the mean of ``value``; rows stay where they are."""
+    return P.bootstrap_metric(rows, key, lambda w: F.sum(w * F.col(value)) / F.sum(w), RESAMPLES, 0.95, seed)
+
+
+@query(_FIELDS.rstrip() + ",\n" + _PAIRS.removeprefix("WITH ").rstrip() + "," + _weighted_ci("p", "doc_id", "difference", 0) + f""", s AS ({_SLICES}),
+d AS (SELECT count(*) FILTER (least(c.expected, c2.expected) >= 5 AND CASE WHEN c.expected = 0 THEN 1 ELSE c.correct / c.expected END - CASE WHEN c2.expected = 0 THEN 1 ELSE c2.correct / c2.expected END > 0.1) AS fields FROM c JOIN c2 USING (stem)),
+g AS (SELECT (SELECT count(*) FROM p) AS n, (SELECT avg(candidate) FROM p) AS json_rate, (SELECT avg(baseline * candidate) FROM p) AS schema_rate, (SELECT count(*) FROM s WHERE candidate_rate - baseline_rate < -0.05) AS down, (SELECT fields FROM d) AS fields, (SELECT low FROM ci) AS low),
+r AS (SELECT n, json_rate < 0.8 AS a, schema_rate < 0.75 AS b, down > 0 AS c, fields > 0 AS d, NOT (low > -0.02) AS e, low FROM g)
+SELECT n, CASE WHEN a OR b OR c OR d OR e THEN 'REJECT' WHEN low > 0 AND (SELECT {_EXACT} FROM (SELECT {_DISCORDANT} FROM p)) <= 0.05 THEN 'PROMOTE' ELSE 'HOLD' END AS decision,
+       list_filter([CASE WHEN a THEN 'json validity below floor' END, CASE WHEN b THEN 'schema validity below floor' END, CASE WHEN c THEN 'slice regression' END, CASE WHEN d THEN 'field recall regression' END, CASE WHEN e THEN 'not non-inferior' END], lambda x: x IS NOT NULL) AS reasons
 FROM r
 """)
 def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The promotion gate over the paired labels."""
+    """The promotion gate over the paired labels: rates, slices, fields and the interval all come from the tables."""
     pairs = _pairs(spark, sf_dir)
     down = P.slice_deltas(pairs, "slice", 0.05).agg(F.count_if("regressed").alias("slices_down"))
+    fields = field_recall_delta(spark, sf_dir).agg(F.count_if("regressed").alias("fields_down"))
     counts = P.discordant(_bools(pairs))
-    rates = pairs.agg(F.avg("candidate").alias("json_rate"), F.lit(1.0).alias("schema_rate"), F.lit(0).alias("fields_down"))
-    summary = counts.join(rates).join(down).join(_interval(pairs).select("low"))
-    return P.decide(summary, stats.Floors(json=0.8)).select("n", "decision", "reasons")
+    rates = pairs.agg(F.avg("candidate").alias("json_rate"), F.avg(F.col("baseline") * F.col("candidate")).alias("schema_rate"))
+    summary = counts.join(rates).join(down).join(fields).join(_mean_interval(pairs, "doc_id", "difference", 0).select("low"))  # one row each
+    return P.decide(summary, stats.Floors(json=0.8, schema=0.75)).select("n", "decision", "reasons")
 
 
 @query("""
@@ -265,7 +304,44 @@ def probe_pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _probes(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg(F.col("passed").cast("int")), 9).alias("pass_rate"))
 
 
-@query(_PROBES + "SELECT round(avg(passed::INT), 9) AS before_rate, round(avg(after::INT), 9) AS after_rate, round(greatest(0, avg(passed::INT) - avg(after::INT)), 9) AS tax, count(*) FILTER (passed AND NOT after) AS lost, count(*) FILTER (after AND NOT passed) AS gained FROM o")
+_REPLIES = _PROBES.rstrip() + """,
+f AS (SELECT conv_id, min(turn) AS first, max(turn) AS last FROM o GROUP BY conv_id),
+t AS (SELECT conv_id, a.passed::INT AS before, b.passed::INT AS later, b.passed::INT - a.passed::INT AS difference FROM f JOIN (SELECT conv_id, turn AS first, passed FROM q) a USING (conv_id, first) JOIN (SELECT conv_id, turn AS last, passed FROM q) b USING (conv_id, last)),
+c AS (SELECT count(*) AS n, avg(before) AS before_rate, avg(later) AS after_rate, count(*) FILTER (before = 1 AND later = 0) AS lost, count(*) FILTER (before = 0 AND later = 1) AS gained FROM t),""".replace("FROM q)", "FROM k)")
+_REPLIES = _REPLIES.replace("""f AS (SELECT conv_id, min(turn)""", """k AS (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN words = 1 WHEN 1 THEN words BETWEEN 1 AND 30 ELSE lines = 1 END AS passed FROM r),
+f AS (SELECT conv_id, min(turn)""")
+
+
+@query(_REPLIES + _weighted_ci("t", "conv_id", "difference", 11) + f"""
+SELECT n, round(before_rate, 9) AS before_rate, round(after_rate, 9) AS after_rate, round(greatest(0, before_rate - after_rate), 9) AS tax, round(low, 9) AS low, round(high, 9) AS high, lost, gained, round({_RULE}, 9) AS p_value,
+       low > -0.05 AS non_inferior, low > 0 AS superior, high <= -0.05 AS inferior
+FROM c, ci
+""")
 def alignment_tax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = F.avg(F.col("passed").cast("int")), F.avg(F.col("after").cast("int"))
-    return _probes(spark, sf_dir).agg(F.round(a, 9).alias("before_rate"), F.round(b, 9).alias("after_rate"), F.round(F.greatest(F.lit(0.0), a - b), 9).alias("tax"), F.count_if(F.col("passed") & ~F.col("after")).alias("lost"), F.count_if(F.col("after") & ~F.col("passed")).alias("gained"))
+    """What the last reply of a conversation loses against the first on the same probe: interval, paired test and verdicts within a margin of 0.05."""
+    rows = _probes(spark, sf_dir)
+    w, n, kind = F.col("words"), F.col("lines"), F.pmod("conv_id", F.lit(3))
+    rows = rows.select("conv_id", "turn", F.when(kind == 0, w == 1).when(kind == 1, w.between(1, 30)).otherwise(n == 1).alias("passed"))
+    pairs = rows.groupBy("conv_id").agg(F.min_by("passed", "turn").alias("baseline"), F.max_by("passed", "turn").alias("candidate"))
+    pairs = pairs.withColumn("difference", F.col("candidate").cast("int") - F.col("baseline").cast("int"))
+    rate = lambda c: F.avg(F.col(c).cast("int"))
+    sums = pairs.agg(rate("baseline").alias("before_rate"), rate("candidate").alias("after_rate"))
+    both = P.discordant(pairs).join(sums).join(_mean_interval(pairs, "conv_id", "difference", 11).select("low", "high"))  # one row each
+    fine, better, worse = P.verdict(F.col("low"), F.col("high"), 0.05)
+    p = stats.mcnemar_rule(F.col("lost"), F.col("gained"))
+    rounded = {"before_rate": F.col("before_rate"), "after_rate": F.col("after_rate"), "tax": F.greatest(F.lit(0.0), F.col("before_rate") - F.col("after_rate")), "low": F.col("low"), "high": F.col("high")}
+    return both.select("n", *(F.round(c, 9).alias(k) for k, c in rounded.items()), "lost", "gained", F.round(p, 9).alias("p_value"), fine.alias("non_inferior"), better.alias("superior"), worse.alias("inferior"))
+
+
+@query("""
+WITH a AS (SELECT o_orderkey, o_totalprice AS v, o_orderstatus AS s FROM orders), b AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS v FROM lineitem GROUP BY 1)
+SELECT coalesce(o_orderkey, l_orderkey) AS orderkey, a.v AS "left", round(b.v, 6) AS "right",
+  CASE WHEN a.v IS NULL OR b.v IS NULL THEN 'unavailable' WHEN abs(a.v - b.v) <= 1 + 0.5 * greatest(abs(a.v), abs(b.v)) THEN 'agree' WHEN coalesce(o_orderkey, l_orderkey) % 4 = 0 THEN 'explained' ELSE 'disagree' END AS status
+FROM a FULL JOIN b ON o_orderkey = l_orderkey
+""")
+def tolerance_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two ways to an order's price compared key by key; orders of every fourth number are known to differ."""
+    told = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orderkey"), F.col("o_totalprice").alias("price"))
+    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("orderkey")).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("price"))
+    diff = compare.tolerance_diff(told, lines, ["orderkey"], "price", 0.5, 1.0, F.col("orderkey") % 4 == 0)
+    return diff.select("orderkey", "left", F.round("right", 6).alias("right"), "status")

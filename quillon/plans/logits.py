@@ -63,36 +63,39 @@ def sampled_token(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH h AS (SELECT vec_id, (CAST(embedding[1] AS DOUBLE) - embedding[2]) * 20 - (CAST(embedding[3] AS DOUBLE) - embedding[4]) * 20 AS h FROM embeddings),
+WITH e AS (SELECT vec_id, list_transform(range(4), lambda k: coalesce(list_reduce(list_transform(range(k, len(embedding), 4), lambda i: CAST(embedding[CAST(i + 1 AS INT)] AS DOUBLE)), lambda a, x: a + x), 0)) AS e FROM embeddings),
+h AS (SELECT vec_id, (e[1] - e[2]) * 20 - (e[3] - e[4]) * 20 AS h FROM e),
 s AS (SELECT vec_id, h, least(0.1 * h, 0) - ln(1 + exp(-abs(0.1 * h))) AS up, least(-0.1 * h, 0) - ln(1 + exp(-abs(0.1 * h))) AS down FROM h)
 SELECT vec_id, round(-up, 7) AS sigmoid, round(pow(h - 5, 2), 5) AS ipo, round(-0.9 * up - 0.1 * down, 7) AS cdpo, round(0.1 * h, 7) AS margin, h > 0 AS hit FROM s
 """)
 def dpo_loss_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Losses of pairs whose log-probabilities are components of the embeddings; ties are misses."""
-    e = [F.element_at("embedding", i).cast("double") for i in range(1, 5)]
+    """Losses of pairs whose four log-probabilities are sums of every fourth component of the embeddings; ties are misses."""
+    whole = F.transform("embedding", lambda x: x.cast("double"))
+    e = [F.aggregate(F.filter(whole, lambda _, i, k=k: i % 4 == k), F.lit(0.0), lambda a, x: a + x) for k in range(4)]
     h = (e[0] - e[1]) * 20 - (e[2] - e[3]) * 20
     loss = lambda v, s=0.0, d=7: F.round(L.preference_loss(h, 0.1, v, s), d)
     return read(spark, sf_dir, "embeddings").select("vec_id", loss("sigmoid").alias("sigmoid"), loss("ipo", 0.0, 5).alias("ipo"), loss("cdpo", 0.1).alias("cdpo"), F.round(h * 0.1, 7).alias("margin"), (h > 0).alias("hit"))
 
 
 @query("""
-WITH t AS (SELECT vec_id, unnest(range(16)) AS i, unnest(list_slice(embedding, 1, 16)) AS x FROM embeddings)
+WITH t AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding) AS x FROM embeddings)
 SELECT vec_id, round(coalesce(sum(CAST(x AS DOUBLE)) FILTER (i >= 4), 0), 7) AS total, round(coalesce(avg(CAST(x AS DOUBLE)) FILTER (i >= 4), 0), 7) AS mean FROM t GROUP BY vec_id
 """)
 def sequence_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixteen token log-probabilities a row, the first four masked."""
-    p = F.transform(F.slice("embedding", 1, 16), lambda x: x.cast("double"))
-    labels = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.when(i < 4, -100).otherwise(i))
+    """The components of a vector as token log-probabilities, the first four masked."""
+    p = F.transform("embedding", lambda x: x.cast("double"))
+    labels = F.transform("embedding", lambda _, i: F.when(i < 4, -100).otherwise(i))
     return read(spark, sf_dir, "embeddings").select("vec_id", F.round(L.sequence_logprob(p, labels), 7).alias("total"), F.round(L.sequence_logprob(p, labels, average=True), 7).alias("mean"))
 
 
 @query("""
-SELECT s AS step, round(CASE WHEN s < 10 THEN s / 10 ELSE 0.5 * (1 + cos(pi() * least((s - 10) / 90, 1))) END, 9) AS warm_cosine,
+SELECT o_orderkey, s AS step, round(CASE WHEN s < 10 THEN s / 10 ELSE 0.5 * (1 + cos(pi() * least((s - 10) / 90, 1))) END, 9) AS warm_cosine,
        round(CASE WHEN s < 10 THEN 0.001 * (s + 1) / 10 ELSE 0.0001 + 0.5 * 0.0009 * (1 + cos(pi() * least((s - 10) / 90, 1))) END, 9) AS floor_cosine,
        round(CASE WHEN s < 10 THEN s / 10 ELSE greatest(0, (100 - s) / 90) END, 9) AS linear
-FROM range(101) t(s)
+FROM (SELECT o_orderkey, o_orderkey % 130 AS s FROM orders)
 """)
 def lr_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three schedules that differ at their first step."""
+    """Three schedules at the steps of a log (orders as its lines); they differ at their first step, and some steps lie past their end."""
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 130).alias("step"))
     s = F.col("step")
-    return spark.range(101).select(F.col("id").alias("step")).select("step", F.round(L.cosine_with_warmup(s, 100, 10), 9).alias("warm_cosine"), F.round(L.cosine_to_floor(s, 0.001, 10, 100, 0.0001), 9).alias("floor_cosine"), F.round(L.linear_decay(s, 100, 10), 9).alias("linear"))
+    return rows.select("o_orderkey", "step", F.round(L.cosine_with_warmup(s, 100, 10), 9).alias("warm_cosine"), F.round(L.cosine_to_floor(s, 0.001, 10, 100, 0.0001), 9).alias("floor_cosine"), F.round(L.linear_decay(s, 100, 10), 9).alias("linear"))

@@ -56,3 +56,27 @@ def gold_fallback_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = _samples(spark, sf_dir)
     golds = samples.select("example_id").distinct().withColumn("gold", F.md5(F.concat(F.lit("gold:"), F.col("example_id"))))
     return P.fallback_pairs(golds, samples, 0.1, 2).withColumn("rejected_reward", F.round("rejected_reward", 9))
+
+
+@query(_RANKED + "SELECT count(*) AS candidates, count(*) FILTER (margin < 0.015) AS low_margin, count(*) FILTER (margin >= 0.015 AND chosen = rejected) AS identical, (SELECT count(*) FROM m WHERE pair > 2) AS capped, (SELECT count(*) FROM k) AS kept FROM p")
+def mining_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.mining_losses(_samples(spark, sf_dir), 3)
+
+
+@query(_RANKED + """
+SELECT coalesce(list_extract([NULL, 'missing_field', 'bad_enum', 'unparseable'], CAST(b.sample_index % 4 AS INT) + 1), 'none') AS violation, count(*) AS n
+FROM k JOIN r b ON b.example_id = k.example_id AND b.rank = b.size + 1 - k.rank GROUP BY 1
+""")
+def rejected_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rejected completions of the mined pairs break first (here by their number)."""
+    at = F.col("sample_index") % 4
+    samples = _samples(spark, sf_dir).withColumn("violation", F.when(at == 1, "missing_field").when(at == 2, "bad_enum").when(at == 3, "unparseable"))
+    return P.rejected_violations(P.mine_pairs(samples.drop("violation"), 3), samples, "violation")
+
+
+@query(_RANKED + "SELECT k.example_id, CAST(pair AS INT) AS pair, chosen, rejected, 'Continue as ' || k.example_id AS prompt FROM k")
+def mined_with_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mined pairs with the prompts of their examples; a completion of an unknown example would be an error."""
+    samples = _samples(spark, sf_dir)
+    examples = samples.select("example_id").distinct().withColumn("prompt", F.concat(F.lit("Continue as "), "example_id"))
+    return P.mine(samples, examples, 3).select("example_id", "pair", "chosen", "rejected", "prompt")

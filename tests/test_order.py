@@ -21,8 +21,9 @@ def test_global_position(spark, range_rows):
     assert order.global_position(rows.where("false"), ["a"]).count() == 0
 
 
-@pytest.mark.parametrize("few", [20, 10_000])
-def test_quantiles(spark, monkeypatch, few):
+@pytest.mark.parametrize(("all_", "few"), [(10, 20), (10, 10_000), (1_000_000, 0)])
+def test_quantiles(spark, monkeypatch, all_, few):
+    monkeypatch.setattr(order, "FEW_IN_ALL", all_)
     monkeypatch.setattr(order, "FEW", few)
     monkeypatch.setattr(order, "BUCKETS", 8)
     rng = random.Random(2)
