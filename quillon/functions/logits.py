@@ -17,6 +17,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def folded(values: Column, n: int) -> Column:
+    """``n`` sums: of every n-th element from the first on, from the second on, and so on."""
+
+    def at(k: int) -> Callable[[Column, Column], Column]:
+        return lambda _, i: i % n == k
+
+    return F.array(*(F.aggregate(F.filter(values, at(k)), F.lit(0.0), lambda a, x: a + x) for k in range(n)))
+
+
 def softmax(logits: Column) -> Column:
     """Probabilities, stable against large logits."""
     total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, b: a + b)

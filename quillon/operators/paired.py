@@ -76,7 +76,9 @@ def bootstrap_metric(rows: DataFrame, key: str, metric: Callable[[Column], Colum
     aggregate each resample and send one row of it. Resamples without rows or with an undefined metric drop out.
     """
     point = rows.agg(metric(F.lit(1)).alias("point"))
-    drawn = rows.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    # a small table comes in one piece, but is drawn from many times: it is spread over the cores, some ten million draws a task
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() * resamples // 10_000_000)
+    drawn = rows.repartition(parts).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     drawn = drawn.withColumn("__w", poisson_weight(F.concat_ws(":", F.lit(str(seed)), F.col("__b").cast("string"), F.col(key).cast("string")))).where("__w > 0")
     tail = (1 - confidence) / 2
     ends = drawn.groupBy("__b").agg(metric(F.col("__w")).alias("m")).agg(F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from quillon.catalogue import query, read
 from quillon.functions import stats
-from quillon.functions.logits import argmax, let, softmax
+from quillon.functions.logits import argmax, folded, let, softmax
 from quillon.operators import compare
 from quillon.operators import evaluation as E
 from quillon.operators import paired as P
+from quillon.shared import table
 
 CLASSES = list(range(10))
 #: Resamples of every bootstrap.
@@ -20,8 +21,7 @@ RESAMPLES = 2000
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, label, probs, pred, conf: softmax over ten classes, to each of which every tenth component adds ten times its value."""
     whole = F.transform("embedding", lambda x: x.cast("double") * 10)
-    fold = lambda v: F.array(*(F.aggregate(F.filter(v, lambda _, i, c=c: i % 10 == c), F.lit(0.0), lambda a, x: a + x) for c in CLASSES))
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", "label", let(whole, lambda v: softmax(fold(v))).alias("probs"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "label", let(whole, lambda v: let(folded(v, len(CLASSES)), softmax)).alias("probs"))
     return rows.withColumn("pred", argmax(F.col("probs"))).withColumn("conf", F.array_max("probs"))
 
 
@@ -243,7 +243,7 @@ FROM r
 """)
 def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The promotion gate over the paired labels: rates, slices, fields and the interval all come from the tables."""
-    pairs = _pairs(spark, sf_dir)
+    pairs = table(_pairs(spark, sf_dir), "gate-pairs")  # read by each of the figures
     down = P.slice_deltas(pairs, "slice", 0.05).agg(F.count_if("regressed").alias("slices_down"))
     fields = field_recall_delta(spark, sf_dir).agg(F.count_if("regressed").alias("fields_down"))
     counts = P.discordant(_bools(pairs))

@@ -70,11 +70,11 @@ SELECT vec_id, round(-up, 7) AS sigmoid, round(pow(h - 5, 2), 5) AS ipo, round(-
 """)
 def dpo_loss_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Losses of pairs whose four log-probabilities are sums of every fourth component of the embeddings; ties are misses."""
-    whole = F.transform("embedding", lambda x: x.cast("double"))
-    e = [F.aggregate(F.filter(whole, lambda _, i, k=k: i % 4 == k), F.lit(0.0), lambda a, x: a + x) for k in range(4)]
-    h = (e[0] - e[1]) * 20 - (e[2] - e[3]) * 20
+    e = L.folded(F.transform("embedding", lambda x: x.cast("double")), 4)
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", L.let(e, lambda e: (e[0] - e[1]) * 20 - (e[2] - e[3]) * 20).alias("h"))
+    h = F.col("h")
     loss = lambda v, s=0.0, d=7: F.round(L.preference_loss(h, 0.1, v, s), d)
-    return read(spark, sf_dir, "embeddings").select("vec_id", loss("sigmoid").alias("sigmoid"), loss("ipo", 0.0, 5).alias("ipo"), loss("cdpo", 0.1).alias("cdpo"), F.round(h * 0.1, 7).alias("margin"), (h > 0).alias("hit"))
+    return rows.select("vec_id", loss("sigmoid").alias("sigmoid"), loss("ipo", 0.0, 5).alias("ipo"), loss("cdpo", 0.1).alias("cdpo"), F.round(h * 0.1, 7).alias("margin"), (h > 0).alias("hit"))
 
 
 @query("""
