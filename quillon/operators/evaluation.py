@@ -62,3 +62,25 @@ def coverage(fields: DataFrame, stem: str = "stem") -> DataFrame:
     sums = fields.groupBy(stem).agg(F.count_if("expected").alias("expected"), F.count_if("emitted").alias("emitted"), F.count_if("correct").alias("correct"))
     share = lambda n: F.when(F.col(n) == 0, 1.0).otherwise(F.col("correct") / F.col(n))
     return sums.withColumn("recall", share("expected")).withColumn("precision", share("emitted"))
+
+
+#: What a list field of a reply can come to against gold.
+MEMBER_CLASSES = ["unparseable", "key_absent", "both_empty", "invented", "dropped_every_member", "exact", "partial_or_wrong"]
+
+
+def member_class(parsed: Column, reply: Column, gold: Column, field: str) -> Column:
+    """One of MEMBER_CLASSES for the list ``field`` of two JSON texts; order and repeats make no difference, and a key that gold lacks is an empty list there."""
+    held = lambda c: F.from_json(F.get_json_object(c, f"$.{field}"), "array<string>")
+    none = F.array().cast("array<string>")
+    mine, own = F.array_distinct(F.coalesce(held(reply), none)), F.array_distinct(F.coalesce(held(gold), none))
+    shared = F.size(F.array_intersect(mine, own))
+    absent = F.get_json_object(reply, f"$.{field}").isNull()
+    return (
+        F.when(~F.coalesce(parsed, F.lit(False)), "unparseable")
+        .when(absent, "key_absent")
+        .when((F.size(mine) == 0) & (F.size(own) == 0), "both_empty")
+        .when(F.size(own) == 0, "invented")
+        .when(F.size(mine) == 0, "dropped_every_member")
+        .when((shared == F.size(own)) & (shared == F.size(mine)), "exact")
+        .otherwise("partial_or_wrong")
+    )

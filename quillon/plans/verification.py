@@ -114,8 +114,39 @@ def parse_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def member_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the set field ``flags`` of strictly parsed completions compares with gold, by class."""
     rows = verify(completions(spark, sf_dir), strict=True)
-    members = lambda c: F.coalesce(F.from_json(F.get_json_object(c, "$.flags"), "array<string>"), F.array().cast("array<string>"))
-    mine, gold = members(F.col("reward.value_json")), members(F.col("gold"))
-    shared = F.size(F.array_intersect(mine, gold))
-    kind = F.when(~F.col("reward.parsed"), "unparseable").when((F.size(mine) == 0) & (F.size(gold) == 0), "both_empty").when(F.size(gold) == 0, "invented").when(F.size(mine) == 0, "dropped_every_member").when((shared == F.size(gold)) & (shared == F.size(mine)), "exact").otherwise("partial_or_wrong")
+    kind = E.member_class(F.col("reward.parsed"), F.col("reward.value_json"), F.col("gold"), "flags")
     return rows.groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT list_extract(['exact', 'key_absent', 'dropped_every_member', 'partial_or_wrong', 'exact', 'invented', 'unparseable', 'both_empty'], CAST(c_custkey % 8 AS INT) + 1) AS class, count(*) AS n FROM customer GROUP BY 1
+""")
+def member_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every class of a list field: exact (also in another order), absent, emptied, partly right, invented, both empty, in an unreadable reply."""
+    k = F.pmod("c_custkey", F.lit(8))
+    own = F.when(k.isin(5, 7), "[]").otherwise('["retire early", "travel"]')
+    mine = F.when(k.isin(2, 7), "[]").when(k == 3, '["travel", "sail"]').when(k == 4, '["travel", "retire early"]').otherwise('["retire early", "travel"]')
+    told = lambda goals: F.concat(F.lit('{"client_name": "'), F.col("c_name"), F.lit('"'), goals, F.lit("}"))
+    listed = lambda goals: F.concat(F.lit(', "objectives": '), goals)
+    rows = read(spark, sf_dir, "customer").select(told(listed(own)).alias("gold"), F.when(k == 6, "no record").otherwise(told(F.when(k == 1, "").otherwise(listed(mine)))).alias("text"))
+    rows = verify(spread(rows), strict=True)
+    kind = E.member_class(F.col("reward.parsed"), F.col("reward.value_json"), F.col("gold"), "objectives")
+    return rows.groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT c_custkey, CAST(9 AS BIGINT) AS expected, CAST(CASE WHEN c_custkey % 4 = 2 THEN 6 ELSE 9 END AS BIGINT) AS emitted, CAST(list_extract([9, 8, 6, 8], CAST(c_custkey % 4 AS INT) + 1) AS BIGINT) AS correct FROM customer
+""")
+def slot_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three recommendations in any order, one of them changed or left out: each meets its own in gold."""
+    key, d = F.col("c_custkey").cast("string"), F.pmod("c_custkey", F.lit(4))
+    one = lambda product, action, amount: F.concat(F.lit(f'{{"product": "{product} '), key, F.lit('", "action": "'), action, F.lit('", "amount": '), amount, F.lit("}"))
+    more = lambda i: (F.col("c_custkey") + i).cast("string")
+    gold = [one("Fund", F.lit("buy"), F.concat(more(0), F.lit(".5"))), one("Bond", F.lit("sell"), F.concat(more(1), F.lit(".5"))), one("Cash", F.lit("hold"), F.concat(more(2), F.lit(".5")))]
+    mine = [F.when(d == 1, one("Fund", F.lit("buy"), F.lit("0.25"))).otherwise(gold[0]), F.when(d == 3, one("Bond", F.lit("switch"), F.concat(more(1), F.lit(".5")))).otherwise(gold[1]), F.when(d != 2, gold[2])]
+    orders = [(0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)]
+    record = lambda parts: F.concat(F.lit('{"client_name": "'), F.col("c_name"), F.lit('", "record_date": "2026-03-31", "risk_profile": "balanced", "objectives": ["travel"], "recommendations": ['), F.concat_ws(", ", *parts), F.lit('], "fees": {"advice_fee": 3300.0, "ongoing_fee_pct": 0.88}, "review_months": 12, "flags": []}'))
+    turned = F.element_at(F.array(*(record([mine[i] for i in o]) for o in orders)), (F.pmod("c_custkey", F.lit(6)) + 1).cast("int"))
+    rows = verify(spread(read(spark, sf_dir, "customer").select("c_custkey", "c_name")).select("c_custkey", record(gold).alias("gold"), turned.alias("text")), strict=True)
+    fields = rows.select("c_custkey", F.explode("reward.fields").alias("f")).select("c_custkey", "f.*").where(F.startswith("path", F.lit("recommendations")))
+    return fields.groupBy("c_custkey").agg(F.count_if("expected").alias("expected"), F.count_if("emitted").alias("emitted"), F.count_if("correct").alias("correct"))
