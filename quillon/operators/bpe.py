@@ -5,8 +5,8 @@ Ids 0 to 255 are bytes, then the merges in order of rank, then the special token
 
 from __future__ import annotations
 
+import heapq
 import json
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -167,57 +167,112 @@ def _pairs_of(words: DataFrame, merges: list[Pair]) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
 
 
-def _best(counts: Counter[Pair], tail: _Tail) -> Pair | None:
+class _Head:
+    """The words that the driver holds, as one array of ids with -1 between words, and the counts of their pairs.
+
+    A merge finds its places in one look over the array; the counts change by the pairs at those places and beside them.
+    """
+
+    def __init__(self, words: list[str], n: np.ndarray) -> None:
+        raw = [w.encode() for w in words]
+        sizes = np.array([len(w) for w in raw], np.int64)
+        starts = np.cumsum(sizes + 1) - sizes  # a separator stands before each word, and one behind the last
+        self.ids = np.full(int(sizes.sum()) + len(raw) + 1, -1, np.int32)
+        at = np.repeat(starts - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(int(sizes.sum()))
+        self.ids[at] = np.frombuffer(b"".join(raw), np.uint8)
+        self.word = np.zeros(len(self.ids), np.int32)
+        self.word[at] = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
+        self.n = np.asarray(n, np.int64)
+        self.counts: dict[Pair, int] = {}
+        #: (-count, pair), with what counts have been since; the top is looked up in ``counts`` before it is believed.
+        self.heap: list[tuple[int, Pair]] = []
+        self._add(np.flatnonzero((self.ids[:-1] >= 0) & (self.ids[1:] >= 0)), 1)
+
+    def _add(self, places: np.ndarray, sign: int) -> None:
+        """Count the pairs that begin at ``places``, or count them off."""
+        key = self.ids[places].astype(np.int64) << 32 | self.ids[places + 1]
+        pairs, inverse = np.unique(key, return_inverse=True)
+        total = np.bincount(inverse, self.n[self.word[places]], len(pairs))
+        for k, n in zip(pairs.tolist(), total.tolist(), strict=True):
+            pair = k >> 32, k & 0xFFFFFFFF
+            now = self.counts.get(pair, 0) + sign * int(n)
+            if now:
+                self.counts[pair] = now
+                heapq.heappush(self.heap, (-now, pair))
+            else:
+                self.counts.pop(pair, None)
+
+    def best(self) -> Pair | None:
+        """The pair of the highest count, ties to the smaller ids."""
+        while self.heap and self.counts.get(self.heap[0][1]) != -self.heap[0][0]:
+            heapq.heappop(self.heap)
+        return self.heap[0][1] if self.heap else None
+
+    def merged(self, pair: Pair, new: int) -> None:
+        ids = self.ids
+        hit = np.flatnonzero((ids[:-1] == pair[0]) & (ids[1:] == pair[1]))
+        if not len(hit):
+            return
+        if pair[0] == pair[1]:  # in a run of one id every other place merges, from the left
+            start = np.flatnonzero(np.diff(hit, prepend=-2) != 1)
+            hit = hit[(np.arange(len(hit)) - np.repeat(start, np.diff(np.append(start, len(hit))))) % 2 == 0]
+        self._add(self._beside(hit, (-1, 0, 1)), -1)
+        ids[hit] = new
+        left = np.ones(len(ids), bool)
+        left[hit + 1] = False
+        self.ids, self.word = ids[left], self.word[left]
+        self._add(self._beside(hit - np.arange(len(hit)), (-1, 0)), 1)
+
+    def _beside(self, hit: np.ndarray, steps: tuple[int, ...]) -> np.ndarray:
+        """The places, each once, that begin a pair and stand so many steps from a hit."""
+        mark = np.zeros(len(self.ids), bool)
+        for step in steps:
+            mark[hit + step] = True
+        mark[:-1] &= (self.ids[:-1] >= 0) & (self.ids[1:] >= 0)
+        mark[-1] = False
+        return np.flatnonzero(mark)
+
+
+def _best(head: _Head, tail: _Tail) -> Pair | None:
     """The pair with the highest count (ties: smaller ids), or None if the tail's bounds leave it open."""
-    total = lambda p, bound: counts.get(p, 0) + bound.get(p, 0)
-    pairs = counts.keys() | tail.high.keys()
+    if tail.words is None:
+        return head.best()
+    total = lambda p, bound: head.counts.get(p, 0) + bound.get(p, 0)
+    # pairs that the tail lacks are in the order of the head
+    own = head.best()
+    pairs = tail.high.keys() | ({own} if own is not None else set())
     best = min(pairs, key=lambda p: (-total(p, tail.low), p))
     sure = (-total(best, tail.low), best)
     return best if sure[0] and all(p == best or sure < (-total(p, tail.high), p) for p in tail.high) else None
 
 
-def train(rows: DataFrame, text: str, vocab_size: int, most_words: int = 200_000, special: tuple[str, ...] = ("<|endoftext|>",), pattern: str = PRETOKENS) -> Bpe:
+def train(rows: DataFrame, text: str, vocab_size: int, most_words: int = 1_000_000, special: tuple[str, ...] = ("<|endoftext|>",), pattern: str = PRETOKENS) -> Bpe:
     """Merges by falling pair count (ties: smaller ids) until ``vocab_size`` or no pair is left.
 
-    Spark counts the words. The driver holds the ``most_words`` commonest distinct ones, which bounds its memory;
-    each merge touches only those that hold its pair. The others stay a Spark table, whose pairs are counted anew
+    Spark counts the words. The driver holds the ``most_words`` commonest distinct ones as arrays of some ten ids a word, which
+    bounds its memory. The others stay a Spark table, whose pairs are counted anew
     when the bounds on their counts no longer tell which pair is next. All words count; ``most_words`` changes no merge.
     """
     if vocab_size < 256 + len(special):
         raise ValueError("the vocabulary holds the bytes and the special tokens at least")
     counted = word_frequencies(rows, text, pattern).persist()
-    head = counted.orderBy(F.desc("n"), "word").limit(most_words).toPandas()
-    last = head.iloc[-1] if len(head) and len(head) == most_words else None
+    distinct = counted.count()
+    head = counted.orderBy(F.desc("n"), "word").limit(most_words).toPandas() if distinct > most_words else counted.toPandas()
+    last = head.iloc[-1] if distinct > most_words else None
     rest = None if last is None else counted.where((F.col("n") < int(last["n"])) | ((F.col("n") == int(last["n"])) & (F.col("word") > last["word"])))
-    tail = _Tail(rest)
-    words, n = [list(w.encode()) for w in head["word"]], head["n"].tolist()
-    counts: Counter[Pair] = Counter()
-    where: dict[Pair, set[int]] = defaultdict(set)
-    for i, ids in enumerate(words):
-        for p in zip(ids, ids[1:], strict=False):
-            counts[p] += n[i]
-            where[p].add(i)
+    tail, held = _Tail(rest), _Head(head["word"].tolist(), head["n"].to_numpy())
     merges: list[Pair] = []
     if tail.words is not None:
         tail.exact(merges)
-    while len(merges) < vocab_size - 256 - len(special) and (counts or tail.high):
-        best = _best(counts, tail)
+    while len(merges) < vocab_size - 256 - len(special) and (held.counts or tail.high):
+        best = _best(held, tail)
         if best is None:
             tail.exact(merges)
             continue
         new = 256 + len(merges)
         merges.append(best)
         tail.merged(best, new)
-        for i in list(where[best]):
-            for p in zip(words[i], words[i][1:], strict=False):
-                counts[p] -= n[i]
-                if counts[p] <= 0:
-                    del counts[p]
-                where[p].discard(i)
-            words[i] = merge(words[i], best, new)
-            for p in zip(words[i], words[i][1:], strict=False):
-                counts[p] += n[i]
-                where[p].add(i)
+        held.merged(best, new)
     counted.unpersist()
     return Bpe(merges, pattern, list(special))
 
