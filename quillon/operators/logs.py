@@ -7,28 +7,17 @@ holds a run.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.operators.order import in_ranges, join_few
-
-
-def _entering(rows: DataFrame, run: str, sums: dict[str, Column], before: dict[str, Column]) -> DataFrame:
-    """``rows`` of ranges with what a range of a run is entered with: aggregates ``sums`` of each range, and windows ``before`` over those of the ranges before."""
-    w = Window.partitionBy(run).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    per = rows.groupBy(run, "__range").agg(*(c.alias(n) for n, c in sums.items()))  # a row for each range of a run
-    return join_few(rows, per.select(run, "__range", *(c.over(w).alias(n) for n, c in before.items())), [run, "__range"])
-
-
-def _within(run: str) -> Window:
-    return Window.partitionBy(run, "__range").orderBy("__at")
+from quillon.operators.order import entering, in_ranges, join_few, within
 
 
 def running_best(rows: DataFrame, run: str, step: str, loss: str, **options: int) -> DataFrame:
     """``rows`` with best (running minimum) and is_best (a strict improvement on all before)."""
     cut = in_ranges(rows, [run, step], **options)
-    cut = _entering(cut, run, {"__m": F.min(loss)}, {"__best": F.min("__m")})
-    before = F.least("__best", F.min(loss).over(_within(run).rowsBetween(Window.unboundedPreceding, -1)))
+    cut = entering(cut, run, {"__m": F.min(loss)}, {"__best": F.min("__m")})
+    before = F.least("__best", F.min(loss).over(within(run).rowsBetween(Window.unboundedPreceding, -1)))
     out = cut.withColumn("__before", before).withColumn("is_best", F.col("__before").isNull() | (F.col(loss) < F.col("__before")))
     return out.withColumn("best", F.least("__before", loss)).drop("__before", "__best", "__range", "__at")
 
@@ -39,14 +28,14 @@ def early_stop(rows: DataFrame, run: str, epoch: str, score: str, patience: int,
         raise ValueError("patience is at least 1")
     slim = rows.select(F.col(run), F.col(epoch), F.col(score))
     cut = in_ranges(slim, [run, epoch], **options)
-    cut = _entering(cut, run, {"__m": F.max(score), "__n": F.count("*")}, {"__top": F.max("__m"), "__rows": F.sum("__n")})
-    w = _within(run)
+    cut = entering(cut, run, {"__m": F.max(score), "__n": F.count("*")}, {"__top": F.max("__m"), "__rows": F.sum("__n")})
+    w = within(run)
     before = F.greatest("__top", F.max(score).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     cut = cut.withColumn("__nth", F.coalesce("__rows", F.lit(0)) + F.row_number().over(w)).withColumn("__before", before)
     cut = cut.withColumn("__better", F.when(F.col("__before").isNull() | (F.col(score) > F.col("__before")), F.col("__nth")))
     cut = cut.drop("__top", "__rows", "__before")
     # the last improvement before a range, then within it
-    cut = _entering(cut, run, {"__b": F.max("__better")}, {"__last": F.max("__b")})
+    cut = entering(cut, run, {"__b": F.max("__better")}, {"__last": F.max("__b")})
     since = F.col("__nth") - F.greatest("__last", F.max("__better").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     cut = cut.withColumn("__bad", since)
     stops = cut.groupBy(run).agg(F.min(F.when(F.col("__bad") >= patience, F.col(epoch))).alias("__stop"), F.max(epoch).alias("__end"))
@@ -61,8 +50,8 @@ def log_check(rows: DataFrame, run: str, order: list[str], step: str, loss: str,
     gain: how far the loss fell from the first line to the last.
     """
     cut = in_ranges(rows.select(*dict.fromkeys([run, *order, step, loss, tokens])), [run, *order], **options)
-    cut = _entering(cut, run, {"__s": F.max_by(step, "__at")}, {"__step": F.last("__s")})
-    back = F.col(step) < F.coalesce(F.lag(step).over(_within(run)), "__step")
+    cut = entering(cut, run, {"__s": F.max_by(step, "__at")}, {"__step": F.last("__s")})
+    back = F.col(step) < F.coalesce(F.lag(step).over(within(run)), "__step")
     bad = F.isnan(loss) | (F.abs(F.col(loss)) == float("inf"))
     at = F.struct("__range", "__at")
     out = cut.withColumn("__back", back).groupBy(run).agg(F.count_if("__back").alias("backwards"), F.coalesce(F.bool_or(bad), F.lit(False)).alias("diverged"), F.max_by(tokens, at).alias("total_tokens"), F.min_by(loss, at).alias("first_loss"), F.max_by(loss, at).alias("last_loss"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quillon.shared import table
@@ -49,6 +49,18 @@ def global_position(rows: DataFrame, order: list[Column | str], name: str = "pos
     return out.withColumn(name, F.col("__before") + F.col("__at")).drop("__range", "__before", "__at")
 
 
+def entering(rows: DataFrame, run: str, sums: dict[str, Column], before: dict[str, Column]) -> DataFrame:
+    """``rows`` of ranges with what a range of a run is entered with: aggregates ``sums`` of each range, and windows ``before`` over those of the ranges before."""
+    w = Window.partitionBy(run).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy(run, "__range").agg(*(c.alias(n) for n, c in sums.items()))  # a row for each range of a run
+    return join_few(rows, per.select(run, "__range", *(c.over(w).alias(n) for n, c in before.items())), [run, "__range"])
+
+
+def within(run: str) -> WindowSpec:
+    """The rows of a range of a run, in order."""
+    return Window.partitionBy(run, "__range").orderBy("__at")
+
+
 def quantiles(rows: DataFrame, value: Column | str, probabilities: list[float], group: list[str] | None = None) -> DataFrame:
     """One row a group: its columns, n (values that are neither null nor NaN) and q (array: linear quantiles), exactly.
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.operators.order import join_few, quantiles
+from quillon.operators.order import entering, in_ranges, join_few, quantiles, within
+from quillon.shared import table
 
 #: Upper bounds of the exported histograms.
 LATENCY_BUCKETS = [0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0]
@@ -50,25 +51,41 @@ def close_batches(arrivals: list[float], window_s: float, most: int) -> list[int
     return [closer.place(t) for t in arrivals]
 
 
-def microbatches(rows: DataFrame, shard: str, ts: str, key: str, window_s: float, most: int) -> DataFrame:
-    """Replay of the batching policy per ``shard`` (a server): (shard, key, batch).
+def microbatches(rows: DataFrame, shard: str, ts: str, key: str, window_s: float, most: int, **options: int) -> DataFrame:
+    """The batching policy per ``shard`` (a server) over all its arrivals: (shard, key, batch), batches numbered from 0 by server.
 
-    A server's policy is a sequence, so its arrivals are one sorted stream through one task, which holds a batch
-    of rows and the open batch's state. Rows without a shard are a shard of their own; times must not be null.
+    A pause longer than the window closes a batch whatever came before, so it parts a server's arrivals into
+    stretches that do not depend on each other; each is one sorted stream, and stretches of one server run in many tasks. Where they begin, and how
+    many batches lie before them, are sums over ranges. Arrivals at one time count by ``key``. Rows without a shard are a shard of
+    their own; times must not be null.
     """
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, closer = None, None
         for batch in batches:
             out = []
-            for name, t in zip(batch.column("shard").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                if closer is None or name != now:
-                    now, closer = name, Closer(window_s, most)
+            for place, t in zip(zip(batch.column("shard").to_pylist(), batch.column("stretch").to_pylist(), strict=True), batch.column("t").to_pylist(), strict=True):
+                if closer is None or place != now:
+                    now, closer = place, Closer(window_s, most)
                 out.append(closer.place(t))
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("key"), pa.array(out, pa.int64())], names=["shard", "key", "batch"])
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("key"), batch.column("stretch"), pa.array(out, pa.int64())], names=["shard", "key", "stretch", "batch"])
 
     slim = rows.select(F.col(shard).cast("string").alias("shard"), F.unix_micros(F.col(ts).cast("timestamp")).cast("double").alias("us"), F.col(key).cast("long").alias("key")).withColumn("t", F.col("us") / 1e6).drop("us")
-    return slim.repartition("shard").sortWithinPartitions("shard", "t", "key").mapInArrow(replay, "shard string, key long, batch long")
+    cut = in_ranges(slim, ["shard", "t", "key"], **options)
+    cut = entering(cut, "shard", {"__t": F.max_by("t", "__at")}, {"__last": F.last("__t")})
+    before = F.coalesce(F.lag("t").over(within("shard")), "__last")
+    cut = cut.withColumn("__starts", (before.isNull() | (F.col("t") > before + window_s)).cast("long")).drop("__last")
+    cut = entering(cut, "shard", {"__n": F.sum("__starts")}, {"__earlier": F.sum("__n")})
+    stretch = F.coalesce("__earlier", F.lit(0)) + F.sum("__starts").over(within("shard").rowsBetween(Window.unboundedPreceding, 0))
+    dealt = cut.select("shard", "key", "t", stretch.alias("stretch")).repartition("shard", "stretch").sortWithinPartitions("shard", "stretch", "t", "key")
+    closed = table(dealt.mapInArrow(replay, "shard string, key long, stretch long, batch long"), "stretches")
+    # batches before a stretch: sums of blocks of stretches, then within a block
+    per = closed.groupBy("shard", "stretch").agg((F.max("batch") + 1).alias("n")).withColumn("block", F.floor(F.col("stretch") / 10_000))
+    blocks = per.groupBy("shard", "block").agg(F.sum("n").alias("all"))
+    earlier = lambda c, *by: F.coalesce(F.sum(c).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("shard", "block", earlier("all", "shard", "block").alias("base"))
+    bases = join_few(per, blocks, ["shard", "block"]).select("shard", "stretch", (F.col("base") + earlier("n", "shard", "block", "stretch")).alias("base"))
+    return join_few(closed, bases, ["shard", "stretch"]).select("shard", "key", (F.col("batch") + F.col("base")).alias("batch"))
 
 
 def admitted(requests: DataFrame, context: int) -> DataFrame:
