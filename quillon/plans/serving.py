@@ -47,7 +47,15 @@ def request_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("total"))
 
 
-@query()
+_REPLAY = """
+WITH RECURSIVE e AS MATERIALIZED (SELECT event_type AS shard, event_id AS key, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT shard, i, key, CAST(0 AS BIGINT) AS batch, t AS first, 1 AS size FROM e WHERE i = 1
+  UNION ALL SELECT e.shard, e.i, e.key, r.batch + (size = 8 OR e.t > first + 7200)::BIGINT, CASE WHEN size = 8 OR e.t > first + 7200 THEN e.t ELSE first END, CASE WHEN size = 8 OR e.t > first + 7200 THEN 1 ELSE size + 1 END
+  FROM r JOIN e ON e.shard = r.shard AND e.i = r.i + 1)
+"""
+
+
+@query(_REPLAY + "SELECT shard, key, batch FROM r")
 def microbatch_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches that close at eight requests or two hours after their first, per event type as server."""
     return S.microbatches(read(spark, sf_dir, "events"), "event_type", "ts", "event_id", 7200.0, 8)
@@ -59,7 +67,7 @@ def microbatch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return microbatch_replay(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("requests"))
 
 
-@query()
+@query(_REPLAY + "SELECT shard, count(*) AS batches, CAST(sum(n) AS BIGINT) AS requests, avg(n) AS mean_size, max(n) AS largest FROM (SELECT shard, batch, count(*) AS n FROM r GROUP BY ALL) GROUP BY shard")
 def batcher_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches, requests and mean batch size per server, with the batch size histogram's sum."""
     sizes = microbatch_replay(spark, sf_dir).groupBy("shard", "batch").agg(F.count("*").alias("size"))
