@@ -211,6 +211,7 @@ def encode_sampled(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_
     """One row per row of ``docs``: doc_id and ids, a segmentation sampled by the row's key.
 
     Null and empty texts have no ids. A null key counts as 0; repeated rows get equal segmentations.
+    Texts of any length are read whole; extra columns are ignored, whatever their names.
     ``model`` is the path of a SentencePiece file with byte fallback. Empty in, empty out.
     """
     docs = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
@@ -227,7 +228,11 @@ def encode_sampled(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_
 
 
 def decode_ids(rows: DataFrame, model: str) -> DataFrame:
-    """One row per row of ``rows`` (doc_id, ids): doc_id, text. Null ids give the empty text."""
+    """One row per row of ``rows`` (doc_id, ids): doc_id, text.
+
+    Null and empty ids give the empty text. Repeated rows come back each, a null key stays null; ids may be of any
+    length, extra columns are ignored. Empty in, empty out.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
@@ -241,7 +246,9 @@ def decode_ids(rows: DataFrame, model: str) -> DataFrame:
 def segmentation_digest(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_pieces, ids_crc32 (little-endian unsigned 32-bit ids), text_sha256 and lossless.
 
-    Encodes and decodes in one pass: text_sha256 is of the decoded text, lossless compares it with the text.
+    Encodes and decodes in one pass: text_sha256 is of the decoded text, lossless compares it with the text. Null
+    and empty texts have no pieces and are lossless as the empty text; a null key counts as 0. Repeated rows get equal results. Texts of any length
+    are read whole; extra columns are ignored, whatever their names. Empty in, empty out.
     """
     docs = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
 

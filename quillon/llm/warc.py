@@ -212,7 +212,8 @@ def _order(row: tuple) -> tuple:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The index entries of all archives below ``path``, those of one archive together and sorted: a capture run.
 
-    Payloads of responses are read and digested anew; damaged archives raise ValueError.
+    Payloads of responses are read and digested anew; damaged archives raise ValueError. A folder without records, or
+    without archives, gives no entries.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
