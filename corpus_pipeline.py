@@ -1,7 +1,9 @@
 """The corpus pipeline: language ID, exact dedup, near dedup, PII masking, packing.
 
 Every stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the
-next one's docs.
+next one's docs. ``docs`` has the columns of ``documents`` in any order and spelling of case, and may have more, whatever they are
+called; all but the last stage return the same columns. Any column may hold nulls. Texts of any length are read whole. An empty table stays
+empty through all stages.
 """
 
 from __future__ import annotations
@@ -22,27 +24,45 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without an identified language go."""
+    """Texts without an identified language go: null and empty ones, those without a letter, and letter soup.
+
+    ``lang`` becomes the language found. Learns from all rows that name one; if none does, every text with a letter stays. A
+    row without id, and rows that repeat each other, are judged by their text like any other.
+    """
     return keep_identified(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of identical texts the one of the largest id stays."""
+    """Of identical texts the one of the largest id stays; null and empty texts are identical.
+
+    Rows without id stay only if no row of their group has one; of rows that repeat id and text one stays.
+    """
     return keep_winners(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays."""
+    """Of each group of near-duplicates the document of the smallest id stays.
+
+    Texts without a word, null ones among them, have the fingerprint zero and form a group of their own. Rows
+    without id stay only if no row of their group has one; of rows that repeat id and text one stays.
+    """
     return keep_representatives(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is masked."""
+    """Personal data is masked: base spans, and those that their contexts lead to; ``n_chars``, if there, becomes the new length.
+
+    Every row stays, in whatever number it stands; null texts stay null, empty ones empty.
+    """
     return mask_pii(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences."""
+    """The pieces of all documents in sequences, one row a piece.
+
+    Null and empty texts have one token, the end id. Repeated rows, and rows without id, are packed each; a text longer than a
+    sequence is cut into as many pieces as it needs.
+    """
     return pack(docs, tokenizer_file(WORD_TOKENIZER))
 
 
