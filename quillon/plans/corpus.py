@@ -213,7 +213,23 @@ def cent_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.hundredths(F.col("l_extendedprice").cast("decimal(38,6)").cast("string")).alias("cents"))
 
 
-@query()
+def _spelled_sql(n: str) -> str:
+    """``text.spell_number`` of an expression below a million."""
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    small = lambda x: f"list_extract({listed(T._SMALL)}, CAST({x} AS INT) + 1)"
+    below_hundred = lambda x: f"CASE WHEN {x} < 20 THEN {small(x)} ELSE list_extract({listed(T._TENS)}, CAST({x} // 10 AS INT) - 1) || CASE WHEN {x} % 10 > 0 THEN '-' || {small(f'({x} % 10)')} ELSE '' END END"
+    below_thousand = lambda x: f"CASE WHEN {x} < 100 THEN {below_hundred(x)} ELSE {small(f'({x} // 100)')} || ' hundred' || CASE WHEN {x} % 100 > 0 THEN ' and ' || {below_hundred(f'({x} % 100)')} ELSE '' END END"
+    high, low = f"({n} // 1000)", f"({n} % 1000)"
+    rest = f"CASE WHEN {low} = 0 THEN '' WHEN {low} < 100 THEN ' and ' || {below_hundred(low)} ELSE ' ' || {below_thousand(low)} END"
+    return f"CASE WHEN {n} < 1000 THEN {below_thousand(n)} ELSE {below_thousand(high)} || ' thousand' || {rest} END"
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, p_partkey * 37 % 1000000 AS n, round(p_retailprice, 2) AS a, p_size AS s FROM part)
+SELECT p_partkey, {_spelled_sql("n")} AS words, '$' || CASE WHEN a = floor(a) THEN format('{{:,}}', CAST(a AS BIGINT)) ELSE format('{{:,.2f}}', a) END AS price, s || ' basis points' AS points,
+  s || CASE WHEN s % 100 BETWEEN 10 AND 13 THEN 'th' WHEN s % 10 = 1 THEN 'st' WHEN s % 10 = 2 THEN 'nd' WHEN s % 10 = 3 THEN 'rd' ELSE 'th' END AS nth
+FROM p
+""")
 def number_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes spelled out, dollars, basis points and ordinals."""
     part = read(spark, sf_dir, "part")
