@@ -125,9 +125,10 @@ def quantiles(rows: DataFrame, value: Column | str, probabilities: list[float],
 
 
 def join_few(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join on group columns that may be null. ``b`` has a few rows a group: if that is few in all, it is broadcast, else both are exchanged."""
+    """Join on group columns that may be null. ``b`` has a few rows a group: if that is SMALL in all, it is broadcast, else both are exchanged."""
+    some = b.limit(SMALL + 1).toArrow()
+    b = F.broadcast(b.sparkSession.createDataFrame(some, schema=b.schema)) if some.num_rows <= SMALL else b
     b = b.select(*(F.col(k).alias(f"{k}b") for k in keys), *(c for c in b.columns if c not in keys))
-    b = F.broadcast(b) if b.limit(SMALL + 1).count() <= SMALL else b
     on = F.col(keys[0]).eqNullSafe(F.col(f"{keys[0]}b"))
     for k in keys[1:]:
         on = on & F.col(k).eqNullSafe(F.col(f"{k}b"))

@@ -62,10 +62,17 @@ def bootstrap_interval(rows: DataFrame, value: str, index: str, resamples: int,
 _POISSON = [1580030168, 3160060337, 3950075421, 4213413783, 4279248373, 4292415291, 4294609777, 4294923276, 4294962463, 4294966817, 4294967252, 4294967292]
 
 
+def _poisson(head: Column) -> Column:
+    """The weight that eight hexadecimal digits stand for; of fixed width they compare like the number they write."""
+    weight = F.when(head < f"{_POISSON[0]:08x}", 0)
+    for i, c in enumerate(_POISSON[1:], 1):
+        weight = weight.when(head < f"{c:08x}", i)
+    return weight.otherwise(len(_POISSON))
+
+
 def poisson_weight(key: Column) -> Column:
     """How often a row stands in a resample, drawn by the MD5 of ``key``: about Poisson of mean 1, 12 at most."""
-    u = draw(key, 1 << 32)
-    return sum(((u >= c).cast("int") for c in _POISSON[1:]), (u >= _POISSON[0]).cast("int"))
+    return _poisson(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8))
 
 
 def bootstrap_metric(rows: DataFrame, key: str, metric: Callable[[Column], Column], resamples: int, confidence: float, seed: int) -> DataFrame:
@@ -79,7 +86,9 @@ def bootstrap_metric(rows: DataFrame, key: str, metric: Callable[[Column], Colum
     # a small table comes in one piece, but is drawn from many times: it is spread over the cores, some ten million draws a task
     parts = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() * resamples // 10_000_000)
     drawn = rows.repartition(parts).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    drawn = drawn.withColumn("__w", poisson_weight(F.concat_ws(":", F.lit(str(seed)), F.col("__b").cast("string"), F.col(key).cast("string")))).where("__w > 0")
+    # a column of its own, so that the digest is taken once a row and resample; rows of weight 0 add nothing to a sum
+    told = F.concat_ws(":", F.lit(str(seed)), F.col("__b").cast("string"), F.col(key).cast("string"))
+    drawn = drawn.withColumn("__u", F.substring(F.md5(told.cast("binary")), 1, 8)).withColumn("__w", _poisson(F.col("__u")))
     tail = (1 - confidence) / 2
     ends = drawn.groupBy("__b").agg(metric(F.col("__w")).alias("m")).agg(F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
     return point.join(F.broadcast(ends), how="inner").select("point", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
