@@ -190,10 +190,14 @@ def discover(rows: DataFrame, *, least_seeds: int = LEAST_SEEDS, worth: float =
     size = table(edges.groupBy("pattern").agg(F.count_distinct("instance").alias("size")).withColumn("parts", parts("size")), "pii-patterns")
     unknown = table(unknown, "pii-candidates")
     degree = table(unknown.groupBy("instance").agg(F.count("*").alias("degree")).withColumn("spread", parts("degree")), "pii-instances")
-    unknown = skew_join(unknown, size.where(F.col("size") >= least_seeds).select("pattern", "parts", "size"), "pattern", "size").where("parts IS NOT NULL").drop("size")
-    unknown = skew_join(unknown, degree, "instance", "degree").drop("degree")
-    deal = lambda other, n: F.pmod(F.hash(other), F.col(n))
-    unknown = table(unknown.select("instance", "pattern", deal("instance", "parts").alias("part"), deal("pattern", "spread").alias("at")), "pii-unknown")
+    hot = [t.agg(F.max(c)).first()[0] or 1 for t, c in ((size, "parts"), (degree, "spread"))]
+    if hot == [1, 1]:  # no pattern or instance needs a second part
+        unknown = unknown.select("instance", "pattern", F.lit(0).alias("part"), F.lit(0).alias("at"))
+    else:
+        unknown = skew_join(unknown, size.select("pattern", "parts", "size"), "pattern", "size").drop("size")
+        unknown = skew_join(unknown, degree, "instance", "degree").drop("degree")
+        deal = lambda other, n: F.pmod(F.hash(other), F.col(n))
+        unknown = table(unknown.select("instance", "pattern", deal("instance", "parts").alias("part"), deal("pattern", "spread").alias("at")), "pii-unknown")
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
     found = None
     for _ in range(rounds):
