@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon import catalogue, plans  # noqa: F401
+from quillon.functions import completions as C
 from quillon.functions import stats as S
 from quillon.operators import bpe, paired
 from quillon.operators.corpus import PRETOKENS
@@ -139,3 +140,28 @@ def _plain_pairs(words, n, merges):
         for p in zip(ids, ids[1:], strict=False):
             counts[p] += k
     return dict(counts)
+
+
+def _customers(spark, folder, keys):
+    spark.createDataFrame([(k, f"Customer#{k}", "BUILDING") for k in keys], "c_custkey long, c_name string, c_mktsegment string").coalesce(1).write.parquet(f"{folder}/customer.parquet")
+
+
+@pytest.mark.parametrize("name", ["slot_matching"])
+def test_completions_are_judged_once_and_by_all_cores(spark, tmp_path, name):
+    """A condition on the result made a second run of the function, in the one task that reads a small file."""
+    _customers(spark, tmp_path, range(40))
+    plan = catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("REPARTITION_BY_NUM")
+
+
+def test_slot_matching_has_a_row_for_each_customer(spark, tmp_path):
+    _customers(spark, tmp_path, [1, 1, 2])
+    rows = catalogue.QUERIES["slot_matching"](spark, str(tmp_path)).collect()
+    assert sorted((r["c_custkey"], r["expected"], r["emitted"], r["correct"]) for r in rows) == [(1, 9, 9, 8), (1, 9, 9, 8), (2, 9, 6, 6)]
+
+
+def test_values_of_one_spelling_are_equal_by_their_keys():
+    values = ["a", "", 1, 0, 1.5, 0.0, -0.0, float("nan"), float("inf"), True, False, None, [1], [True], {}]
+    for path in [("client_name",), ("review_months",), ("fees", "advice_fee"), ("mood",), ("recommendations", 0, "amount")]:
+        for a, b in itertools.product(values, repeat=2):
+            assert C._same(path, a, b) == (C.compare_key(path, a) == C.compare_key(path, b))
