@@ -146,7 +146,7 @@ def _customers(spark, folder, keys):
     spark.createDataFrame([(k, f"Customer#{k}", "BUILDING") for k in keys], "c_custkey long, c_name string, c_mktsegment string").coalesce(1).write.parquet(f"{folder}/customer.parquet")
 
 
-@pytest.mark.parametrize("name", ["slot_matching", "flatten_paths", "field_scores"])
+@pytest.mark.parametrize("name", ["slot_matching", "flatten_paths", "field_scores", "violation_histogram"])
 def test_completions_are_judged_once_and_by_all_cores(spark, tmp_path, name):
     """A condition on the result made a second run of the function, in the one task that reads a small file."""
     _customers(spark, tmp_path, range(40))
