@@ -8,6 +8,7 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,7 +147,7 @@ def _customers(spark, folder, keys):
     spark.createDataFrame([(k, f"Customer#{k}", "BUILDING") for k in keys], "c_custkey long, c_name string, c_mktsegment string").coalesce(1).write.parquet(f"{folder}/customer.parquet")
 
 
-@pytest.mark.parametrize("name", ["slot_matching", "flatten_paths", "field_scores", "violation_histogram"])
+@pytest.mark.parametrize("name", ["slot_matching", "flatten_paths", "field_scores", "violation_histogram", "member_probe"])
 def test_completions_are_judged_once_and_by_all_cores(spark, tmp_path, name):
     """A condition on the result made a second run of the function, in the one task that reads a small file."""
     _customers(spark, tmp_path, range(40))
@@ -160,6 +161,20 @@ def test_slot_matching_has_a_row_for_each_customer(spark, tmp_path):
     assert sorted((r["c_custkey"], r["expected"], r["emitted"], r["correct"]) for r in rows) == [(1, 9, 9, 8), (1, 9, 9, 8), (2, 9, 6, 6)]
 
 
+def test_results_of_completions_leave_as_columns_slice_by_slice():
+    """Python objects are held for one slice of rows at a time."""
+    held = []
+
+    def one(text):
+        held.append(text)
+        return {"strict": True, "strict_violation": text, "lenient": True, "repairs": [], "lenient_violation": None, "violations": []}
+
+    n = 2 * C.SLICE + 1
+    out = C._in_slices(one, C._READING, pa.array([str(i) for i in range(n)]))
+    assert [r["strict_violation"] for r in out.to_pylist()] == held == [str(i) for i in range(n)]
+    assert len(C._in_slices(one, C._READING, pa.array([], pa.string()))) == 0
+
+
 def test_values_of_one_spelling_are_equal_by_their_keys():
     values = ["a", "", 1, 0, 1.5, 0.0, -0.0, float("nan"), float("inf"), True, False, None, [1], [True], {}]
     for path in [("client_name",), ("review_months",), ("fees", "advice_fee"), ("mood",), ("recommendations", 0, "amount")]:
