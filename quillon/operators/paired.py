@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.draws import draw
 from quillon.functions.stats import Floors, gate, mcnemar_exact
 
 
@@ -39,20 +41,58 @@ def dense_index(rows: DataFrame, key: str, block: int = 10_000) -> DataFrame:
     return rows.withColumn("__at", at).join(offsets, "__block").withColumn("idx", F.col("__offset") + F.col("__at")).drop("__block", "__at", "__offset")
 
 
+#: Indices of a block, numbered in 16 bits; indices drawn at a time; resamples whose draws meet a block's values in one group.
+BLOCK, DRAWS, TOGETHER = 1 << 16, 50_000, 128
+
+
+def _drawn(rows: DataFrame, n: int, resamples: int, seed: int) -> DataFrame:
+    """(resample, block, drawn): the indices that each resample draws from n, in pieces, packed as 16-bit places within their block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, numbers, edges = None, [], np.arange(0, n + BLOCK, BLOCK)
+        for batch in batches:
+            for unit in batch.column("id").to_pylist():
+                stretch, resample = divmod(unit, resamples)
+                if stretch != at:
+                    at, numbers = stretch, [str(i).encode() for i in range(stretch * DRAWS, min(n, (stretch + 1) * DRAWS))]
+                head = f"{seed}:{resample}:".encode()
+                # the draw of functions.draws: the first eight hexadecimal digits of an MD5
+                told = np.frombuffer(b"".join([hashlib.md5(head + i, usedforsecurity=False).digest() for i in numbers]), ">u4")[::4].astype(np.int64) % n
+                told.sort()
+                ends = np.searchsorted(told, edges)
+                blocks = np.flatnonzero(np.diff(ends))
+                packed = (told % BLOCK).astype("<u2")
+                pieces = [packed[ends[k] : ends[k + 1]].tobytes() for k in blocks]
+                yield pa.RecordBatch.from_arrays([pa.array([resample] * len(blocks), pa.int64()), pa.array(blocks, pa.int64()), pa.array(pieces, pa.binary())], names=["resample", "block", "drawn"])
+
+    return rows.mapInArrow(run, "resample long, block long, drawn binary")
+
+
+def _met(draws: pa.Table, values: pa.Table) -> pa.Table:
+    """(resample, s, k): sum and number of the values that draws of one block meet; a place without a value adds nothing."""
+    v, there = np.zeros(BLOCK), np.zeros(BLOCK, np.int64)
+    places = values["at"].to_numpy()
+    v[places], there[places] = values["v"].to_numpy(), 1
+    found = [np.frombuffer(piece.as_buffer(), "<u2") for piece in draws["drawn"]]
+    return pa.table({"resample": draws["resample"], "s": pa.array([float(v[i].sum()) for i in found], pa.float64()), "k": pa.array([int(there[i].sum()) for i in found], pa.int64())})
+
+
 def bootstrap_interval(rows: DataFrame, value: str, index: str, resamples: int, confidence: float, seed: int) -> DataFrame:
-    """(point, low, high): percentile bootstrap of the mean with drawn indices.
+    """(point, low, high): percentile bootstrap of the mean with drawn indices; ``index`` numbers the rows from 0.
 
-    A value's weight in a resample is how often its index is drawn. The draws go to their indices, are counted
-    there and meet the values there, so they pass one exchange and are never broadcast: the optimizer cannot
-    know how many there are.
+    Each draw is made once and goes to the block of its index in two bytes, where it meets the block's values. A group
+    is a block and some resamples, so neither values nor draws are ever whole in one place. Null values do not count.
     """
     spark, n = rows.sparkSession, rows.count()
-    size = max(n, 1)
-    parts = max(spark.sparkContext.defaultParallelism, resamples * size // 2_000_000 + 1)
-    at = spark.range(0, resamples * size, 1, parts).select(F.floor(F.col("id") / size).cast("long").alias("resample"), F.pmod("id", F.lit(size)).alias("i"))
-    draws = at.select("resample", draw(F.concat_ws(":", F.lit(str(seed)), "resample", "i"), size).alias(index))
-    draws = draws.repartition(F.col(index)).groupBy("resample", index).agg(F.count("*").alias("times")).hint("merge")
-    means = draws.join(rows.select(index, F.col(value).cast("double").alias("v")), index).groupBy("resample").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("m"))
+    units = resamples * -(-n // DRAWS)
+    tasks = max(spark.sparkContext.defaultParallelism, resamples * n // 2_000_000 + 1)
+    part = F.floor(F.col("resample") / TOGETHER).alias("part")
+    draws = _drawn(spark.range(0, units, 1, tasks), n, resamples, seed).select("*", part)
+    held = rows.select(F.col(index).cast("long").alias("i"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    held = held.select(F.floor(F.col("i") / BLOCK).alias("block"), F.pmod("i", F.lit(BLOCK)).alias("at"), "v")
+    held = held.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((resamples - 1) // TOGETHER).cast("long"))))
+    sums = draws.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInArrow(_met, "resample long, s double, k long")
+    means = sums.groupBy("resample").agg((F.sum("s") / F.nullif(F.sum("k"), F.lit(0))).alias("m"))
     tail = (1 - confidence) / 2
     ends = means.agg(F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
     return rows.agg(F.avg(F.col(value).cast("double")).alias("point")).join(F.broadcast(ends), how="inner").select("point", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))

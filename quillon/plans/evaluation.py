@@ -176,7 +176,7 @@ def bootstrap_ci_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _interval(pairs: DataFrame) -> DataFrame:
-    indexed = P.dense_index(pairs.select("doc_id", "difference"), "doc_id")
+    indexed = table(P.dense_index(pairs.select("doc_id", "difference"), "doc_id").select("idx", "difference"), "bootstrap-values")
     return P.bootstrap_interval(indexed, "difference", "idx", RESAMPLES, 0.95, 0)
 
 

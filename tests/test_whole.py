@@ -180,3 +180,21 @@ def test_values_of_one_spelling_are_equal_by_their_keys():
     for path in [("client_name",), ("review_months",), ("fees", "advice_fee"), ("mood",), ("recommendations", 0, "amount")]:
         for a, b in itertools.product(values, repeat=2):
             assert C._same(path, a, b) == (C.compare_key(path, a) == C.compare_key(path, b))
+
+
+@pytest.mark.parametrize(("n", "resamples"), [(66_500, 3), (11, 300), (1, 2)])
+def test_drawn_indices_meet_their_values(spark, n, resamples):
+    """Over several blocks and stretches, over several groups of resamples; values that are null do not count."""
+    held = [None if i % 7 == 3 else float(i % 5 - 1) for i in range(n)]
+    rows = spark.createDataFrame(list(enumerate(held)), "idx long, v double")
+    means = []
+    for r in range(resamples):
+        got = [held[int(hashlib.md5(f"4:{r}:{i}".encode()).hexdigest()[:8], 16) % n] for i in range(n)]
+        means += [np.mean(known)] if (known := [x for x in got if x is not None]) else []
+    found = paired.bootstrap_interval(rows, "v", "idx", resamples, 0.9, 4).first()
+    assert tuple(found) == pytest.approx((np.mean([x for x in held if x is not None]), *np.quantile(means, [0.05, 0.95])), abs=1e-12)
+
+
+def test_bootstrap_of_no_rows(spark):
+    none = spark.createDataFrame([], "idx long, v double")
+    assert tuple(paired.bootstrap_interval(none, "v", "idx", 5, 0.9, 0).first()) == (None, None, None)
