@@ -94,8 +94,8 @@ class _Tail:
         self.words, self.low, self.high = words, {}, {}
 
     def exact(self, merges: list[Pair]) -> None:
-        rows = _pairs_of(self.words, merges).toPandas()
-        self.low = dict(zip(zip(rows["left"].tolist(), rows["right"].tolist(), strict=True), rows["n"].tolist(), strict=True))
+        rows = _pairs_of(self.words, merges).toArrow()
+        self.low = dict(zip(zip(*(rows[c].to_pylist() for c in ("left", "right")), strict=True), rows["n"].to_pylist(), strict=True))
         self.high = dict(self.low)
 
     def merged(self, pair: Pair, new: int) -> None:
@@ -167,29 +167,48 @@ def _pairs_of(words: DataFrame, merges: list[Pair]) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
 
 
+#: Places whose pairs are counted at a time.
+STRETCH = 1 << 20
+
+
+def _bytes_of(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, bytes) of all words, one behind the other."""
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    held = pa.concat_arrays([words.cast(pa.large_binary())])  # of its own, so that it begins at 0
+    ends = np.frombuffer(held.buffers()[1], np.int64)[: len(held) + 1]
+    return np.diff(ends), np.frombuffer(held.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+
+
 class _Head:
     """The words that the driver holds, as one array of ids with -1 between words, and the counts of their pairs.
 
     A merge finds its places in one look over the array; the counts change by the pairs at those places and beside them.
     """
 
-    def __init__(self, words: list[str], n: np.ndarray) -> None:
-        raw = [w.encode() for w in words]
-        sizes = np.array([len(w) for w in raw], np.int64)
-        starts = np.cumsum(sizes + 1) - sizes  # a separator stands before each word, and one behind the last
-        self.ids = np.full(int(sizes.sum()) + len(raw) + 1, -1, np.int32)
-        at = np.repeat(starts - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(int(sizes.sum()))
-        self.ids[at] = np.frombuffer(b"".join(raw), np.uint8)
-        self.word = np.zeros(len(self.ids), np.int32)
-        self.word[at] = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
+    def __init__(self, words: pa.StringArray, n: np.ndarray) -> None:
+        sizes, letters = _bytes_of(words)
+        # a separator stands before each word, and one behind the last
+        inside = np.ones(len(letters) + len(sizes) + 1, bool)
+        inside[np.append(0, np.cumsum(sizes + 1))] = False
+        self.ids = np.full(len(inside), -1, np.int32)
+        self.ids[inside] = letters
+        self.word = np.zeros(len(inside), np.int32)
+        self.word[inside] = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.n = np.asarray(n, np.int64)
         self.counts: dict[Pair, int] = {}
         #: (-count, pair), with what counts have been since; the top is looked up in ``counts`` before it is believed.
         self.heap: list[tuple[int, Pair]] = []
-        self._add(np.flatnonzero((self.ids[:-1] >= 0) & (self.ids[1:] >= 0)), 1)
+        for at in range(0, len(self.ids) - 1, STRETCH):
+            ids = self.ids[at : at + STRETCH + 1]
+            self._add(at + np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0)), 1)
 
     def _add(self, places: np.ndarray, sign: int) -> None:
-        """Count the pairs that begin at ``places``, or count them off."""
+        """Count the pairs that begin at ``places``, or count them off, a stretch at a time: each takes some ten arrays as long."""
+        if len(places) > STRETCH:
+            for at in range(0, len(places), STRETCH):
+                self._add(places[at : at + STRETCH], sign)
+            return
         key = self.ids[places].astype(np.int64) << 32 | self.ids[places + 1]
         pairs, inverse = np.unique(key, return_inverse=True)
         total = np.bincount(inverse, self.n[self.word[places]], len(pairs))
@@ -246,21 +265,48 @@ def _best(head: _Head, tail: _Tail) -> Pair | None:
     return best if sure[0] and all(p == best or sure < (-total(p, tail.high), p) for p in tail.high) else None
 
 
+#: Parts, by hash, of the words of one frequency, of which some are held.
+PARTS = 4096
+
+
+def _held(counted: DataFrame, most_words: int) -> Column | None:
+    """A condition for the commonest words, ``most_words`` at most, or None for all of them.
+
+    Only numbers of words by frequency come to the driver, about as many as the square root of all words. Of the
+    last frequency as many parts, dealt by hash, are held as there is room for.
+    """
+    sizes = counted.groupBy("n").agg(F.count("*").alias("words")).toArrow()
+    n, words = sizes["n"].to_numpy(), sizes["words"].to_numpy()
+    order = np.argsort(-n)
+    until = np.cumsum(words[order])
+    if not len(n) or until[-1] <= most_words:
+        return None
+    fits = int(np.searchsorted(until, most_words, side="right"))
+    last, room = int(n[order[fits]]), most_words - int(until[fits - 1]) if fits else most_words
+    part = F.pmod(F.xxhash64("word"), F.lit(PARTS))
+    found = counted.where(F.col("n") == last).groupBy(part.alias("part")).agg(F.count("*").alias("words")).toArrow()
+    of = np.zeros(PARTS, np.int64)
+    of[found["part"].to_numpy()] = found["words"].to_numpy()
+    parts = int(np.searchsorted(np.cumsum(of), room, side="right"))
+    return (F.col("n") > last) | ((F.col("n") == last) & (part < parts))
+
+
 def train(rows: DataFrame, text: str, vocab_size: int, most_words: int = 1_000_000, special: tuple[str, ...] = ("<|endoftext|>",), pattern: str = PRETOKENS) -> Bpe:
     """Merges by falling pair count (ties: smaller ids) until ``vocab_size`` or no pair is left.
 
-    Spark counts the words. The driver holds the ``most_words`` commonest distinct ones as arrays of some ten ids a word, which
-    bounds its memory. The others stay a Spark table, whose pairs are counted anew
+    Spark counts the words. The driver holds the commonest distinct ones, ``most_words`` at most, as arrays of some ten ids a word, which
+    bounds its memory and what is sent to it. The others stay a Spark table, whose pairs are counted anew
     when the bounds on their counts no longer tell which pair is next. All words count; ``most_words`` changes no merge.
     """
     if vocab_size < 256 + len(special):
         raise ValueError("the vocabulary holds the bytes and the special tokens at least")
     counted = word_frequencies(rows, text, pattern).persist()
-    distinct = counted.count()
-    head = counted.orderBy(F.desc("n"), "word").limit(most_words).toPandas() if distinct > most_words else counted.toPandas()
-    last = head.iloc[-1] if distinct > most_words else None
-    rest = None if last is None else counted.where((F.col("n") < int(last["n"])) | ((F.col("n") == int(last["n"])) & (F.col("word") > last["word"])))
-    tail, held = _Tail(rest), _Head(head["word"].tolist(), head["n"].to_numpy())
+    common = _held(counted, most_words)
+    # never by a sorted limit: that sends so many words of every partition to the driver
+    head = (counted if common is None else counted.where(common)).toArrow()
+    tail = _Tail(None if common is None else counted.where(~common))
+    held = _Head(head["word"].combine_chunks(), head["n"].to_numpy())
+    del head
     merges: list[Pair] = []
     if tail.words is not None:
         tail.exact(merges)

@@ -198,3 +198,31 @@ def test_drawn_indices_meet_their_values(spark, n, resamples):
 def test_bootstrap_of_no_rows(spark):
     none = spark.createDataFrame([], "idx long, v double")
     assert tuple(paired.bootstrap_interval(none, "v", "idx", 5, 0.9, 0).first()) == (None, None, None)
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 500, 3002, 3003, 4000])
+def test_words_held_are_the_commonest_and_no_more(spark, most):
+    """Ties are parted by hash, not by a sorted limit, which sends as many words of every partition to the driver."""
+    n = {"a": 9, "b": 7, "c": 7} | {f"w{i}": 1 for i in range(3000)}
+    counted = spark.createDataFrame(list(n.items()), "word string, n long")
+    common = bpe._held(counted, most)
+    if most >= len(n):
+        assert common is None
+        return
+    held = {r["word"] for r in counted.where(common).collect()}
+    rest = {r["word"] for r in counted.where(~common).collect()}
+    assert len(held) <= most and not held & rest and held | rest == set(n)
+    assert min((n[w] for w in held), default=9) >= max(n[w] for w in rest) and len(held) >= {0: 0, 1: 1, 2: 1}.get(most, most - 20)
+
+
+def test_pairs_are_counted_in_stretches(monkeypatch):
+    words, n = ["aaaa", "", "abab", "é", "b", "ababab"], np.array([3, 1, 2, 5, 4, 1])
+    whole = bpe._Head(pa.array(words), n)
+    monkeypatch.setattr(bpe, "STRETCH", 4)
+    parts = bpe._Head(pa.chunked_array([pa.array(["x", *words])]).combine_chunks()[1:], n)
+    for new in range(256, 260):
+        assert parts.counts == whole.counts == _plain_pairs(words, n.tolist(), [] if new == 256 else done)
+        done = [*(done if new > 256 else []), whole.best()]
+        assert parts.best() == done[-1]
+        whole.merged(done[-1], new)
+        parts.merged(done[-1], new)
