@@ -155,6 +155,41 @@ def test_completions_are_judged_once_and_by_all_cores(spark, tmp_path, name):
     assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("REPARTITION_BY_NUM")
 
 
+@pytest.mark.parametrize("name", ["flatten_paths", "member_classes", "slot_matching"])
+def test_rows_of_one_row_group_are_dealt_out_however_many_splits_the_file_has(spark, tmp_path, name):
+    """A file cut into more splits than cores was taken as it came, though all its rows came with one of them."""
+    _customers(spark, tmp_path, range(400))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        assert spark.read.parquet(f"{tmp_path}/customer.parquet").rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+        rows = catalogue.QUERIES[name](spark, str(tmp_path))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("REPARTITION_BY_NUM")
+        assert rows.count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_only_the_parts_asked_for_are_worked_out(monkeypatch):
+    gold = {"client_name": "A", "fees": {"advice_fee": 1}, "recommendations": [{"product": "x", "amount": 2}, 5], "flags": ["b", "a"], "objectives": []}
+    texts = ["", None, "none", '{"client_name": "A"}', "```\n{'flags': ['a'], 'recommendations': [None, {'product': 'X'}], }", "[1]"]
+    for text, strict in itertools.product(texts, [True, False]):
+        whole = C.score(text, gold, strict)
+        assert set(whole) == C.PARTS
+        for part in C.PARTS:
+            assert C.score(text, gold, strict, parts=frozenset([part])) == {part: whole[part]}
+    for unwanted in ("check", "_shown"):
+        monkeypatch.setattr(C, unwanted, None)
+    assert [f["path"] for f in C.score('{"client_name": "A"}', {"client_name": "B"}, True, parts=frozenset(["fields"]))["fields"]] == ["client_name"]
+
+
+def test_nested_results_as_columns():
+    kind = C._RESULT
+    rows = [C.score(t, {"client_name": "A", "flags": ["b"]}, False) for t in ("", '{"client_name": "A", "mood": 1, }', "{'flags': ['a'", "no")]
+    for some in ([], rows, rows[:1], rows * 3):
+        assert C._arrow(some, kind).equals(pa.array(some, kind))
+
+
 def test_slot_matching_has_a_row_for_each_customer(spark, tmp_path):
     _customers(spark, tmp_path, [1, 1, 2])
     rows = catalogue.QUERIES["slot_matching"](spark, str(tmp_path)).collect()
