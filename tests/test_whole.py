@@ -183,6 +183,17 @@ def test_only_the_parts_asked_for_are_worked_out(monkeypatch):
     assert [f["path"] for f in C.score('{"client_name": "A"}', {"client_name": "B"}, True, parts=frozenset(["fields"]))["fields"]] == ["client_name"]
 
 
+def test_a_completion_is_loaded_once_for_both_parsers(monkeypatch):
+    """The lenient parser began with the strict one again."""
+    loads, loaded = C._load, []
+    monkeypatch.setattr(C, "_load", lambda text: (loaded.append(text), loads(text))[1])
+    C._in_slices(C.reading, C._READING, pa.array(['{"mood": 1}', "no record"]))
+    assert loaded == ['{"mood": 1}', "no record"]
+    for text in (None, "", "[1]", '{"mood": 1}', "so: {'mood': None,", '{"a": }'):
+        got, (strict, _, failed), (value, repairs, lost) = C.reading(text), C.parse_strict(text or ""), C.parse_lenient(text or "")
+        assert (got["strict"], got["strict_violation"], got["lenient"], got["repairs"], got["lenient_violation"]) == (strict is not None, failed, value is not None, repairs, lost)
+
+
 def test_nested_results_as_columns():
     kind = C._RESULT
     rows = [C.score(t, {"client_name": "A", "flags": ["b"]}, False) for t in ("", '{"client_name": "A", "mood": 1, }', "{'flags': ['a'", "no")]
