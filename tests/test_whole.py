@@ -155,7 +155,7 @@ def test_completions_are_judged_once_and_by_all_cores(spark, tmp_path, name):
     assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("REPARTITION_BY_NUM")
 
 
-@pytest.mark.parametrize("name", ["flatten_paths", "member_classes", "slot_matching"])
+@pytest.mark.parametrize("name", ["flatten_paths", "field_scores", "violation_histogram", "member_probe", "member_classes", "slot_matching"])
 def test_rows_of_one_row_group_are_dealt_out_however_many_splits_the_file_has(spark, tmp_path, name):
     """A file cut into more splits than cores was taken as it came, though all its rows came with one of them."""
     _customers(spark, tmp_path, range(400))
