@@ -58,7 +58,9 @@ def hundredths(number_text: Column) -> Column:
 
 def field_stem(path: Column) -> Column:
     """Top-level field of a path: what stands before the first of ``. [ {``."""
-    return F.regexp_extract(path, r"^[^.\[{]*", 0)
+    for mark in ".[{":
+        path = F.substring_index(path, mark, 1)
+    return path
 
 
 def path_shape(path: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import random
 import re
 import unicodedata
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from quillon import catalogue, plans  # noqa: F401
 from quillon.functions import completions as C
 from quillon.functions import stats as S
+from quillon.functions.text import field_stem
 from quillon.operators import bpe, paired
 from quillon.operators.corpus import PRETOKENS
 
@@ -210,6 +212,51 @@ def test_nested_results_as_columns():
         assert C._arrow(some, kind).equals(pa.array(some, kind))
 
 
+def test_quick_tokens_are_those_of_the_full_lexer():
+    drawn = random.Random(3)
+    bits = ['"', "'", "{", "}", "[", "]", ",", ":", " ", "\n", "\\", "None", "True", "False", "a", "_", "1", ".5", "null", "-", "\x1c", "\t", "''", "{ ", "['", ", '", '": ', '\\"', "\\'", "```"]
+    for _ in range(5000):
+        text = "".join(drawn.choices(bits, k=drawn.randint(0, 14)))
+        for at in range(len(text) + 1):
+            if at and text[at - 1] != "}":
+                continue
+            quick = [(t.lastgroup, *t.span(t.lastgroup)) for t in C._QUICK_LEXER.finditer(text, at) if t.lastgroup]
+            assert quick == [(t.lastgroup, *t.span()) for t in C._LEXER.finditer(text, at) if t.lastgroup != "double"]
+
+
+def test_a_completion_that_holds_the_gold_text_is_not_read_again(monkeypatch):
+    """Gold was loaded, flattened and compared anew for each completion, and its text up to four times."""
+    text = '{"client_name": "A", "objectives": ["b", "c"], "recommendations": [{"product": "x", "amount": null}], "fees": {"advice_fee": 1.5}, "flags": []}'
+    gold = json.loads(text)
+    told = [text, f" {text}\n", f"```json\n{text}\n```", f"Record:\n{text}", f"{text}\nEnd.", f"{text}}}}}", text[:-1], text.replace("[]}", "[],}"), text.replace("null", "None"), text.replace('"', "'"), f"{text}\n{text}"]
+    plain = [C.score(t, gold, False) for t in told]
+    assert all(s["parsed"] and s["field_f1"] == 1 for s in plain)
+    assert {r for s in plain for r in s["repairs"]} == set(C.REPAIRS)
+    monkeypatch.setattr(C, "_load", lambda text: (False, None))
+    for unwanted in ("align", "_same"):
+        monkeypatch.setattr(C, unwanted, None)
+    for t, want in zip(told, plain, strict=True):
+        got = C._judge(t, gold, False, (0.2, 0.2, 0.6), C.PARTS, (text, gold))
+        assert got["fields"] == [(f["path"], f["correct"], f["expected"], f["emitted"]) for f in want["fields"]]
+        assert {k: v for k, v in got.items() if k not in ("fields", "violations")} == {k: v for k, v in want.items() if k not in ("fields", "violations")}
+
+
+def test_paths_of_like_records_are_put_in_order_once():
+    C._union.cache_clear()
+    rows = [({"client_name": f"a{i}", "mood": i}, {"client_name": "a1", "fees": {"advice_fee": 1}}) for i in range(50)]
+    scores = [C.field_scores(*row) for row in rows]
+    assert C._union.cache_info().misses == 1
+    assert scores == [[("client_name", i == 1, True, True), ("fees.advice_fee", False, True, False), ("mood", False, False, True)] for i in range(50)]
+
+
+def test_stem_of_a_path(spark):
+    paths = ["", "a", "a.b", "a[0].b", "a{x.y[1]}", ".a", "[0]", "{", "a b{", "é[1]", None, "a\n.b"]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    stems = rows.select("path", field_stem(F.col("path")).alias("stem"))
+    assert {r["path"]: r["stem"] for r in stems.collect()} == {p: None if p is None else re.split(r"[.\[{]", p)[0] for p in paths}
+    assert "regexp" not in stems._jdf.queryExecution().executedPlan().toString()
+
+
 def test_slot_matching_has_a_row_for_each_customer(spark, tmp_path):
     _customers(spark, tmp_path, [1, 1, 2])
     rows = catalogue.QUERIES["slot_matching"](spark, str(tmp_path)).collect()
